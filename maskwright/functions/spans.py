@@ -32,7 +32,7 @@ def quoted(value: str | None) -> str:
 
 
 LAMBDA_NAMES = frozenset(
-    "a acc b between c chunks clash fixed found g h i k kept kind m ordered p pair parts pieces placed r raw"
+    "a acc b between c chunks clash entry fixed found g h i k kept kind m ordered p pair parts pieces placed r raw"
     " rest s signed v ch".split()
 )
 

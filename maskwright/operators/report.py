@@ -36,7 +36,7 @@ def entity_rollup(docs: DataFrame, dims: Iterable[str] = ("source", "lang"), spa
     dims = tuple(dims)
     counted = entity_counts(docs, dims, spans)
     return counted.rollup(*dims, "entity_type").agg(
-        F.sum("n").alias("n_spans"), F.count("*").alias("n_docs_types")
+        F.sum("n").alias("n_spans"), F.count("*").alias("n_doc_types")
     )
 
 

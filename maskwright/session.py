@@ -62,17 +62,18 @@ def lookup_join(
     rows: int = BROADCAST_ROWS,
     size: int | None = None,
     salt_by: str = "doc_id",
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join a large table to a lookup table with unique keys.
 
     A lookup of checked size is broadcast. A larger one is joined by shuffle, with the
-    left rows of each key spread over ``SALTS`` partitions by the column ``salt_by`` and the
+    left rows of each key spread over ``salts`` partitions by the column ``salt_by`` and the
     lookup repeated for each, so that a key which holds a large share of the rows is not
     one task. ``size`` is the row count of the lookup where it is known.
     """
     small = size <= rows if size is not None else fits_broadcast(right, rows)
     if small:
         return left.join(F.broadcast(right), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [on, "_salt"], how).drop("_salt")
