@@ -258,11 +258,14 @@ def first_nonempty(spark, sf):
     )
 
 
-def paths(spark, sf):
+def in_path():
     case = F.col("doc_id") % 4
     ext = F.when(case == 0, ".md").when(case == 1, ".PDF").when(case == 2, "").otherwise(".tar.gz")
-    path = F.concat(F.lit("/in/"), F.col("source"), F.lit("/doc."), F.col("doc_id").cast("string"), ext)
-    return table(spark, sf, "documents").select("doc_id", path.alias("path"))
+    return F.concat(F.lit("/in/"), F.col("source"), F.lit("/doc."), F.col("doc_id").cast("string"), ext)
+
+
+def paths(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", in_path().alias("path"))
 
 
 def output_paths(spark, sf):
@@ -299,7 +302,8 @@ def content_files(spark, sf):
     """Documents as UTF-8 files with ``\\r\\n`` line ends, some with a byte that is not UTF-8."""
     crlf = F.encode(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), "UTF-8")
     content = F.when(F.col("doc_id") % 7 == 0, F.concat(crlf, F.unhex(F.lit("FF")))).otherwise(crlf)
-    return documents(spark, sf).select("doc_id", content.alias("content"))
+    rows = documents(spark, sf, "doc_id", "text", "source")
+    return rows.select("doc_id", in_path().alias("path"), content.alias("content"))
 
 
 def read_docs(spark, sf):
@@ -466,8 +470,7 @@ def flat_events(events: DataFrame) -> DataFrame:
 
 def job_events(spark, sf):
     """One job per file: whether its bytes could be read decides how it ends."""
-    read = decode_documents(content_files(spark, sf)).join(paths(spark, sf), "doc_id")
-    return flat_events(audit.job_events(read, "encrypt", NOW, USER))
+    return flat_events(audit.job_events(decode_documents(content_files(spark, sf)), "encrypt", NOW, USER))
 
 
 def audit_all(spark, sf):

@@ -192,8 +192,10 @@ def _hit(text: str, number: int, rule: Recognizer) -> str:
 
 
 def _hit_spans(hit: str, rules: list[Recognizer]) -> str:
-    near = f"right(pair.gap, {CONTEXT_WINDOW})"
-    score = f"if(coalesce({near} RLIKE {hit}.context, false), {hit}.context_score, {hit}.score)"
+    def score(gap: str) -> str:
+        near = f"right({gap}, {CONTEXT_WINDOW})"
+        return f"if(coalesce({near} RLIKE {hit}.context, false), {hit}.context_score, {hit}.score)"
+
     spans = located(f"{hit}.found", f"{hit}.gaps", f"{hit}.entity_type", score)
     checks = " ".join(
         f"WHEN {number} THEN {rule.check.format(match='s.text')}"

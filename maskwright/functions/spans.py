@@ -2,9 +2,10 @@
 
 A span is ``STRUCT<start, end, entity_type, score, text>`` with 0-based, end-exclusive
 code-point offsets. Everything here works on the row alone, so detection and masking need
-no shuffle, and the cost stays linear in the text and near-linear in the number of spans:
-growing arrays are kept in blocks, and long texts are cut into chunks so that taking a
-slice does not walk the text from its beginning.
+no shuffle, and the cost stays linear in the text and near-linear in the number of spans.
+Two things take care of that: ``aggregate`` copies its accumulator in every step, so only
+short arrays of numbers are grown in it, block by block; and long texts are cut into
+chunks, so that taking a slice does not walk the text from its beginning.
 
 The functions take and give SQL text, which ``F.expr`` turns into a column in one call;
 the same trees built through ``pyspark.sql.functions`` cost seconds of driver time.
@@ -32,8 +33,8 @@ def quoted(value: str | None) -> str:
 
 
 LAMBDA_NAMES = frozenset(
-    "a acc b between c chunks clash entry fixed found g h i k kept kind m ordered p pair parts pieces placed r raw"
-    " rest s signed v ch".split()
+    "a acc b bases before begins block blocks c ch chain chunks clash e entry f facts fixed found g gaps h i j k"
+    " kept kind lines m n now opened ordered p part pieces r raw reach rest s shift signed v vals w x".split()
 )
 
 
@@ -70,33 +71,43 @@ def let(variable: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {variable} -> {body}), 0)"
 
 
+def record(**fields: str) -> str:
+    """A struct by field names."""
+    return "named_struct(" + ", ".join(f"'{field}', {value}" for field, value in fields.items()) + ")"
+
+
 def empty(element: str) -> str:
     return f"CAST(array() AS array<{element}>)"
 
 
-# --- arrays that grow in a fold ------------------------------------------------------
+# --- running values ------------------------------------------------------------------
 
 
-def grown_type(element: str) -> str:
-    return f"struct<blocks:array<array<{element}>>,open:array<{element}>>"
+def running(values: str, combine: Callable[[str, str], str]) -> str:
+    """For each number the combination of those before it, from 0: running sums or maxima.
 
+    More than one block of numbers are first combined block by block.
+    """
 
-def grow_start(element: str) -> str:
-    return f"CAST(struct(array(), array()) AS {grown_type(element)})"
+    def within(numbers: str, start: str) -> str:
+        step = record(now=combine("acc.now", "x"), out="concat(acc.out, array(acc.now))")
+        return f"aggregate({numbers}, {record(now=start, out=empty('int'))}, (acc, x) -> {step}, acc -> acc.out)"
 
+    cut = f"transform(sequence(0, CAST((size(vals) - 1) div {BLOCK} AS int)), b -> slice(vals, b * {BLOCK} + 1, {BLOCK}))"
+    total = f"aggregate(block, 0, (acc, x) -> {combine('acc', 'x')})"
+    bases = within(f"transform(blocks, block -> {total})", "0")
+    by_block = let("blocks", cut, let(
+        "bases", bases, f"flatten(transform(blocks, (block, b) -> {within('block', 'get(bases, b)')}))"
+    ))
+    return let("vals", values, f"if(size(vals) <= {BLOCK}, {within('vals', '0')}, {by_block})")
 
-def grow(acc: str, more: str, element: str) -> str:
-    """Append the array ``more``: a full block is set aside, so a step copies one block only."""
-    kind = grown_type(element)
-    return (
-        f"if(size({acc}.open) >= {BLOCK},"
-        f" CAST(struct(concat({acc}.blocks, array({acc}.open)), {more}) AS {kind}),"
-        f" CAST(struct({acc}.blocks, concat({acc}.open, {more})) AS {kind}))"
-    )
+
+def running_sum(values: str) -> str:
+    return running(values, lambda a, b: f"{a} + {b}")
 
 
-def grown(acc: str) -> str:
-    return f"concat(flatten({acc}.blocks), {acc}.open)"
+def running_max(values: str) -> str:
+    return running(values, lambda a, b: f"greatest({a}, {b})")
 
 
 # --- slices --------------------------------------------------------------------------
@@ -127,36 +138,28 @@ def with_slicer(text: str, wanted: str, body: Callable[[Cut], str]) -> str:
 # --- matches to spans ----------------------------------------------------------------
 
 
-def span_struct(start: str, match: str, entity_type: str, score: str) -> str:
-    return (
-        f"CAST(struct({start}, {start} + length({match}), {entity_type},"
-        f" coalesce({score}, 0D), {match}) AS {SPAN})"
-    )
+def located(found: str, gaps: str, entity_type: str, score: Callable[[str], str]) -> str:
+    """Turn the matches ``found`` into spans, given the ``gaps`` before, between and after them.
 
-
-def located(found: str, gaps: str, entity_type: str, score: str) -> str:
-    """Walk over gap, match, gap, match, ... and turn each match into a span.
-
-    ``gaps`` has one element more than ``found``. ``score`` may use ``pair.gap``, the text
-    since the match before, and ``pair.match``.
+    ``score`` gives SQL for a score from SQL for the gap, the text since the match before.
     """
-    acc_type = f"struct<pos:int,out:{grown_type(SPAN)}>"
-    span = span_struct("(acc.pos + length(pair.gap))", "pair.match", entity_type, score)
-    pairs = (
-        f"zip_with({found}, slice({gaps}, 1, size({found})),"
-        " (m, g) -> named_struct('match', m, 'gap', g))"
+    lengths = f"zip_with({found}, slice({gaps}, 1, size({found})), (m, g) -> length(g) + length(m))"
+    gap = f"get({gaps}, i)"
+    begin = f"get(before, i) + length({gap})"
+    span = record(
+        start=begin,
+        end=f"{begin} + length(m)",
+        entity_type=entity_type,
+        score=f"coalesce({score(gap)}, 0D)",
+        text="m",
     )
-    step = (
-        f"CAST(struct(acc.pos + length(pair.gap) + length(pair.match), {grow('acc.out', f'array({span})', SPAN)})"
-        f" AS {acc_type})"
-    )
-    start = f"CAST(struct(0, {grow_start(SPAN)}) AS {acc_type})"
-    return f"aggregate({pairs}, {start}, (acc, pair) -> {step}, acc -> {grown('acc.out')})"
+    return let("before", running_sum(lengths), f"transform({found}, (m, i) -> {span})")
 
 
 def pattern_spans(text: str, pattern: str, entity_type: str, score: float = 1.0) -> str:
     """All matches of a Java pattern that never matches the empty string."""
-    spans = located("found", f"split({text}, {quoted(pattern)}, -1)", quoted(entity_type), f"{float(score)}D")
+    spans = located("found", "gaps", quoted(entity_type), lambda gap: f"{float(score)}D")
+    spans = let("gaps", f"split({text}, {quoted(pattern)}, -1)", spans)
     return let(
         "found",
         f"regexp_extract_all({text}, {quoted(pattern)}, 0)",
@@ -167,10 +170,12 @@ def pattern_spans(text: str, pattern: str, entity_type: str, score: float = 1.0)
 def literal_spans(text: str, needle: str, entity_type: str, score: str) -> str:
     """All non-overlapping occurrences of a literal string, left to right."""
     pattern = f"regexp_replace({needle}, {quoted(LITERAL_SPECIALS)}, {quoted(LITERAL_ESCAPE)})"
-    spans = located(f"array_repeat({needle}, size(parts) - 1)", "parts", entity_type, score)
+    spans = let(
+        "found", f"array_repeat({needle}, size(gaps) - 1)", located("found", "gaps", entity_type, lambda gap: score)
+    )
     return (
         f"if(length({needle}) > 0 AND contains({text}, {needle}),"
-        f" {let('parts', f'split({text}, {pattern}, -1)', spans)}, {empty(SPAN)})"
+        f" {let('gaps', f'split({text}, {pattern}, -1)', spans)}, {empty(SPAN)})"
     )
 
 
@@ -183,15 +188,11 @@ LITERAL_ESCAPE = r"\\$1"
 
 def _by_cluster(spans: str, finish: Callable[[str], str]) -> str:
     """Cut start-ordered spans into chains of overlapping ones and apply ``finish`` to each."""
-    acc_type = f"struct<stop:int,chain:array<{SPAN}>,out:{grown_type(SPAN)}>"
-    settled = f"if(size(acc.chain) < 2, acc.chain, {finish('acc.chain')})"
-    step = (
-        "if(s.start < acc.stop,"
-        f" CAST(struct(greatest(acc.stop, s.end), concat(acc.chain, array(s)), acc.out) AS {acc_type}),"
-        f" CAST(struct(s.end, array(s), {grow('acc.out', settled, SPAN)}) AS {acc_type}))"
-    )
-    start = f"CAST(struct(0, array(), {grow_start(SPAN)}) AS {acc_type})"
-    return f"aggregate({spans}, {start}, (acc, s) -> {step}, acc -> concat({grown('acc.out')}, {settled}))"
+    begins = f"filter(sequence(0, size({spans}) - 1), i -> get({spans}, i).start >= get(reach, i))"
+    next_begin = f"coalesce(get(begins, i + 1), size({spans}))"
+    chains = f"transform(begins, (b, i) -> slice({spans}, b + 1, {next_begin} - b))"
+    done = f"flatten(transform({chains}, chain -> if(size(chain) < 2, chain, {finish('chain')})))"
+    return let("reach", running_max(f"transform({spans}, s -> s.end)"), let("begins", begins, done))
 
 
 def _unless_disjoint(spans: str, finish: Callable[[str], str]) -> str:
@@ -210,15 +211,16 @@ def resolve_overlaps(spans: str) -> str:
     """
 
     def greedy(chain: str) -> str:
-        ranked = (
-            f"array_sort(transform({chain}, c -> named_struct('open', c.entity_type <> '',"
-            " 'longest', c.start - c.end, 'best', -c.score, 'first', c.start, 'kind', c.entity_type, 'span', c)))"
+        rank = record(
+            open="c.entity_type <> ''", longest="c.start - c.end", best="-c.score", start="c.start",
+            kind="c.entity_type", end="c.end", at="i",
         )
-        return (
-            f"array_sort(aggregate({ranked}, {empty(SPAN)}, (kept, r) ->"
-            " if(exists(kept, k -> k.start < r.span.end AND r.span.start < k.end),"
-            f" kept, CAST(concat(kept, array(r.span)) AS array<{SPAN}>))))"
+        ranked = f"transform(array_sort(transform({chain}, (c, i) -> {rank})), r -> {record(start='r.start', end='r.end', at='r.at')})"
+        kept = (
+            f"aggregate({ranked}, {empty('struct<start:int,end:int,at:int>')}, (kept, r) ->"
+            " if(exists(kept, k -> k.start < r.end AND r.start < k.end), kept, concat(kept, array(r))))"
         )
+        return f"transform(array_sort({kept}), k -> get({chain}, k.at))"
 
     return _unless_disjoint(spans, greedy)
 
@@ -242,19 +244,28 @@ def drop_in_protected(spans: str) -> str:
 
 def with_line_column(text: str, spans: str) -> str:
     """Add the 1-based line and column of each start to start-ordered spans."""
-    acc_type = f"struct<pos:int,line:int,col:int,out:{grown_type(PLACED)}>"
-    start = f"CAST(struct(0, 1, 1, {grow_start(PLACED)}) AS {acc_type})"
 
     def walk(cut: Cut) -> str:
-        line = "(acc.line + length(between) - length(replace(between, '\\n', '')))"
-        col = (
-            "(if(contains(between, '\\n'), length(substring_index(between, '\\n', -1)) + 1,"
-            " acc.col + length(between)))"
+        # Per span, the text since the span before: its newlines, and where its last line begins.
+        previous = f"coalesce(get({spans}, i - 1).start, 0)"
+        part = cut(previous, f"s.start - {previous}")
+        facts = let(
+            "part",
+            part,
+            record(
+                breaks="length(part) - length(replace(part, '\\n', ''))",
+                opens="if(contains(part, '\\n'), s.start - length(substring_index(part, '\\n', -1)), 0)",
+            ),
+        )
+        row = record(
+            start="s.start", end="s.end", entity_type="s.entity_type", score="s.score", text="s.text",
+            line="get(lines, i) + get(facts, i).breaks + 1",
+            column="s.start - greatest(get(opened, i), get(facts, i).opens) + 1",
         )
-        row = f"CAST(struct(s.start, s.end, s.entity_type, s.score, s.text, {line}, {col}) AS {PLACED})"
-        step = f"CAST(struct(s.start, {line}, {col}, {grow('acc.out', f'array({row})', PLACED)}) AS {acc_type})"
-        step = let("between", cut("acc.pos", "s.start - acc.pos"), step)
-        return f"aggregate({spans}, {start}, (acc, s) -> {step}, acc -> {grown('acc.out')})"
+        lines = running_sum("transform(facts, f -> f.breaks)")
+        opened = running_max("transform(facts, f -> f.opens)")
+        rows = let("lines", lines, let("opened", opened, f"transform({spans}, (s, i) -> {row})"))
+        return let("facts", f"transform({spans}, (s, i) -> {facts})", rows)
 
     return f"if(size({spans}) > 0, {with_slicer(text, f'size({spans})', walk)}, {empty(PLACED)})"
 
@@ -276,11 +287,7 @@ def splice(text: str, pieces: str) -> str:
 
 def spliced_items(pieces: str) -> str:
     """Where the replacements of :func:`splice` stand in the new text."""
-    acc_type = f"struct<shift:int,out:{grown_type(ITEM)}>"
-    item = f"CAST(struct(p.start + acc.shift, p.start + acc.shift + length(p.new), p.entity_type) AS {ITEM})"
-    step = (
-        f"CAST(struct(acc.shift + length(p.new) - (p.end - p.start), {grow('acc.out', f'array({item})', ITEM)})"
-        f" AS {acc_type})"
-    )
-    start = f"CAST(struct(0, {grow_start(ITEM)}) AS {acc_type})"
-    return f"aggregate({pieces}, {start}, (acc, p) -> {step}, acc -> {grown('acc.out')})"
+    begin = "p.start + get(shift, i)"
+    item = record(start=begin, end=f"{begin} + length(p.new)", entity_type="p.entity_type")
+    shift = running_sum(f"transform({pieces}, p -> length(p.new) - (p.end - p.start))")
+    return let("shift", shift, f"transform({pieces}, (p, i) -> {item})")

@@ -12,6 +12,7 @@ from maskwright.session import BROADCAST_ROWS, fits_broadcast, lookup_join
 WORD = r"[\p{L}\p{N}_#&.'-]+"
 WORD_END = r"[.'-]+$"
 TERM_SALTS = 8
+WORDS = "struct<start:int,end:int,text:string>"
 
 
 def normal_term(term: str) -> str:
@@ -41,11 +42,13 @@ def dictionary_spans(
         terms.select(F.expr(normal_term("term")).alias("_gram"), "entity_type").where("_gram <> ''").distinct()
     )
     longest = lexicon.agg(F.max(F.size(F.split("_gram", " ")))).first()[0] or 1
-    found = located("found", f"split({name(text)}, {quoted(WORD)}, -1)", "''", "0D")
+    found = let(
+        "gaps", f"split({name(text)}, {quoted(WORD)}, -1)", located("found", "gaps", "''", lambda gap: "0D")
+    )
     trimmed = f"regexp_replace(w.text, {quoted(WORD_END)}, '')"
     words = (
         f"filter(transform({let('found', f'regexp_extract_all({name(text)}, {quoted(WORD)}, 0)', found)},"
-        f" w -> CAST(struct(w.start, w.start + length({trimmed}), '', 0D, {trimmed}) AS {SPAN})), w -> w.text <> '')"
+        f" w -> named_struct('start', w.start, 'end', w.start + length({trimmed}), 'text', {trimmed})), w -> w.text <> '')"
     )
     grams = (
         f"flatten(transform(sequence(1, {int(longest)}), n -> if(size(_words) < n, array(),"
@@ -53,7 +56,7 @@ def dictionary_spans(
         "'start', _words[j - 1].start, 'end', _words[j + n - 2].end,"
         " '_gram', array_join(transform(slice(_words, j, n), w -> w.text), ' '))))))"
     )
-    tokenized = compute(docs.select(by, text), {"_words": f"coalesce({words}, {empty(SPAN)})"})
+    tokenized = compute(docs.select(by, text), {"_words": f"coalesce({words}, {empty(WORDS)})"})
     rows = tokenized.selectExpr(name(by), f"inline({grams})")
     small = fits_broadcast(lexicon, broadcast_rows)
     if not small:

@@ -76,7 +76,7 @@ def deletion_summary(outcome: DataFrame) -> DataFrame:
 
 def retained(table: DataFrame, expired: DataFrame, key: str) -> DataFrame:
     """The rows whose key has not expired. The sizes decide the join, at run time."""
-    return table.join(expired.select(key).distinct(), key, "left_anti")
+    return table.join(expired.select(key), key, "left_anti")
 
 
 def emptied_dirs(files: DataFrame, expired: DataFrame, root: str) -> DataFrame:
