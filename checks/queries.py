@@ -392,7 +392,8 @@ def gazetteer_join(spark, sf):
         F.lit("Tenant: "), F.col("c_name"), F.lit(" | Signer: "), signer, F.lit(".\nAgent "), F.col("c_name"),
         F.lit(", "), F.col("n_name"), F.lit("."),
     )
-    leases = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", text.alias("text"))
+    tenants = spread(customer.select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
+    leases = tenants.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", text.alias("text"))
     terms = (
         customer.select(F.col("c_name").alias("term"), F.lit("PERSON").alias("entity_type"))
         .unionByName(nation.select(F.col("n_name").alias("term"), F.lit("LOCATION").alias("entity_type")))

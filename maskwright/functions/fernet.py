@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from maskwright.functions.spans import let
+from maskwright.session import BROADCAST_ROWS
 
 KEY_COLUMNS = ("enc_key", "ipad", "opad")
 
@@ -44,10 +45,10 @@ def ensure_key(key: str | bytes | None = None) -> bytes:
 
 @dataclass(frozen=True)
 class KeyRing:
-    """A table of key parts by key id, its size, and its key id if there is only one."""
+    """A table of key parts by key id; whether it may be broadcast; its key id if there is only one."""
 
     table: DataFrame
-    size: int
+    small: bool
     only: str | None = None
 
 
@@ -68,7 +69,7 @@ def key_ring(spark: SparkSession, keys: Mapping[str, str | bytes]) -> KeyRing:
             )
         )
     only = rows[0][0] if len(rows) == 1 else None
-    return KeyRing(spark.createDataFrame(rows, KEY_SCHEMA), len(rows), only)
+    return KeyRing(spark.createDataFrame(rows, KEY_SCHEMA), len(rows) <= BROADCAST_ROWS, only)
 
 
 def hmac_sha256(message: str, ipad: str = "ipad", opad: str = "opad") -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import SPAN, compute, empty, let, located, name, quoted
-from maskwright.session import BROADCAST_ROWS, fits_broadcast, lookup_join
+from maskwright.session import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup_join
 
 # A word is a run of letters, digits and the signs that occur inside names.
 WORD = r"[\p{L}\p{N}_#&.'-]+"
@@ -41,7 +41,10 @@ def dictionary_spans(
     lexicon = (
         terms.select(F.expr(normal_term("term")).alias("_gram"), "entity_type").where("_gram <> ''").distinct()
     )
-    longest = lexicon.agg(F.max(F.size(F.split("_gram", " ")))).first()[0] or 1
+    size, bytes_, longest = lexicon.agg(
+        F.count("*"), F.sum(F.octet_length("_gram")), F.max(F.size(F.split("_gram", " ")))
+    ).first()
+    small = size <= broadcast_rows and (bytes_ or 0) <= BROADCAST_BYTES
     found = let(
         "gaps", f"split({name(text)}, {quoted(WORD)}, -1)", located("found", "gaps", "''", lambda gap: "0D")
     )
@@ -51,22 +54,20 @@ def dictionary_spans(
         f" w -> named_struct('start', w.start, 'end', w.start + length({trimmed}), 'text', {trimmed})), w -> w.text <> '')"
     )
     grams = (
-        f"flatten(transform(sequence(1, {int(longest)}), n -> if(size(_words) < n, array(),"
+        f"flatten(transform(sequence(1, {int(longest or 1)}), n -> if(size(_words) < n, array(),"
         " transform(sequence(1, size(_words) - n + 1), j -> named_struct("
         "'start', _words[j - 1].start, 'end', _words[j + n - 2].end,"
         " '_gram', array_join(transform(slice(_words, j, n), w -> w.text), ' '))))))"
     )
     tokenized = compute(docs.select(by, text), {"_words": f"coalesce({words}, {empty(WORDS)})"})
     rows = tokenized.selectExpr(name(by), f"inline({grams})")
-    small = fits_broadcast(lexicon, broadcast_rows)
     if not small:
         first = F.substring_index("_gram", " ", 1)
         heads = lexicon.select(first.alias("_head")).distinct()
-        if fits_broadcast(heads, broadcast_rows):
+        if fits_broadcast(heads, broadcast_rows, BROADCAST_BYTES):
             rows = rows.join(F.broadcast(heads), first == F.col("_head"), "left_semi")
     hits = lookup_join(
-        rows, lexicon, "_gram", "inner", size=0 if small else broadcast_rows + 1, rows=broadcast_rows,
-        salt_by="start", salts=TERM_SALTS,
+        rows, lexicon, "_gram", "inner", small=small, salt_by="start", salts=TERM_SALTS
     )
     return hits.select(
         by, "start", "end", "entity_type", F.lit(float(score)).alias("score"), F.col("_gram").alias("text")

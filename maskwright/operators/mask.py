@@ -30,7 +30,7 @@ def with_keys(docs: DataFrame, keys: KeyRing, key_id: str | None = None, by: str
     else:
         docs = docs.withColumn("_key_id", F.col(key_id))
     table = keys.table.withColumnRenamed("key_id", "_key_id")
-    return lookup_join(docs, table, "_key_id", size=keys.size, salt_by=by).drop("_key_id")
+    return lookup_join(docs, table, "_key_id", small=keys.small, salt_by=by).drop("_key_id")
 
 
 def _anonymized(salt: str, modulus: int) -> str:

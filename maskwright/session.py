@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
@@ -49,9 +50,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``rows`` rows and ``size`` bytes of text or binary data.
+
+    Reads no more than one row beyond the bound.
+    """
+    wide = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    total = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0))
+    count, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(total), F.lit(0))).first()
+    return count <= rows and held <= size
 
 
 def lookup_join(
@@ -59,19 +66,19 @@ def lookup_join(
     right: DataFrame,
     on: str,
     how: str = "left",
-    rows: int = BROADCAST_ROWS,
-    size: int | None = None,
+    small: bool | None = None,
     salt_by: str = "doc_id",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join a large table to a lookup table with unique keys.
+    """Join a large table to a lookup table.
 
     A lookup of checked size is broadcast. A larger one is joined by shuffle, with the
     left rows of each key spread over ``salts`` partitions by the column ``salt_by`` and the
     lookup repeated for each, so that a key which holds a large share of the rows is not
-    one task. ``size`` is the row count of the lookup where it is known.
+    one task. ``small`` is the outcome of the check where the caller has made it.
     """
-    small = size <= rows if size is not None else fits_broadcast(right, rows)
+    if small is None:
+        small = fits_broadcast(right)
     if small:
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
