@@ -165,7 +165,7 @@ KV = (
     " AS items FROM pages))"
 )
 LEASES = (
-    "src AS (SELECT c_custkey AS id, 'Tenant: ' || c_name || ' | Signer: ' || n_name || ' Investors Co.'"
+    "src AS (SELECT c_custkey AS id, 'Tenant: ' || c_name || ' | Signer: ' || n_name || ' Holdings Co.'"
     " || chr(10) || 'Agent ' || c_name || ', ' || n_name || '.' AS text"
     " FROM customer JOIN nation ON n_nationkey = c_nationkey)"
 )
@@ -449,7 +449,7 @@ def oracle_sql() -> dict[str, str]:
     word = r"[\p{L}\p{N}_#&.''-]+"
     sql["gazetteer_join"] = (
         f"WITH {LEASES}, terms AS (SELECT DISTINCT c_name AS term, 'PERSON' AS entity_type FROM customer UNION ALL"
-        " SELECT DISTINCT n_name, 'LOCATION' FROM nation UNION ALL SELECT DISTINCT n_name || ' Investors Co', 'ORGANIZATION'"
+        " SELECT DISTINCT n_name, 'LOCATION' FROM nation UNION ALL SELECT DISTINCT n_name || ' Holdings Co', 'ORGANIZATION'"
         f" FROM nation), cut AS (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT id, string_split("
         f"regexp_replace(text, '({word})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM src)),"
         " seq AS (SELECT id, i, regexp_replace(split_part(p, chr(2), 1), '[.''-]+$', '') AS w,"

@@ -387,7 +387,7 @@ def gazetteer_join(spark, sf):
     """Leases made from customers and nations, against their names as dictionary."""
     nation = table(spark, sf, "nation")
     customer = table(spark, sf, "customer")
-    signer = F.concat(F.col("n_name"), F.lit(" Investors Co"))
+    signer = F.concat(F.col("n_name"), F.lit(" Holdings Co"))
     text = F.concat(
         F.lit("Tenant: "), F.col("c_name"), F.lit(" | Signer: "), signer, F.lit(".\nAgent "), F.col("c_name"),
         F.lit(", "), F.col("n_name"), F.lit("."),

@@ -17,7 +17,9 @@ OPERATORS = ("encrypt", "anonymize", "redact", "keep")
 PIECE = "struct<start:int,end:int,entity_type:string,new:string>"
 
 
-def with_keys(docs: DataFrame, keys: KeyRing, key_id: str | None = None, by: str = "doc_id") -> DataFrame:
+def with_keys(
+    docs: DataFrame, keys: KeyRing, key_id: str | None = None, by: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """Put the key parts on each row, by the column ``key_id`` or, if there is one key only, by its id.
 
     Rows whose key id is unknown get NULL key parts.
@@ -26,7 +28,7 @@ def with_keys(docs: DataFrame, keys: KeyRing, key_id: str | None = None, by: str
         if keys.only is None:
             raise ValueError("with more than one key, name the column that holds the key id")
         # Not a plain literal: with one, the join would lose its key and become a nested loop.
-        docs = docs.withColumn("_key_id", F.when(F.col(by).isNotNull(), F.lit(keys.only)))
+        docs = docs.withColumn("_key_id", F.when(F.col(text).isNotNull(), F.lit(keys.only)))
     else:
         docs = docs.withColumn("_key_id", F.col(key_id))
     table = keys.table.withColumnRenamed("key_id", "_key_id")
@@ -80,7 +82,7 @@ def mask(
     if "encrypt" in used:
         if keys is None or now is None:
             raise ValueError("encrypt needs keys and now")
-        docs = with_keys(docs, keys, key_id, by)
+        docs = with_keys(docs, keys, key_id, by, text)
     replacement = {
         "encrypt": _encrypted(by, int(now.timestamp())) if now is not None else "",
         "anonymize": _anonymized(salt, modulus),

@@ -44,6 +44,24 @@ def _kept_model(load: Callable[[], Any], label: str) -> Callable[[], Any]:
     return get
 
 
+def first_working(loaders: Sequence[Callable[[], Any]], probe: str = "warm up") -> Callable[[], Any]:
+    """A loader that takes the first of several detectors which loads and answers a probe."""
+    choices = list(loaders)
+
+    def load() -> Any:
+        reasons = []
+        for choice in choices:
+            try:
+                model = choice()
+                list(model([probe]))
+                return model
+            except Exception as exc:
+                reasons.append(str(exc))
+        raise RuntimeError("no model could be loaded: " + "; ".join(reasons))
+
+    return load
+
+
 def detect_with_model(
     docs: DataFrame,
     load: Callable[[], Callable[[list[str]], Iterable[Sequence[tuple]]]],

@@ -43,7 +43,7 @@ def unmask(
         f" {let('found', restored, fields % (body, 'size(found)', opened))}, {fields % (source, '0', '0')})"
     )
     names = (into, "markers_found", "markers_decrypted")
-    return compute(with_keys(docs, keys, key_id, by), result, names=names).drop(*KEY_COLUMNS)
+    return compute(with_keys(docs, keys, key_id, by, text), result, names=names).drop(*KEY_COLUMNS)
 
 
 def unmask_items(
@@ -62,7 +62,7 @@ def unmask_items(
     new = let("m", slice_, f"coalesce({fernet.decrypt(inner)}, m)")
     pieces = f"transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'new', {new}))"
     return compute(
-        with_keys(docs, keys, key_id, by), {into: let("pieces", pieces, splice(source, "pieces"))}
+        with_keys(docs, keys, key_id, by, text), {into: let("pieces", pieces, splice(source, "pieces"))}
     ).drop(*KEY_COLUMNS)
 
 
