@@ -443,8 +443,7 @@ def retained_rows(spark, sf):
 
 
 def emptied_dirs(spark, sf):
-    files = inventory(spark, sf)
-    return retention.emptied_dirs(files, retention.old_files(files, 3, retention_now()), "/data")
+    return retention.emptied_dirs(inventory(spark, sf), retention.expired(3, retention_now()), "/data")
 
 
 # --- audit ---------------------------------------------------------------------------

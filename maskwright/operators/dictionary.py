@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import SPAN, compute, empty, let, located, name, quoted
+from maskwright.functions.spans import SPAN, compute, empty, let, located, name, quoted, record
 from maskwright.session import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup_join
 
 # A word is a run of letters, digits and the signs that occur inside names.
@@ -32,11 +32,10 @@ def dictionary_spans(
     """One row ``(by, start, end, entity_type, score, text)`` per occurrence of a term.
 
     ``terms`` has ``term`` and ``entity_type``; ``text`` is the term found. Each document
-    gives its word sequences up to the length of the longest term, in the row, and those
-    meet the terms in an equi-join; the text itself is not carried along. A dictionary of
-    checked size is broadcast. A larger one is joined by shuffle and salted, after the
-    sequences that start with no first word of the dictionary are gone, where the list of
-    first words is small enough to be broadcast.
+    gives its words, in the row. Those that begin a term give word sequences up to the length
+    of the longest term, and the sequences meet the terms in an equi-join. A dictionary of
+    checked size is broadcast, and nothing is shuffled. A larger one is joined by shuffle and
+    salted; its first words are broadcast if they fit, else all sequences are joined.
     """
     lexicon = (
         terms.select(F.expr(normal_term("term")).alias("_gram"), "entity_type").where("_gram <> ''").distinct()
@@ -53,22 +52,20 @@ def dictionary_spans(
         f"filter(transform({let('found', f'regexp_extract_all({name(text)}, {quoted(WORD)}, 0)', found)},"
         f" w -> named_struct('start', w.start, 'end', w.start + length({trimmed}), 'text', {trimmed})), w -> w.text <> '')"
     )
-    grams = (
-        f"flatten(transform(sequence(1, {int(longest or 1)}), n -> if(size(_words) < n, array(),"
-        " transform(sequence(1, size(_words) - n + 1), j -> named_struct("
-        "'start', _words[j - 1].start, 'end', _words[j + n - 2].end,"
-        " '_gram', array_join(transform(slice(_words, j, n), w -> w.text), ' '))))))"
-    )
     tokenized = compute(docs.select(by, text), {"_words": f"coalesce({words}, {empty(WORDS)})"})
-    rows = tokenized.selectExpr(name(by), f"inline({grams})")
-    if not small:
-        first = F.substring_index("_gram", " ", 1)
-        heads = lexicon.select(first.alias("_head")).distinct()
-        if fits_broadcast(heads, broadcast_rows, BROADCAST_BYTES):
-            rows = rows.join(F.broadcast(heads), first == F.col("_head"), "left_semi")
-    hits = lookup_join(
-        rows, lexicon, "_gram", "inner", small=small, salt_by="start", salts=TERM_SALTS
+    heads = lexicon.select(F.substring_index("_gram", " ", 1).alias("_head")).distinct()
+    starts = tokenized.selectExpr(name(by), "_words", "posexplode(_words) AS (_at, _word)")
+    if small or fits_broadcast(heads, broadcast_rows):
+        # Most words begin no term; they are gone before any sequence is put together.
+        starts = starts.withColumn("_head", F.col("_word.text")).join(F.broadcast(heads), "_head", "left_semi")
+    gram = record(
+        start="_words[_at].start",
+        end="_words[_at + n - 1].end",
+        _gram="array_join(transform(slice(_words, _at + 1, n), w -> w.text), ' ')",
     )
+    grams = f"transform(sequence(1, least({int(longest or 1)}, size(_words) - _at)), n -> {gram})"
+    rows = starts.selectExpr(name(by), f"inline({grams})")
+    hits = lookup_join(rows, lexicon, "_gram", "inner", small=small, salt_by="start", salts=TERM_SALTS)
     return hits.select(
         by, "start", "end", "entity_type", F.lit(float(score)).alias("score"), F.col("_gram").alias("text")
     )

@@ -18,17 +18,20 @@ def matches_patterns(path: Column, patterns: Iterable[str] | None) -> Column:
     return F.exists(F.array(*[F.lit(p) for p in wanted]), lambda p: F.contains(basename(path), p))
 
 
-def old_files(
-    files: DataFrame, days: int, now: Column, patterns: Iterable[str] | None = None, mtime: str = "mtime"
-) -> DataFrame:
-    """Files last changed more than ``days`` before ``now`` (strictly), with their age in days.
+def expired(days: int, now: Column, patterns: Iterable[str] | None = None, mtime: str = "mtime") -> Column:
+    """Whether a file was last changed more than ``days`` before ``now`` (strictly) and matches.
 
     The time is compared bare, so that the filter reaches the scan.
     """
-    cutoff = now - F.make_dt_interval(days=F.lit(days))
+    return (F.col(mtime) < now - F.make_dt_interval(days=F.lit(days))) & matches_patterns(F.col("path"), patterns)
+
+
+def old_files(
+    files: DataFrame, days: int, now: Column, patterns: Iterable[str] | None = None, mtime: str = "mtime"
+) -> DataFrame:
+    """The expired files, with their age in days."""
     age = F.timestamp_diff("MICROSECOND", F.col(mtime), now) / F.lit(86_400_000_000.0)
-    expired = files.where(F.col(mtime) < cutoff).where(matches_patterns(F.col("path"), patterns))
-    return expired.withColumn("age_days", age)
+    return files.where(expired(days, now, patterns, mtime)).withColumn("age_days", age)
 
 
 def deletion_plan(old: DataFrame) -> DataFrame:
@@ -79,18 +82,16 @@ def retained(table: DataFrame, expired: DataFrame, key: str) -> DataFrame:
     return table.join(expired.select(key), key, "left_anti")
 
 
-def emptied_dirs(files: DataFrame, expired: DataFrame, root: str) -> DataFrame:
-    """Directories below ``root`` that the deletion leaves without a file, at any depth.
+def emptied_dirs(files: DataFrame, gone: Column, root: str) -> DataFrame:
+    """Directories below ``root`` that the deletion of the files with ``gone`` leaves without
+    a file, at any depth.
 
-    Files are first counted per directory, so that what is spread to the ancestors is one
-    row per directory, not per file.
+    One scan; files are first counted per directory, so that what is spread to the ancestors
+    is one row per directory, not per file.
     """
     base = root.rstrip("/")
-    marked = files.select("path", F.lit(1).alias("n"), F.lit(0).alias("gone")).unionAll(
-        expired.select("path", F.lit(0).alias("n"), F.lit(1).alias("gone"))
-    )
     folder = F.regexp_replace("path", r"/[^/]*\z", "")
-    per_dir = marked.groupBy(folder.alias("dir")).agg(F.sum("n").alias("n"), F.sum("gone").alias("gone"))
+    per_dir = files.groupBy(folder.alias("dir")).agg(F.count("*").alias("n"), F.count_if(gone).alias("gone"))
     below = F.substring("dir", F.lit(len(base) + 2), F.length("dir"))
     parts = F.split(below, "/")
     ancestors = F.transform(

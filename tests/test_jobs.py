@@ -38,7 +38,7 @@ def test_retention_on_files(spark, tmp_path):
     assert names == {"a/old.md": 10.0, "a/b/older.json": 30.5, "c/old.md": 7.001, "top.md": 50.0}
     assert retention.old_files(files, 7, now, []).count() == 5
     root = "file:" + str(tmp_path)
-    emptied = {r["dir"][len(root):] for r in retention.emptied_dirs(files, old, root).collect()}
+    emptied = {r["dir"][len(root):] for r in retention.emptied_dirs(files, retention.expired(7, now, [".md", ".json"]), root).collect()}
     assert emptied == {"/a", "/a/b"}
     assert retention.deletion_summary(retention.delete_files(old)).first().asDict() == {"files_deleted": 4, "errors": 0}
     assert (tmp_path / "top.md").exists()
