@@ -154,21 +154,27 @@ def select_recognizers(
     return chosen
 
 
-def recognized(text: str, recognizers: Iterable[Recognizer]) -> str:
+def recognized(text: str, recognizers: Iterable[Recognizer], keep_off: tuple[str, str] | None = None) -> str:
     """SQL for the spans of all recognizers, in no particular order.
 
     Only the regex calls are made per recognizer; offsets, scores and checks are worked out
-    by one shared expression over those which found something.
+    by one shared expression over those which found something. ``keep_off`` is a literal and
+    a pattern of areas to leave alone; they come out as spans with an empty entity type.
     """
     rules = list(recognizers)
     families: dict[str, list[str]] = {}
     for number, rule in enumerate(rules):
-        families.setdefault(rule.family, []).append(_hit(text, number, rule))
+        test = FAMILIES[rule.family].format(text=text)
+        boosted = rule.score if rule.context_score is None else rule.context_score
+        hit = _hit(text, rule.pattern, number, rule.entity_type, rule.score, rule.context, boosted)
+        families.setdefault(test, []).append(hit)
+    if keep_off is not None:
+        literal, pattern = keep_off
+        families[f"contains({text}, {quoted(literal)})"] = [_hit(text, pattern, -1, "", 1.0, None, 1.0)]
     if not families:
         return empty(SPAN)
     hits = ", ".join(
-        f"if({FAMILIES[family].format(text=text)}, array({', '.join(members)}), {empty(_HIT)})"
-        for family, members in families.items()
+        f"if({test}, array({', '.join(members)}), {empty(_HIT)})" for test, members in families.items()
     )
     found = f"filter(concat({hits}), h -> size(h.found) > 0)"
     return f"flatten(transform({found}, h -> {_hit_spans('h', rules)}))"
@@ -180,14 +186,14 @@ _HIT = (
 )
 
 
-def _hit(text: str, number: int, rule: Recognizer) -> str:
-    pattern = quoted(rule.pattern)
-    boosted = rule.score if rule.context_score is None else rule.context_score
+def _hit(
+    text: str, pattern: str, number: int, entity_type: str, score: float, context: str | None, boosted: float
+) -> str:
     return let(
         "found",
-        f"regexp_extract_all({text}, {pattern}, 0)",
-        f"CAST(struct({number}, {quoted(rule.entity_type)}, {float(rule.score)}D, {quoted(rule.context)},"
-        f" {float(boosted)}D, found, if(size(found) > 0, split({text}, {pattern}, -1), NULL)) AS {_HIT})",
+        f"regexp_extract_all({text}, {quoted(pattern)}, 0)",
+        f"CAST(struct({number}, {quoted(entity_type)}, {float(score)}D, {quoted(context)},"
+        f" {float(boosted)}D, found, if(size(found) > 0, split({text}, {quoted(pattern)}, -1), NULL)) AS {_HIT})",
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 SPAN = "struct<start:int,end:int,entity_type:string,score:double,text:string>"
 PLACED = "struct<start:int,end:int,entity_type:string,score:double,text:string,line:int,column:int>"
 ITEM = "struct<start:int,end:int,entity_type:string>"
-BLOCK = 256
+BLOCK = 32
 CHUNK = 4096
 
 
@@ -83,22 +83,23 @@ def empty(element: str) -> str:
 # --- running values ------------------------------------------------------------------
 
 
-def running(values: str, combine: Callable[[str, str], str]) -> str:
+def running(values: str, combine: Callable[[str, str], str], levels: int = 3) -> str:
     """For each number the combination of those before it, from 0: running sums or maxima.
 
-    More than one block of numbers are first combined block by block.
+    More than one block of numbers are first combined block by block, and the blocks' totals
+    are run over in the same way, so that no accumulator gets long.
     """
 
     def within(numbers: str, start: str) -> str:
         step = record(now=combine("acc.now", "x"), out="concat(acc.out, array(acc.now))")
         return f"aggregate({numbers}, {record(now=start, out=empty('int'))}, (acc, x) -> {step}, acc -> acc.out)"
 
+    if levels == 0:
+        return within(values, "0")
     cut = f"transform(sequence(0, CAST((size(vals) - 1) div {BLOCK} AS int)), b -> slice(vals, b * {BLOCK} + 1, {BLOCK}))"
-    total = f"aggregate(block, 0, (acc, x) -> {combine('acc', 'x')})"
-    bases = within(f"transform(blocks, block -> {total})", "0")
-    by_block = let("blocks", cut, let(
-        "bases", bases, f"flatten(transform(blocks, (block, b) -> {within('block', 'get(bases, b)')}))"
-    ))
+    totals = f"transform(blocks, block -> aggregate(block, 0, (acc, x) -> {combine('acc', 'x')}))"
+    filled = f"flatten(transform(blocks, (block, b) -> {within('block', 'get(bases, b)')}))"
+    by_block = let("blocks", cut, let("bases", running(totals, combine, levels - 1), filled))
     return let("vals", values, f"if(size(vals) <= {BLOCK}, {within('vals', '0')}, {by_block})")
 
 
@@ -156,17 +157,6 @@ def located(found: str, gaps: str, entity_type: str, score: Callable[[str], str]
     return let("before", running_sum(lengths), f"transform({found}, (m, i) -> {span})")
 
 
-def pattern_spans(text: str, pattern: str, entity_type: str, score: float = 1.0) -> str:
-    """All matches of a Java pattern that never matches the empty string."""
-    spans = located("found", "gaps", quoted(entity_type), lambda gap: f"{float(score)}D")
-    spans = let("gaps", f"split({text}, {quoted(pattern)}, -1)", spans)
-    return let(
-        "found",
-        f"regexp_extract_all({text}, {quoted(pattern)}, 0)",
-        f"if(size(found) > 0, {spans}, {empty(SPAN)})",
-    )
-
-
 def literal_spans(text: str, needle: str, entity_type: str, score: str) -> str:
     """All non-overlapping occurrences of a literal string, left to right."""
     pattern = f"regexp_replace({needle}, {quoted(LITERAL_SPECIALS)}, {quoted(LITERAL_ESCAPE)})"

@@ -15,7 +15,6 @@ from maskwright.functions.spans import (
     empty,
     let,
     name,
-    pattern_spans,
     quoted,
     resolve_overlaps,
     with_line_column,
@@ -27,11 +26,6 @@ MARKER_CLOSE = "}}"
 MARKER_PATTERN = r"\{\{ENC:([A-Z_]+):([A-Za-z0-9_\-]+=*)\}\}"
 
 
-def _marker_areas(text: str) -> str:
-    """Spans of existing markers, with an empty entity type: they must not be masked again."""
-    return f"if(contains({text}, {quoted(MARKER_OPEN)}), {pattern_spans(text, MARKER_PATTERN, '')}, {empty(SPAN)})"
-
-
 def detect(
     docs: DataFrame,
     text: str = "text",
@@ -48,7 +42,8 @@ def detect(
     if overlaps not in ("resolve", "keep"):
         raise ValueError("overlaps must be 'resolve' or 'keep'")
     source = name(text)
-    parts = [recognized(source, select_recognizers(entities, recognizers)), _marker_areas(source)]
+    # Existing markers are areas to keep off: they must not be masked again.
+    parts = [recognized(source, select_recognizers(entities, recognizers), (MARKER_OPEN, MARKER_PATTERN))]
     if also is not None:
         parts.append(f"coalesce(CAST({name(also)} AS array<{SPAN}>), {empty(SPAN)})")
     settle = resolve_overlaps if overlaps == "resolve" else drop_in_protected
