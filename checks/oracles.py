@@ -266,6 +266,11 @@ def oracle_sql() -> dict[str, str]:
     sql["filter_entities"] = (
         f"WITH {FOUND} SELECT id AS doc_id, {MATCH_COLUMNS} FROM kept WHERE entity_type IN ('EMAIL_ADDRESS', 'PHONE_NUMBER')"
     )
+    sql["filter_by_source_list"] = (
+        f"WITH {FOUND} SELECT k.id AS doc_id, {MATCH_COLUMNS.replace('text', 'k.text')} FROM kept k JOIN documents d"
+        " ON d.doc_id = k.id WHERE CASE WHEN right(d.source, 1) = '9' THEN true WHEN right(d.source, 1) IN ('0', '2', '4', '6',"
+        " '8') THEN entity_type IN ('EMAIL_ADDRESS', 'PHONE_NUMBER') ELSE entity_type = 'CREDIT_CARD' END"
+    )
     sql["entity_counts"] = f"WITH {FOUND} SELECT id AS doc_id, entity_type, n FROM ({COUNTS})"
     sql["entity_rollup"] = (
         f"WITH {FOUND} SELECT source, lang, entity_type, CAST(sum(n) AS BIGINT) AS n_spans, count(*) AS n_doc_types"

@@ -16,7 +16,7 @@ from maskwright.functions.fernet import key_ring
 from maskwright.functions.recognizers import RECOGNIZERS, Recognizer
 from maskwright.functions import text as tx
 from maskwright.operators import audit, retention
-from maskwright.operators.detect import MARKER_PATTERN, detect, filter_entities, matches
+from maskwright.operators.detect import MARKER_PATTERN, detect, filter_by_list, filter_entities, matches
 from maskwright.operators.dictionary import dictionary_spans
 from maskwright.operators.extract import assemble_pages, extract_text
 from maskwright.operators.mask import mask, mask_numbered, placeholder_counts
@@ -123,6 +123,18 @@ def filter_entities_query(spark, sf):
     return span_rows(filter_entities(detect(documents(spark, sf)), ["EMAIL_ADDRESS", "PHONE_NUMBER"]))
 
 
+def filter_by_source_list(spark, sf):
+    """Each source has its own list of types; sources that end in 9 have none, so all are kept."""
+    last = F.right("source", F.lit(1))
+    types = F.when(last.isin("0", "2", "4", "6", "8"), F.array(F.lit("EMAIL_ADDRESS"), F.lit("PHONE_NUMBER"))).otherwise(
+        F.array(F.lit("CREDIT_CARD"))
+    )
+    sources = table(spark, sf, "documents").select("source").distinct().where(last != "9")
+    allowed = sources.select("source", F.explode(types).alias("entity_type"))
+    docs = documents(spark, sf, "doc_id", "text", "source")
+    return span_rows(filter_by_list(detect(docs), allowed, "source"))
+
+
 def resolve_overlaps(spark, sf):
     return span_rows(detect(pages(spark, sf), recognizers=(*RECOGNIZERS, DOMAIN)), "page_id")
 
@@ -547,6 +559,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "span_line_col": span_line_col,
         "detect_identities": detect_identities,
         "filter_entities": filter_entities_query,
+        "filter_by_source_list": filter_by_source_list,
         "resolve_overlaps": resolve_overlaps,
         "entity_counts": entity_counts_query,
         "entity_rollup": entity_rollup_query,

@@ -19,6 +19,7 @@ from maskwright.functions.spans import (
     resolve_overlaps,
     with_line_column,
 )
+from maskwright.session import lookup_join
 
 # The marker format, so that markers of either side can be read by the other.
 MARKER_OPEN = "{{ENC:"
@@ -61,6 +62,17 @@ def filter_entities(docs: DataFrame, entities: Iterable[str] | None, spans: str
     return compute(docs, {spans: f"filter({name(spans)}, s -> s.entity_type IN ({', '.join(map(quoted, wanted))}))"})
 
 
+def filter_by_list(
+    docs: DataFrame, allowed: DataFrame, on: str, by: str = "doc_id", spans: str = "spans", small: bool | None = None
+) -> DataFrame:
+    """Keep spans of the types that ``allowed`` (columns ``on``, ``entity_type``) names for the
+    document's value of ``on``; a value without a list keeps all."""
+    lists = allowed.groupBy(on).agg(F.collect_set("entity_type").alias("_allowed"))
+    listed = lookup_join(docs, lists, on, small=small, salt_by=by)
+    kept = f"filter({name(spans)}, s -> _allowed IS NULL OR array_contains(_allowed, s.entity_type))"
+    return compute(listed, {spans: kept}).drop("_allowed")
+
+
 def matches(docs: DataFrame, keep: Iterable[str] = ("doc_id",), text: str = "text", spans: str = "spans") -> DataFrame:
     """One row per match, with line and column."""
     return docs.select(*keep, F.expr(f"inline({with_line_column(name(text), name(spans))})"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.recognizers import RECOGNIZERS, Recognizer, select_recognizers
 from maskwright.functions.spans import resolve_overlaps, with_line_column
-from maskwright.operators.detect import detect, filter_entities, matches
+from maskwright.operators.detect import detect, filter_by_list, filter_entities, matches
 
 DEMO = [
     "My name is Jane Roe and my email is jane.roe@example.com. I live in 12 Main St., Springfield. 542873775.",
@@ -96,6 +96,15 @@ def test_own_recognizer_and_subset(spark):
     assert [s["text"] for s in kept.first()["spans"]] == ["1.2.3.4"]
 
 
+@pytest.mark.parametrize("small", [None, False])
+def test_lists_by_tenant(spark, small):
+    df = spark.createDataFrame([(i, "1.2.3.4 a@b.com", f"t{i}") for i in range(3)], "doc_id int, text string, tenant string")
+    allowed = spark.createDataFrame([("t0", "IP_ADDRESS"), ("t1", "URL")], "tenant string, entity_type string")
+    kept = filter_by_list(detect(df), allowed, "tenant", small=small)
+    got = {r["doc_id"]: [s["entity_type"] for s in r["spans"]] for r in kept.collect()}
+    assert got == {0: ["IP_ADDRESS"], 1: [], 2: ["IP_ADDRESS", "EMAIL_ADDRESS"]}
+
+
 def test_offsets_are_code_points(spark):
     text = "\U0001f600é a@b.com \U0001f600\n1.2.3.4"
     for s in detect(docs(spark, [text])).first()["spans"]:
