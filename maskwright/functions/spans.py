@@ -173,6 +173,19 @@ LITERAL_SPECIALS = r"([\\.\[\](){}*+?^$|])"
 LITERAL_ESCAPE = r"\\$1"
 
 
+def with_text(text: str, spans: str) -> str:
+    """Spans with the text that stands at their place; NULL spans are none."""
+
+    def read(cut: Cut) -> str:
+        span = record(
+            start="s.start", end="s.end", entity_type="s.entity_type", score="s.score",
+            text=cut("s.start", "s.end - s.start"),
+        )
+        return f"transform({spans}, s -> {span})"
+
+    return f"if(size({spans}) > 0, {with_slicer(text, f'size({spans})', read)}, {empty(SPAN)})"
+
+
 # --- overlaps ------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import SPAN, compute, empty, let, located, name, quoted, record
+from maskwright.functions.spans import SPAN, compute, empty, let, located, name, quoted, record, with_text
 from maskwright.session import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup_join
 
 # A word is a run of letters, digits and the signs that occur inside names.
@@ -79,6 +79,4 @@ def attach_spans(
     span = F.struct("start", "end", "entity_type", "score", "text").cast(SPAN)
     collected = spans.groupBy(by).agg(F.array_sort(F.collect_list(span)).alias("_found"))
     joined = docs.join(collected, by, "left")
-    cut = f"substring({name(text)}, s.start + 1, s.end - s.start)"
-    exact = f"transform(_found, s -> CAST(struct(s.start, s.end, s.entity_type, s.score, {cut}) AS {SPAN}))"
-    return compute(joined, {into: f"coalesce({exact}, {empty(SPAN)})"}).drop("_found")
+    return compute(joined, {into: with_text(name(text), "_found")}).drop("_found")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import SPAN, compute, empty, literal_spans, name
+from maskwright.functions.spans import SPAN, compute, empty, literal_spans, name, with_text
 from maskwright.functions.text import fill_template
 
 # Fixed value: the instruction of the extraction prompt.
@@ -98,9 +98,7 @@ def detect_with_model(
     find_spans.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     spans = F.pandas_udf(find_spans, f"array<{element}>")
     found = docs.withColumn("_found", spans(F.col(text)))
-    cut = f"substring({name(text)}, s.start + 1, s.end - s.start)"
-    full = f"transform(_found, s -> CAST(struct(s.start, s.end, s.entity_type, s.score, {cut}) AS {SPAN}))"
-    return compute(found, {into: f"coalesce(array_sort({full}), {empty(SPAN)})"}).drop("_found")
+    return compute(found, {into: f"array_sort({with_text(name(text), '_found')})"}).drop("_found")
 
 
 def model_extract(

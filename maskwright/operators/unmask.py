@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from maskwright.functions import fernet
 from maskwright.functions.fernet import KEY_COLUMNS, KeyRing
-from maskwright.functions.spans import compute, let, name, quoted, splice
+from maskwright.functions.spans import Cut, compute, let, name, quoted, record, splice, with_slicer
 from maskwright.operators.detect import MARKER_CLOSE, MARKER_OPEN, MARKER_PATTERN
 from maskwright.operators.mask import with_keys
 
@@ -57,10 +57,13 @@ def unmask_items(
 ) -> DataFrame:
     """Replace the slices that ``items`` names, wherever they hold a marker that decrypts."""
     source, spans = name(text), name(items)
-    slice_ = f"substring({source}, s.start + 1, s.end - s.start)"
     inner = f"regexp_extract(m, {quoted('^' + MARKER_PATTERN + '$')}, 2)"
-    new = let("m", slice_, f"coalesce({fernet.decrypt(inner)}, m)")
-    pieces = f"transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'new', {new}))"
+
+    def restored(cut: Cut) -> str:
+        new = let("m", cut("s.start", "s.end - s.start"), f"coalesce({fernet.decrypt(inner)}, m)")
+        return f"transform({spans}, s -> {record(start='s.start', end='s.end', new=new)})"
+
+    pieces = with_slicer(source, f"size({spans})", restored)
     return compute(
         with_keys(docs, keys, key_id, by, text), {into: let("pieces", pieces, splice(source, "pieces"))}
     ).drop(*KEY_COLUMNS)
