@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import fernet
 from maskwright.functions.fernet import KEY_COLUMNS, KeyRing
 from maskwright.functions.spans import ITEM, compute, empty, let, name, quoted, splice, spliced_items
+from maskwright.operators.detect import MARKER_CLOSE, MARKER_OPEN
 from maskwright.session import lookup_join
 
 OPERATORS = ("encrypt", "anonymize", "redact", "keep")
@@ -44,7 +45,7 @@ def _anonymized(salt: str, modulus: int) -> str:
 def _encrypted(by: str, epoch_seconds: int) -> str:
     context = f"concat_ws(':', CAST({name(by)} AS string), s.start, s.text)"
     token = fernet.encrypt("s.text", str(int(epoch_seconds)), fernet.derived_iv(context))
-    return f"concat('{{{{ENC:', s.entity_type, ':', {token}, '}}}}')"
+    return f"concat({quoted(MARKER_OPEN)}, s.entity_type, ':', {token}, {quoted(MARKER_CLOSE)})"
 
 
 def mask(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from maskwright.functions import fernet
 from maskwright.functions.fernet import KEY_COLUMNS, KeyRing
 from maskwright.functions.spans import Cut, compute, let, name, quoted, record, splice, with_slicer
-from maskwright.operators.detect import MARKER_CLOSE, MARKER_OPEN, MARKER_PATTERN
+from maskwright.operators.detect import MARKER_OPEN, MARKER_PATTERN
 from maskwright.operators.mask import with_keys
 
 
@@ -72,6 +72,3 @@ def unmask_items(
 def count_markers(docs: DataFrame, text: str = "masked", into: str = "markers_found") -> DataFrame:
     found = f"regexp_count({name(text)}, {quoted(MARKER_PATTERN)})"
     return compute(docs, {into: f"if(contains({name(text)}, {quoted(MARKER_OPEN)}), {found}, 0)"})
-
-
-__all__ = ["MARKER_CLOSE", "MARKER_OPEN", "MARKER_PATTERN", "count_markers", "unmask", "unmask_items"]

@@ -15,7 +15,7 @@ from maskwright.operators.models import detect_with_model, first_working, locate
 from maskwright.operators.training import chat_messages, masking_prompt, with_split
 from maskwright.operators.upload import upload_manifest
 from maskwright.session import fits_broadcast, lookup_join, scratch_path
-from maskwright.sources.documents import file_inventory, load_split, quarantine, read_documents, read_files, route
+from maskwright.sources.documents import file_inventory, load_split, quarantine, read_documents, route
 from maskwright.sources.pdf import PDF_EXTRACTORS
 from maskwright.sources.sinks import check_encryption, encryption_settings, use_encryption, write_documents
 
