@@ -8,7 +8,7 @@ position costs one binary search unless its sequence is new to all languages.
 
 The language of least cross-entropy per character wins. A text is rejected if its
 cross-entropy lies more than ``margin`` bits above that of all but a thousandth of the
-training documents of its language and length class.
+training documents, both of its language and length class and of all.
 
 Results in special cases: a null text, or one without a letter, is ``und`` with score 0
 and rejected; rows without a language are predicted but not learnt from; a table that
@@ -30,7 +30,7 @@ from maskwright.llm.common import row_digest, staged, without
 
 ORDER = 4
 MAX_SEQUENCES = 1_500_000
-MARGIN = 0.5
+MARGIN = 1.0
 QUANTILE = 0.999
 CHUNK_CHARS = 1_500_000
 BASE = 0x5851F42D4C957F2D
@@ -265,12 +265,13 @@ def identify(docs: DataFrame, order: int = ORDER, margin: float = MARGIN, text:
     length = F.least(F.floor(F.log2(F.greatest("letters", F.lit(1)))), F.lit(30)).cast("int")
     scored = scored.withColumn("_class", length)
     taught = scored.where(~F.col("held_out") & (F.col("lang") == F.col("lang_pred")))
-    limits = taught.groupBy("lang_pred", "_class").agg((F.percentile_approx("entropy", QUANTILE, 10000) + margin).alias("_limit"))
+    high = F.percentile_approx("entropy", QUANTILE, 10000)
+    limits = taught.groupBy("lang_pred", "_class").agg(high.alias("_limit"))
     found = scored.join(F.broadcast(limits), ["lang_pred", "_class"], "left")  # 31 rows a language
-    widest = taught.agg(F.max("entropy")).first()[0]
-    limit = F.coalesce("_limit", F.lit(widest), F.lit(0.0))
+    overall = taught.agg(high).first()[0]
+    limit = F.greatest(F.col("_limit"), F.lit(overall).cast("double")) + margin
     return found.select(
-        "doc_id", "text_hash", "held_out", "lang_pred", "score", "entropy", ((F.col("lang_pred") != "und") & (F.col("entropy") <= limit)).alias("accepted")
+        "doc_id", "text_hash", "held_out", "lang_pred", "score", "entropy", ((F.col("lang_pred") != "und") & F.coalesce(F.col("entropy") <= limit, F.lit(False))).alias("accepted")
     )
 
 
