@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from maskwright.llm import bpe, exact, langid, packing, urls, warc, winnow
+from maskwright.llm import bpe, exact, langid, packing, urls, warc, weak, winnow
 from maskwright.llm.common import table
 from maskwright.session import scratch_path
 
@@ -30,6 +30,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.classify(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
