@@ -21,6 +21,21 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP9 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), f AS (
+  SELECT *, regexp_replace(replace(text, '\\', '\\\\'), '(<)(\\||s>|/s>|<SYS>>|</SYS>>)|(\\[)(/?INST\\])', '\\1\\3\\\\\\2\\4', 'g') AS escaped FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(escaped) + length('<||><|end|>')) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 def _url_sql() -> str:
     """Each rule as a condition of its own, the longest first."""
     rules = sorted(compile_rules(SITE_RULES, PATTERN_RULES), key=lambda r: (r["size"], r["rule"]), reverse=True)
@@ -49,4 +64,4 @@ SELECT page_id, host, path, rule, coalesce(v, w, 'allow') AS verdict, CASE WHEN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op5_exact_dedup": OP5, "op6_url_filters": _url_sql()}
+    return {"op1_warc": OP1, "op5_exact_dedup": OP5, "op6_url_filters": _url_sql(), "op9_chat_tree": OP9}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from maskwright.llm import bpe, exact, langid, packing, urls, warc, weak, winnow
+from maskwright.llm import bpe, chattree, exact, langid, packing, urls, warc, weak, winnow
 from maskwright.llm.common import table
 from maskwright.session import scratch_path
 
@@ -50,6 +50,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    rows = [(-1, 0, "user", said), (-1, 1, "assistant", said)]
+    nodes, steps, _ = chattree.build_tree(turns.unionByName(spark.createDataFrame(rows, turns.schema)))
+    return chattree.read_back(nodes, steps)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).drop("text_hash")
 

@@ -29,7 +29,7 @@ RUN = 4
 SAMPLE = 12_000
 PRIOR_WORDS = 10
 PRIOR_CHARS = 60
-THRESHOLD = 0.5
+THRESHOLD = 0.25
 CHUNK_CHARS = 1_000_000
 LOWER, UPPER, DIGIT, BLANK, LINE = 1, 2, 3, 4, 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
