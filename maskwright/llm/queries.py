@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from maskwright.llm import bpe, chattree, exact, langid, packing, urls, warc, weak, winnow
+from maskwright.llm import bpe, chattree, exact, langid, packing, partenum, urls, warc, weak, winnow
 from maskwright.llm.common import table
 from maskwright.session import scratch_path
 
@@ -46,6 +46,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, sf_dir, "documents"))
 
