@@ -42,6 +42,8 @@ BLOCK_ROWS, BLOCK_MEMBERS = 800, 400_000
 BASE = 0x9E3779B97F4A7C15
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+KEY = ["center", "lo", "hi"]
+
 _held: dict[str, np.ndarray] = {}
 
 
@@ -150,8 +152,43 @@ def _sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return low + (np.bincount(of, weights=(values >> np.uint64(32)).astype(float), minlength=n).astype(np.uint64) << np.uint64(32))
 
 
+def sketches(hashes: np.ndarray, of: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parities of the members that fall on each of a power of two of bits, at least one bit a member.
+
+    Each member that only one of two sets has flips one bit, so two sets differ in at least
+    as many members as their sketches differ in bits. Folding a sketch halves its bits.
+    """
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    begin = np.cumsum(bits) - bits
+    spot = begin[of] + (_mix(hashes ^ M2) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(spot, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [packed[a : a + n].tobytes() for a, n in zip((begin // 8).tolist(), (bits // 8).tolist(), strict=True)]
+
+
+def may_link(size: np.ndarray, held: list[bytes]) -> np.ndarray:
+    """Which of some sets have a partner that, by sizes and sketches, may be similar enough."""
+    words = np.fromiter((len(b) // 8 for b in held), np.int64, len(held))
+    found = np.zeros(len(held), bool)
+    for n in np.unique(words).tolist():
+        small, large = np.flatnonzero(words == n), np.flatnonzero(words == 2 * n)
+        rows = np.frombuffer(b"".join(held[i] for i in small), np.uint64).reshape(len(small), n)
+        folded = np.frombuffer(b"".join(held[i] for i in large), np.uint64).reshape(len(large), 2, n)
+        every = np.concatenate([rows, folded[:, 0] ^ folded[:, 1]])
+        who = np.concatenate([small, large])
+        for k, i in enumerate(small.tolist()):
+            rest = who[k + 1 :]
+            apart = np.bitwise_count(every[k + 1 :] ^ every[k]).sum(axis=1, dtype=np.int64)
+            close = apart * (OF + NUMBER) <= (size[i] + size[rest]) * (OF - NUMBER)
+            close &= np.minimum(size[i], size[rest]) * OF >= np.maximum(size[i], size[rest]) * NUMBER
+            if close.any():
+                found[i] = True
+                found[rest[close]] = True
+    return found
+
+
 def set_facts(docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """doc_id, text_hash, n_shingles and a 128-bit digest of the set (d1, d2); ``docs`` has doc_id and text."""
+    """doc_id, text_hash, n_shingles, a 128-bit digest of the set (d1, d2), and its sketch; ``docs`` has doc_id and text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,10 +196,11 @@ def set_facts(docs: DataFrame, gram: int = GRAM) -> DataFrame:
             for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
                 h, of = shingles(texts[a:b], gram)
                 d1, d2 = (_sums(_mix(h + s), of, b - a).view(np.int64) for s in (M1, M2))
-                yield batch.iloc[a:b].assign(n_shingles=np.bincount(of, minlength=b - a), d1=d1, d2=d2)
+                size = np.bincount(of, minlength=b - a)
+                yield batch.iloc[a:b].assign(n_shingles=size, d1=d1, d2=d2, sketch=sketches(h, of, size))
 
     rows = docs.select("doc_id", row_digest(docs, "text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch binary")
 
 
 def set_signatures(docs: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -235,16 +273,40 @@ def cells(sigs: DataFrame) -> DataFrame:
     return sigs.withColumn("center", least).where("doc_id <> center").select("center", "doc_id").distinct()
 
 
-def links(docs: DataFrame, sizes: DataFrame, gram: int = GRAM, limit: int = BROADCAST_IDS) -> DataFrame:
+def _by_block(rows: DataFrame, dealt: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The ``rows`` (doc_id, ...) that are dealt to a block, and ``dealt`` with a hint if it is small."""
+    if dealt.limit(limit + 1).count() <= limit:
+        rows, dealt = rows.join(F.broadcast(dealt.select("doc_id").distinct()), "doc_id", "left_semi"), F.broadcast(dealt)
+    else:
+        rows = rows.join(dealt.select("doc_id").distinct(), "doc_id", "left_semi")
+    return rows, dealt
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The rows of one block after the other, from rows sorted by block."""
+    now, held = None, []
+    for batch in batches:
+        for key, part in batch.groupby(KEY, sort=False):
+            if key != now and held:
+                yield now, pd.concat(held)
+                held = []
+            now = key
+            held.append(part)
+    if held:
+        yield now, pd.concat(held)
+
+
+def links(docs: DataFrame, facts: DataFrame, gram: int = GRAM, limit: int = BROADCAST_IDS) -> DataFrame:
     """src, dst: edges whose components are those of all links between ``docs`` (distinct sets, with an id).
 
-    ``sizes`` has doc_id and n_shingles. Cells beyond the size of a block are compared block
+    ``facts`` has doc_id, n_shingles and sketch of at least these. Members of a cell that by
+    their sketches can't be linked within it are left out before sets are shuffled. Cells beyond the size of a block are compared block
     by block, each pair of blocks in its own task. Up to ``limit`` rows of two ids and three
     small numbers are broadcast, so that only the sets of cells are shuffled, once.
     """
     found = staged(cells(set_signatures(docs, gram)), "cells")
     members = found.unionByName(found.select("center", F.col("center").alias("doc_id")).distinct())
-    sized = members.join(sizes.groupBy("doc_id").agg(F.max("n_shingles").alias("_n")), "doc_id")
+    sized = members.join(facts.groupBy("doc_id").agg(F.max("n_shingles").alias("_n")), "doc_id")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("_n") / BLOCK_MEMBERS))
     counts = sized.groupBy("center").agg(blocks.cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
@@ -252,28 +314,25 @@ def links(docs: DataFrame, sizes: DataFrame, gram: int = GRAM, limit: int = BROA
     dealt = members.join(counts, "center").select("center", "doc_id", own.alias("_own"), every.alias("_other"))
     dealt = dealt.select("center", "doc_id", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"))
     dealt = staged(dealt, "blocks")
-    wanted = dealt.select("doc_id").distinct()
-    if dealt.limit(limit + 1).count() <= limit:
-        wanted, dealt = F.broadcast(wanted), F.broadcast(dealt)
-    sets = member_sets(docs.join(wanted, "doc_id", "left_semi"), gram).join(dealt, "doc_id")
-    key = ["center", "lo", "hi"]
-    ordered = sets.repartition(*key).sortWithinPartitions(*key, "doc_id").select(*key, "doc_id", "members")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ids, held = None, [], []
-        for batch in batches:
-            out = []
-            for c, lo, hi, i, members in batch.itertuples(index=False):
-                if (c, lo, hi) != now:
-                    out += block_links(np.array(ids), held) if len(ids) > 1 else []
-                    now, ids, held = (c, lo, hi), [], []
-                ids.append(i)
-                held.append(np.frombuffer(members, np.uint64))
-            yield pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
-        if len(ids) > 1:
-            yield pd.DataFrame(block_links(np.array(ids), held), columns=["src", "dst"]).astype("int64")
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, block in _blocks(batches):
+            ok = may_link(block["n_shingles"].to_numpy(), block["sketch"].tolist())
+            yield block.loc[ok, ["doc_id", *KEY]]
+
+    rows, sent = _by_block(facts.select("doc_id", "n_shingles", "sketch"), dealt, limit)
+    ordered = rows.join(sent, "doc_id").repartition(*KEY).sortWithinPartitions(*KEY, "doc_id")
+    close = staged(ordered.mapInPandas(sift, "doc_id long, center long, lo int, hi int").distinct(), "close")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, block in _blocks(batches):
+            edges = block_links(block["doc_id"].to_numpy(), [np.frombuffer(m, np.uint64) for m in block["members"]])
+            yield pd.DataFrame(edges, columns=["src", "dst"]).astype("int64")
 
-    return ordered.mapInPandas(run, "src long, dst long").distinct()
+    rows, sent = _by_block(docs.select("doc_id", "text"), close, limit)
+    sets = member_sets(rows, gram).join(sent, "doc_id")
+    ordered = sets.repartition(*KEY).sortWithinPartitions(*KEY, "doc_id").select(*KEY, "doc_id", "members")
+    return ordered.mapInPandas(compare, "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,7 +363,7 @@ def near_groups(docs: DataFrame, gram: int = GRAM, text: str = "text", doc_id: s
     reps = linked.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = staged(attach_groups(linked, reps.where("copies > 1"), digest, "doc_id", "rep", "copies").where("doc_id <> rep"), "copies")
     distinct = without(rows.where("doc_id IS NOT NULL"), copies)
-    edges = links(distinct, reps.select(F.col("rep").alias("doc_id"), "n_shingles"), gram)
+    edges = links(distinct, linked, gram)
     found = components(edges)
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     grouped = attach_groups(linked, named, digest, "doc_id", "rep", "copies").select("doc_id", "n_shingles", "component_id")
