@@ -205,9 +205,9 @@ PROMPT = (
     " ''entity'' and ''category'' fields:' || chr(10) || '''' || {text} || '''' || chr(10)"
 )
 MASK_PROMPT = (
-    "'Replace any Personal Identifiable Information (PII) in the following text with <PIIType_occurence> format,"
-    " e.g., EMAIL_1, PHONE_1:' || chr(10) || '''' || s.text || '''' || chr(10) || chr(10) || 'Masked Text:' || chr(10)"
-    " || '''' || m.masked || '''' || chr(10)"
+    "'Rewrite the text so that it names no person and gives no contact or account data. Put a numbered label such as"
+    " EMAIL_1 in place of each.' || chr(10) || chr(10) || 'Text: ' || s.text || chr(10) || chr(10) || 'Rewritten: ' ||"
+    " m.masked || chr(10)"
 )
 # JSON text of a string the way Spark writes it.
 JSON_TEXT = "CAST(to_json({text}) AS VARCHAR)"
@@ -442,6 +442,10 @@ def oracle_sql() -> dict[str, str]:
         " SELECT id AS doc_id, CAST(e AS INT) AS start, CAST(e + length(entity) AS INT) AS \"end\", entity_type,"
         " CAST(0.5 AS DOUBLE) AS score, entity AS text FROM pos WHERE i < n"
     )
+    sql["mask_model_answers"] = (
+        f"SELECT doc_id, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN masked END AS masked,"
+        f" CASE WHEN doc_id % 10 IN (3, 7) THEN 'no findings' END AS error FROM ({sql['mask_redact']}) m"
+    )
     model_rule = ("PERSON", r"[A-Z][a-z]+ [A-Z][a-z]+", "0.85", "true")
     sql["detect_with_model"] = (
         f"WITH {DOCS},\n{matches_cte('src', [model_rule])} SELECT id AS doc_id, {MATCH_COLUMNS} FROM raw"

@@ -19,7 +19,7 @@ from maskwright.operators import audit, retention
 from maskwright.operators.detect import MARKER_PATTERN, detect, filter_by_list, filter_entities, matches
 from maskwright.operators.dictionary import dictionary_spans
 from maskwright.operators.extract import assemble_pages, extract_text
-from maskwright.operators.mask import mask, mask_numbered, placeholder_counts
+from maskwright.operators.mask import mask, mask_numbered, masking_error, placeholder_counts
 from maskwright.operators.models import detect_with_model, locate_entities, model_extract, parse_entities
 from maskwright.operators.report import (
     entity_counts,
@@ -390,6 +390,14 @@ def parse_model_entities(spark, sf):
     )
 
 
+def mask_model_answers(spark, sf):
+    """Mask what a model found; a broken answer gives no text and an error."""
+    parsed = parse_entities(model_answers(spark, sf).select("doc_id", "text", "answer"))
+    found = detect(locate_entities(parsed, score=0.5), also="model_spans")
+    masked = mask(found, "redact")
+    return masked.select("doc_id", "masked", masking_error().alias("error"))
+
+
 def locate_entities_query(spark, sf):
     parsed = parse_entities(model_answers(spark, sf).select("doc_id", "text", "answer"))
     return span_rows(locate_entities(parsed, score=0.5), spans="model_spans")
@@ -590,6 +598,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_extract": model_extract_query,
         "parse_model_entities": parse_model_entities,
         "locate_entities": locate_entities_query,
+        "mask_model_answers": mask_model_answers,
         "gazetteer_join": gazetteer_join,
         "old_files": old_files,
         "retention_plan": retention_plan,

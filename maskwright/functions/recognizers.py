@@ -26,7 +26,7 @@ _URL_END = r"""[^\x00-\x20<>".,;:!?')\]}]"""
 FAMILIES: dict[str, str] = {
     "at": "contains({text}, '@')",
     "scheme": "contains({text}, '://')",
-    "digits": "{text} RLIKE " + quoted(r"[0-9][0-9 ().+/-]{{5}}"),
+    "digits": "{text} RLIKE '[0-9]'",
     "colons": "contains({text}, ':') AND {text} RLIKE " + quoted(r"[0-9A-Fa-f]:[0-9A-Fa-f]{{0,4}}:"),
     "any": "{text} IS NOT NULL",
 }

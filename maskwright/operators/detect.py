@@ -38,7 +38,8 @@ def detect(
 ) -> DataFrame:
     """Add ``spans``, in start order. ``entities`` restricts the types; unwanted recognizers
     are not even planned. ``overlaps`` is ``resolve`` (disjoint spans, ready for masking) or
-    ``keep``. ``also`` names a column of further spans, e.g. of a model or a dictionary.
+    ``keep``. ``also`` names a column of further spans, e.g. of a model or a dictionary; where it
+    is NULL, its findings are unknown, and so are the ``spans``.
     """
     if overlaps not in ("resolve", "keep"):
         raise ValueError("overlaps must be 'resolve' or 'keep'")
@@ -46,11 +47,13 @@ def detect(
     # Existing markers are areas to keep off: they must not be masked again.
     parts = [recognized(source, select_recognizers(entities, recognizers), (MARKER_OPEN, MARKER_PATTERN))]
     if also is not None:
-        parts.append(f"coalesce(CAST({name(also)} AS array<{SPAN}>), {empty(SPAN)})")
+        parts.append(f"CAST({name(also)} AS array<{SPAN}>)")
     settle = resolve_overlaps if overlaps == "resolve" else drop_in_protected
     kept = f"filter({settle('ordered')}, s -> s.entity_type <> '')"
     kept = let("ordered", "if(size(raw) > 1, array_sort(raw), raw)", kept)
     spans = let("raw", f"concat({', '.join(parts)})", f"if(size(raw) > 0, {kept}, {empty(SPAN)})")
+    if also is not None:
+        spans = f"if({name(also)} IS NOT NULL, {spans}, NULL)"
     return compute(docs, {into: spans})
 
 

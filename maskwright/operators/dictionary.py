@@ -28,6 +28,7 @@ def dictionary_spans(
     text: str = "text",
     score: float = 0.85,
     broadcast_rows: int = BROADCAST_ROWS,
+    salts: int = TERM_SALTS,
 ) -> DataFrame:
     """One row ``(by, start, end, entity_type, score, text)`` per occurrence of a term.
 
@@ -54,18 +55,21 @@ def dictionary_spans(
     )
     tokenized = compute(docs.select(by, text), {"_words": f"coalesce({words}, {empty(WORDS)})"})
     heads = lexicon.select(F.substring_index("_gram", " ", 1).alias("_head")).distinct()
-    starts = tokenized.selectExpr(name(by), "_words", "posexplode(_words) AS (_at, _word)")
+    # Each word takes along as many words as the longest term has, not the whole document.
+    ahead = record(_head="_words[i].text", _next=f"slice(_words, i + 1, {int(longest or 1)})")
+    each = f"if(size(_words) > 0, transform(sequence(0, size(_words) - 1), i -> {ahead}), array())"
+    starts = tokenized.selectExpr(name(by), f"inline({each})")
     if small or fits_broadcast(heads, broadcast_rows):
         # Most words begin no term; they are gone before any sequence is put together.
-        starts = starts.withColumn("_head", F.col("_word.text")).join(F.broadcast(heads), "_head", "left_semi")
+        starts = starts.join(F.broadcast(heads), "_head", "left_semi")
     gram = record(
-        start="_words[_at].start",
-        end="_words[_at + n - 1].end",
-        _gram="array_join(transform(slice(_words, _at + 1, n), w -> w.text), ' ')",
+        start="_next[0].start",
+        end="_next[n - 1].end",
+        _gram="array_join(transform(slice(_next, 1, n), w -> w.text), ' ')",
     )
-    grams = f"transform(sequence(1, least({int(longest or 1)}, size(_words) - _at)), n -> {gram})"
+    grams = f"transform(sequence(1, size(_next)), n -> {gram})"
     rows = starts.selectExpr(name(by), f"inline({grams})")
-    hits = lookup_join(rows, lexicon, "_gram", "inner", small=small, salt_by="start", salts=TERM_SALTS)
+    hits = lookup_join(rows, lexicon, "_gram", "inner", small=small, salt_by=(by, "start"), salts=salts)
     return hits.select(
         by, "start", "end", "entity_type", F.lit(float(score)).alias("score"), F.col("_gram").alias("text")
     )
@@ -79,4 +83,5 @@ def attach_spans(
     span = F.struct("start", "end", "entity_type", "score", "text").cast(SPAN)
     collected = spans.groupBy(by).agg(F.array_sort(F.collect_list(span)).alias("_found"))
     joined = docs.join(collected, by, "left")
-    return compute(joined, {into: with_text(name(text), "_found")}).drop("_found")
+    found = f"coalesce({with_text(name(text), '_found')}, {empty(SPAN)})"
+    return compute(joined, {into: found}).drop("_found")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import fernet
@@ -73,7 +73,8 @@ def mask(
 
     ``encrypt`` needs ``keys`` (see ``functions.fernet.key_ring``) and ``now``, one time for
     the whole run, so that retried tasks write the same tokens. ``by`` identifies a document;
-    where its key is unknown, the new text is NULL.
+    where its key is unknown, the new text is NULL. The same holds where ``spans`` is NULL,
+    that is, where nobody knows what to mask; see ``masking_error``.
     """
     policy = dict(policy or {})
     wrong = ({mode} | set(policy.values())) - set(OPERATORS)
@@ -111,10 +112,18 @@ def mask(
         # Without a key a document comes out as NULL: neither in the clear nor incomplete.
         lost = f"named_struct({quoted(into)}, CAST(NULL AS string), 'items', {empty(ITEM)})"
         result = f"if(size({name(spans)}) > 0 AND enc_key IS NULL, {lost}, {result})"
+    unknown = f"named_struct({quoted(into)}, CAST(NULL AS string), 'items', {empty(ITEM)})"
+    result = f"if({name(spans)} IS NULL, {unknown}, {result})"
     masked = compute(docs, result, names=(into, "items"))
     return masked.drop(*KEY_COLUMNS) if "encrypt" in used else masked
 
 
+def masking_error(text: str = "text", spans: str = "spans", masked: str = "masked") -> Column:
+    """Why a document has no masked text: ``no findings`` or ``unknown key``; NULL where it has one."""
+    lost = F.col(text).isNotNull() & F.col(masked).isNull()
+    return F.when(lost, F.when(F.col(spans).isNull(), "no findings").otherwise("unknown key"))
+
+
 def mask_numbered(
     docs: DataFrame, text: str = "text", spans: str = "spans", into: str = "masked", brackets: bool = False
 ) -> DataFrame:
@@ -130,7 +139,7 @@ def mask_numbered(
         f" (s, i) -> CAST(struct(s.start, s.end, kind, {label}) AS {PIECE})))))"
     )
     rewritten = let("pieces", numbered, splice(name(text), "pieces"))
-    return compute(docs, {into: f"if(size({name(spans)}) > 0, {rewritten}, {name(text)})"})
+    return compute(docs, {into: f"CASE WHEN size({name(spans)}) > 0 THEN {rewritten} WHEN {name(spans)} IS NOT NULL THEN {name(text)} END"})
 
 
 def placeholder_counts(docs: DataFrame, text: str = "masked") -> DataFrame:

@@ -115,14 +115,14 @@ def model_extract(
     """Ask a model for the entities of each text: prompt in, ``answer`` out.
 
     The model maps prompts, their limits of new tokens and a temperature to answers. The
-    limit is ``max_tokens`` or else the number of tokens of the text, by ``count_tokens``
-    (words, if not given).
+    limit is ``max_tokens`` or else the number of tokens of the text, by ``count_tokens``; with
+    neither, it is None, so that no answer is cut short.
     """
     model = _kept_model(load, label)
 
     def run(batches):
         generate = model()
-        count = count_tokens or (lambda t: len(t.split()))
+        count = count_tokens or (lambda t: None)
         for batch in batches:
             limits = [max_tokens or count(t or "") for t in batch["_source"]]
             answers = list(generate(batch["_prompt"].fillna("").tolist(), limits, temperature))
@@ -150,11 +150,12 @@ def locate_entities(
 ) -> DataFrame:
     """Find every occurrence of each extracted entity in the text.
 
-    The category becomes the entity type: capitals, with ``_`` for anything else.
+    The category becomes the entity type: capitals, with ``_`` for anything else. Where the
+    entities are NULL, as after a broken answer, so are the spans.
     """
     kind = "upper(regexp_replace(entry.category, '[^A-Za-z]+', '_'))"
     spans = literal_spans(name(text), "entry.entity", kind, f"{float(score)}D")
     distinct = f"array_distinct(filter({name(entities)}, entry -> entry.entity IS NOT NULL AND entry.category IS NOT NULL))"
     located = f"array_sort(array_distinct(flatten(transform({distinct}, entry -> {spans}))))"
-    return compute(docs, {into: f"coalesce({located}, {empty(SPAN)})"})
+    return compute(docs, {into: located})
 

@@ -34,6 +34,9 @@ def old_files(
     return files.where(expired(days, now, patterns, mtime)).withColumn("age_days", age)
 
 
+MISSING = "missing"
+
+
 def deletion_plan(old: DataFrame) -> DataFrame:
     """A dry run: every file counts as deleted."""
     return old.select("path", "age_days", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
@@ -42,11 +45,16 @@ def deletion_plan(old: DataFrame) -> DataFrame:
 def delete_files(old: DataFrame, dry_run: bool = True) -> DataFrame:
     """Delete each file from a mounted file system, where its row lies; gives ``ok`` and ``error``.
 
-    A file which is gone counts as deleted, since a retried task may have deleted it before.
+    A file which is not there is not ok, with the error ``missing``: a retried task may have
+    deleted it before, or the worker lacks the mount. Paths of other file systems are refused.
     The deletion happens when the result is computed: write it once, then read it.
     """
     if dry_run:
         return deletion_plan(old)
+    foreign = old.where(F.rlike("path", F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")) & ~F.col("path").startswith("file:"))
+    strange = foreign.select("path").first()
+    if strange is not None:
+        raise ValueError(f"only mounted files can be deleted here, not {strange[0]}")
 
     def remove(batches):
         import os
@@ -59,7 +67,9 @@ def delete_files(old: DataFrame, dry_run: bool = True) -> DataFrame:
                 try:
                     os.remove(local)
                 except FileNotFoundError:
-                    pass
+                    ok.append(False)
+                    errors.append(MISSING)
+                    continue
                 except OSError as exc:
                     ok.append(False)
                     errors.append(str(exc))

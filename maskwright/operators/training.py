@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from maskwright.functions.text import fill_template
 from maskwright.operators.models import EXTRACTION_PROMPT
 
-# Fixed value: the prompt that shows a text together with its masked form.
+# A prompt that shows a text together with its masked form.
 MASKING_PROMPT = (
-    "Replace any Personal Identifiable Information (PII) in the following text with "
-    "<PIIType_occurence> format, e.g., EMAIL_1, PHONE_1:\n'{source_text}'\n\nMasked Text:\n'{target_text}'\n"
+    "Rewrite the text so that it names no person and gives no contact or account data. Put a "
+    "numbered label such as EMAIL_1 in place of each.\n\nText: {source_text}\n\nRewritten: {target_text}\n"
 )
 TEST_SHARE = 0.2
 SEED = 42

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not (spark.sparkContext.master or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="maskwright-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -51,11 +54,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether a table has at most ``rows`` rows and ``size`` bytes of text or binary data.
+    """Whether a table has at most ``rows`` rows and ``size`` bytes of data of unbounded width.
 
-    Reads no more than one row beyond the bound.
+    Takes no more than one row beyond the bound; what an aggregate below it has to read, it reads.
     """
-    wide = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    nested = ("array", "map", "struct")
+    wide = [F.octet_length(f"`{f.name}`") for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    wide += [F.octet_length(F.to_json(F.struct(f"`{f.name}`"))) for f in df.schema if f.dataType.typeName() in nested]
     total = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0))
     count, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(total), F.lit(0))).first()
     return count <= rows and held <= size
@@ -67,13 +72,13 @@ def lookup_join(
     on: str,
     how: str = "left",
     small: bool | None = None,
-    salt_by: str = "doc_id",
+    salt_by: str | Sequence[str] = "doc_id",
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a large table to a lookup table.
 
     A lookup of checked size is broadcast. A larger one is joined by shuffle, with the
-    left rows of each key spread over ``salts`` partitions by the column ``salt_by`` and the
+    left rows of each key spread over ``salts`` partitions by ``salt_by`` and the
     lookup repeated for each, so that a key which holds a large share of the rows is not
     one task. ``small`` is the outcome of the check where the caller has made it.
     """
@@ -81,6 +86,7 @@ def lookup_join(
         small = fits_broadcast(right)
     if small:
         return left.join(F.broadcast(right), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    by = [salt_by] if isinstance(salt_by, str) else salt_by
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [on, "_salt"], how).drop("_salt")

@@ -2,6 +2,8 @@
 
 import json
 import os
+
+import pytest
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -47,7 +49,10 @@ def test_retention_on_files(spark, tmp_path):
         spark.createDataFrame([(f"{root}/gone.md", 9.0), (f"{root}/never.md", 9.0)], "path string, age_days double")
     )
     summary = retention.deletion_summary(retention.delete_files(doomed, dry_run=False)).first()
-    assert summary.asDict() == {"files_deleted": 5, "errors": 1}
+    assert summary.asDict() == {"files_deleted": 4, "errors": 2}  # a folder, and a file that is not there
+    far = spark.createDataFrame([("s3a://bucket/x.md", 9.0)], "path string, age_days double")
+    with pytest.raises(ValueError, match="mounted"):
+        retention.delete_files(far, dry_run=False)
     assert not (tmp_path / "top.md").exists() and (tmp_path / "c" / "new.md").exists()
 
 

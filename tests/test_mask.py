@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import fernet
 from maskwright.functions.fernet import KeyRing, ensure_key, key_ring
 from maskwright.operators.detect import detect
-from maskwright.operators.mask import mask, mask_numbered, placeholder_counts
+from maskwright.operators.mask import mask, mask_numbered, masking_error, placeholder_counts
 from maskwright.operators.unmask import count_markers, unmask, unmask_items
 
 KEY = "cw_0x689RpI-jtRR7oE8h_eQsKImvJapLeSbXpwF4e4="
@@ -186,3 +186,16 @@ def test_long_text_with_many_spans(spark):
     row = mask(detect(docs(spark, text)), "redact").first()
     assert row["masked"] == re.sub(r"u\d+@example\.com", "<EMAIL_ADDRESS>", text)
     assert all(row["masked"][i["start"] : i["end"]] == "<EMAIL_ADDRESS>" for i in row["items"])
+
+
+def test_unknown_findings_give_no_text(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com"), (2, "nothing here")], "doc_id int, text string")
+    unknown = docs.withColumn("spans", F.expr("CAST(NULL AS array<struct<start:int,end:int,entity_type:string,score:double,text:string>>)"))
+    for row in mask(unknown, "redact").withColumn("error", masking_error()).collect():
+        assert (row["masked"], row["error"]) == (None, "no findings")
+    assert {r["masked"] for r in mask_numbered(unknown).collect()} == {None}
+
+
+def test_digits_are_enough_to_look_for_numbers(spark):
+    docs = spark.createDataFrame([(1, "+12222, x")], "doc_id int, text string")
+    assert [s["text"] for s in detect(docs).first()["spans"]] == ["+12222"]

