@@ -156,6 +156,8 @@ def vote(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
             for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
                 part = Batch(texts[a:b])
                 ok = part.words > 0
+                if not ok.any():
+                    continue
                 yield batch.iloc[a:b][ok].assign(votes=list(part.votes()[ok].astype(np.int32)))
 
     return _texts(docs, text, doc_id).mapInPandas(run, "doc_id long, text_hash long, votes array<int>")
