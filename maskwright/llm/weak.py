@@ -133,7 +133,8 @@ class Batch:
         """Shares of hashed runs of character classes, and of repeated words; a row per text."""
         h = np.zeros(len(self.kind), np.uint32)
         for k in range(RUN):
-            h[: len(h) - k] = h[: len(h) - k] * np.uint32(0x01000193) + self.kind[k:]
+            end = max(len(h) - k, 0)
+            h[:end] = h[:end] * np.uint32(0x01000193) + self.kind[k:]
         bucket = (h * np.uint32(0x9E3779B1)) >> np.uint32(21)
         cell = self.doc * BUCKETS + bucket
         counts = np.bincount(cell, minlength=self.n * BUCKETS).reshape(self.n, BUCKETS).astype(np.float32)
