@@ -194,10 +194,11 @@ def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarr
 
 def fit(rows: np.ndarray, low: np.ndarray, steps: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
     """Weights (bias last) of a logistic scorer of P(low), by full gradient steps with momentum."""
-    x = np.hstack([rows, np.ones((len(rows), 1), np.float32)])
+    x = np.ones((len(rows), rows.shape[1] + 1), np.float32)
+    x[:, :-1] = rows
     scale = np.maximum(x.std(axis=0), 1e-3)
     scale[-1] = 1
-    x = x / scale
+    x /= scale
     w, speed = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     # each class weighs the same
     share = low.mean().clip(1e-6, 1 - 1e-6)
@@ -241,8 +242,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str
     taught = picked.mapInPandas(run, "row binary, low double").limit(2 * sample).toPandas()
     if not len(taught):
         return None
-    rows = np.frombuffer(b"".join(taught["row"]), np.float16).reshape(len(taught), -1).astype(np.float32)
-    return fit(rows, taught["low"].to_numpy(np.float32))
+    low = taught["low"].to_numpy(np.float32)
+    rows = np.frombuffer(b"".join(taught.pop("row")), np.float16).reshape(len(low), -1)
+    return fit(rows, low)
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
