@@ -196,7 +196,12 @@ def fit(rows: np.ndarray, low: np.ndarray, steps: int = 400, rate: float = 0.5,
     """Weights (bias last) of a logistic scorer of P(low), by full gradient steps with momentum."""
     x = np.ones((len(rows), rows.shape[1] + 1), np.float32)
     x[:, :-1] = rows
-    scale = np.maximum(x.std(axis=0), 1e-3)
+    mean, square = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for a in range(0, len(x), 1000):  # x.std() would copy all
+        part = x[a : a + 1000].astype(float)
+        mean += part.sum(axis=0) / len(x)
+        square += (part * part).sum(axis=0) / len(x)
+    scale = np.maximum(np.sqrt(np.maximum(square - mean * mean, 0)), 1e-3).astype(np.float32)
     scale[-1] = 1
     x /= scale
     w, speed = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
@@ -229,22 +234,31 @@ def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch.pop("text").tolist()
             for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
                 part = Batch(texts[a:b])
+                ok = np.flatnonzero(part.words > 0)
+                if not len(ok):
+                    continue
                 rows, votes = part.features().astype(np.float16), part.votes()
-                for i in np.flatnonzero(part.words > 0):
-                    yield pd.DataFrame({"row": [rows[i].tobytes()], "low": [low_of[tuple(votes[i].tolist())]]})
+                yield batch.iloc[a:b].iloc[ok].assign(row=[rows[i].tobytes() for i in ok], low=[low_of[tuple(votes[i].tolist())] for i in ok])
+
+    def teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, low = [], []
+        for batch in batches:
+            low.append(batch["low"].to_numpy(np.float32))
+            rows.append(np.frombuffer(b"".join(batch["row"]), np.float16).reshape(len(batch), -1))
+        if rows:
+            yield pd.DataFrame({"weights": [fit(np.concatenate(rows), np.concatenate(low)).tobytes()]})
 
     picked = _texts(docs, text, doc_id)
     if share < 1:
         picked = picked.where(F.xxhash64("doc_id", "text_hash") < bound)
-    taught = picked.mapInPandas(run, "row binary, low double").limit(2 * sample).toPandas()
-    if not len(taught):
-        return None
-    low = taught["low"].to_numpy(np.float32)
-    rows = np.frombuffer(b"".join(taught.pop("row")), np.float16).reshape(len(low), -1)
-    return fit(rows, low)
+    # at most 2 * sample rows of 4 kB, so one task can hold them; the driver gets the weights alone
+    taught = picked.mapInPandas(run, "doc_id long, text_hash long, row binary, low double").limit(2 * sample)
+    ordered = taught.coalesce(1).sortWithinPartitions("doc_id", "text_hash", "row")
+    learnt = ordered.mapInPandas(teach, "weights binary").collect()
+    return np.frombuffer(learnt[0]["weights"], np.float32) if learnt else None
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
