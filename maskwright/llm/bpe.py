@@ -26,8 +26,8 @@ from tokenizers import Tokenizer
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 LONG_WORD = 200
-BATCH_CHARS = 3_000_000
-CACHE_WORDS = 1_000_000
+BATCH_CHARS = 1_000_000
+CACHE_WORDS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 ENDS = "'s|'t|'re|'ve|'m|'ll|'d"
 
