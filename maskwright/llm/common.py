@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,20 @@ from maskwright.session import scratch_path
 
 SALTS = 16
 BROADCAST_IDS = 1_000_000
+BASE = 0x9E3779B97F4A7C15
+
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of rolling hashes, and of its inverse, from 0 to ``n`` at least; one table a worker."""
+    if not _powers or len(_powers[0]) <= n:
+        _powers.clear()
+        for factor in (BASE, pow(BASE, -1, 1 << 64)):
+            power = np.full(max(n + 1, 3_000_000), factor, np.uint64)
+            power[0] = 1
+            _powers.append(np.cumprod(power, dtype=np.uint64, out=power))
+    return _powers[0], _powers[1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

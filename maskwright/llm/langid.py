@@ -26,30 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.bpe import in_chunks
-from maskwright.llm.common import row_digest, staged, without
+from maskwright.llm.common import powers, row_digest, staged, without
 
 ORDER = 4
 MAX_SEQUENCES = 1_500_000
 MARGIN = 1.0
 QUANTILE = 0.999
 CHUNK_CHARS = 1_500_000
-BASE = 0x5851F42D4C957F2D
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SPACE = 32
 
 _held: dict[str, np.ndarray] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
-    if len(_held.get("up", ())) <= n:
-        for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            powers = np.full(max(n + 1, 2 * CHUNK_CHARS), factor, np.uint64)
-            powers[0] = 1
-            _held[name] = np.cumprod(powers, dtype=np.uint64)
-    return _held["up"], _held["down"]
-
-
 def _lowered(codes: np.ndarray) -> np.ndarray:
     """Each character's lower case if it is a letter, else a space."""
     if "lower" not in _held:
@@ -83,7 +72,7 @@ def symbols(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray
 
 def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """A hash of the ``n`` characters from each position."""
-    up, down = _tables(len(codes) + 1)
+    up, down = powers(len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
     h = (total[n:] - total[:-n]) * down[: len(codes) - n + 1]

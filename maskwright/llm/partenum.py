@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.bpe import _plain_rows, in_chunks
-from maskwright.llm.common import BROADCAST_IDS, attach_groups, row_digest, staged, without
+from maskwright.llm.common import BROADCAST_IDS, attach_groups, powers, row_digest, staged, without
 
 GRAM = 5
 NUMBER, OF = 4, 5  # similarity of at least 4/5
@@ -60,19 +60,15 @@ def shingles(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray
         fold = np.arange(256, dtype=np.uint64)
         fold[65:91] += 32
         _held["fold"] = fold
-    if len(_held.get("up", ())) <= len(whole):
-        for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            power = np.full(max(len(whole) + 1, 3 * CHUNK_CHARS), factor, np.uint64)
-            power[0] = 1
-            _held[name] = np.cumprod(power, dtype=np.uint64)
+    up, down = powers(len(whole))
     lens = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)) + 1
     bounds = np.cumsum(lens)
     gap = (whole == 32) | ((whole >= 9) & (whole <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     total = np.zeros(len(whole) + 1, np.uint64)
-    np.cumsum((_held["fold"][whole] + np.uint64(1)) * _held["up"][: len(whole)], out=total[1:])
-    word = _mix((total[end] - total[start]) * _held["down"][start] + (end - start).astype(np.uint64))
+    np.cumsum((_held["fold"][whole] + np.uint64(1)) * up[: len(whole)], out=total[1:])
+    word = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     owner = np.searchsorted(bounds, start, side="right")
     count = np.bincount(owner, minlength=len(texts))
     grams = np.where(count >= gram, count - gram + 1, (count > 0).astype(np.int64))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.bpe import in_chunks
-from maskwright.llm.common import row_digest, staged, without
+from maskwright.llm.common import powers, row_digest, staged, without
 
 BUCKETS = 1 << 11
 RUN = 4
@@ -32,7 +32,6 @@ PRIOR_CHARS = 60
 THRESHOLD = 0.25
 CHUNK_CHARS = 1_000_000
 LOWER, UPPER, DIGIT, BLANK, LINE = 1, 2, 3, 4, 5
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _held: dict[str, np.ndarray] = {}
 
@@ -85,13 +84,10 @@ class Batch:
 
     def shares(self) -> dict[str, np.ndarray]:
         """What the labellers look at, from 0 to 1."""
-        if len(_held.get("power", ())) <= len(self.codes):
-            _held["power"] = np.cumprod(np.full(max(len(self.codes) + 1, 2 * CHUNK_CHARS), BASE), dtype=np.uint64)
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            _held["inverse"] = np.cumprod(np.full(len(_held["power"]), inverse), dtype=np.uint64)
+        up, down = powers(len(self.codes))
         total = np.zeros(len(self.codes) + 1, np.uint64)
-        np.cumsum(self.codes.astype(np.uint64) * _held["power"][: len(self.codes)], out=total[1:])
-        word = (total[self.end] - total[self.start]) * _held["inverse"][self.start]
+        np.cumsum(self.codes.astype(np.uint64) * up[: len(self.codes)], out=total[1:])
+        word = (total[self.end] - total[self.start]) * down[self.start]
         again = np.zeros(len(word), bool)
         again[1:] = (word[1:] == word[:-1]) & (self.owner[1:] == self.owner[:-1])
         named = word ^ self.owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
