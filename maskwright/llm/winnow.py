@@ -2,8 +2,9 @@
 
 Every run of ``gram`` code points is hashed, each window of ``window`` neighbouring hashes
 selects its least one (the rightmost of equals), and the selected hashes are kept with their
-positions. Two texts that share a run of ``gram + window - 1`` code points share a selected
-hash of that run.
+positions. Two texts that share a run of ``gram + window - 1`` code points (39 by default)
+share a selected hash of that run; a text of at least twice that length shares one with each
+text that has its first half.
 
 Results in special cases: a null or empty text has no hashes; a text shorter than ``gram``
 has the hash of the whole text; two texts without hashes are alike (1.0), one without and
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.bpe import _plain_rows, in_chunks
 
 GRAM = 24
-WINDOW = 128
+WINDOW = 16
 CHUNK_CHARS = 1_000_000
 BASE = 0x2545F4914F6CDD1D
 COARSE = 64

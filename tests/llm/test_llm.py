@@ -163,6 +163,15 @@ def test_winnowing(spark):
         assert r["edited_sha256"] == hashlib.sha256((a[:150] + b[:150]).encode()).hexdigest()
 
 
+def test_winnowing_matches_short_texts(spark):
+    """A text whose first half is kept has a hash of it, from twice 39 code points on."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in range(78, 302)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = winnow.compare_with_next(docs).collect()
+    assert len(found) == len(texts) and all(r["near_edited"] > 0 for r in found)
+
+
 def test_language_and_quality_on_labels(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{big}/documents.parquet")
