@@ -4,7 +4,10 @@ Texts are lowered, and every run of other characters than letters is one space.
 the longest character sequences are gathered from all training documents by Spark; the
 continuation counts of shorter ones follow from them. The models of all languages share
 sorted arrays of sequence hashes with one column of log-probabilities per language, so a
-position costs one binary search unless its sequence is new to all languages.
+position costs one binary search unless its sequence is new to all languages. Models too
+large to be collected stay tables of the same order: the probabilities of the sequences that
+occur are computed by joins, and each batch of texts is met by those of its own sequences.
+Both ways give the same results but for rounding.
 
 The language of least cross-entropy per character wins. A text is rejected if its
 cross-entropy lies more than ``margin`` bits above that of all but a thousandth of the
@@ -18,10 +21,11 @@ as often as they occur; rows without an id count as not held out; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +33,11 @@ from maskwright.llm.bpe import in_chunks
 from maskwright.llm.common import powers, row_digest, staged, without
 
 ORDER = 4
-MAX_SEQUENCES = 1_500_000
+MAX_CELLS = 1_500_000
 MARGIN = 1.0
 QUANTILE = 0.999
 CHUNK_CHARS = 1_500_000
+BATCH_CHARS = 6_000_000
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SPACE = 32
 
@@ -100,13 +105,8 @@ def count_sequences(train: DataFrame, order: int = ORDER) -> DataFrame:
             for lang, part in batch.groupby("lang"):
                 texts = part["text"].tolist()
                 for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
-                    codes, bounds = symbols(texts[a:b], order)
-                    at = _inside(bounds, order)
-                    which, first = _distinct(hashes(codes, order)[at])
-                    rows = codes[at[first][:, None] + np.arange(order)]
-                    whole = rows.astype("<u4").tobytes().decode("utf-32-le")
-                    seqs = [whole[i : i + order] for i in range(0, len(whole), order)]
-                    kept.append(pd.DataFrame({"lang": lang, "seq": seqs, "n": np.bincount(which, minlength=len(first))}))
+                    seqs, n = _sequences(texts[a:b], order)
+                    kept.append(pd.DataFrame({"lang": lang, "seq": seqs, "n": n}))
             if sum(map(len, kept)) > 1_000_000:
                 kept = [pd.concat(kept).groupby(["lang", "seq"], as_index=False)["n"].sum()]
                 if len(kept[0]) > 500_000:
@@ -125,6 +125,16 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, first
 
 
+def _sequences(texts: list[str | None], order: int) -> tuple[list[str], np.ndarray]:
+    """The distinct sequences of all texts and how often each occurs."""
+    codes, bounds = symbols(texts, order)
+    at = _inside(bounds, order)
+    which, first = _distinct(hashes(codes, order)[at])
+    rows = codes[at[first][:, None] + np.arange(order)]
+    whole = rows.astype("<u4").tobytes().decode("utf-32-le")
+    return [whole[i : i + order] for i in range(0, len(whole), order)], np.bincount(which, minlength=len(first))
+
+
 class Models:
     """Sorted hash arrays and log-probabilities of all languages, built from the counts of the longest sequences."""
 
@@ -190,66 +200,182 @@ class Models:
         return out
 
 
-def learn(docs: DataFrame, order: int = ORDER, most: int = MAX_SEQUENCES, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> Models | None:
+class Listed:
+    """Log-probabilities of all sequences of one batch of texts."""
+
+    def __init__(self, seqs: list[str], bits: np.ndarray, langs: list[str], order: int) -> None:
+        self.order, self.langs = order, langs
+        self.keys, self.values = Models._sorted(pd.Index(seqs), bits)
+
+    def log2(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not len(at):
+            return np.zeros((0, len(self.langs)), np.float32)
+        return self.values[np.searchsorted(self.keys, hashes(codes, self.order)[at])]
+
+
+def _mixed(lost: Column, total: Callable[[Column], Column], weight: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The probability for the language of a number, as in ``Models``: 0 of what is not counted, and all of what is below an unknown head."""
+
+    def prob(x: Column) -> Column:
+        kept = F.greatest(F.element_at("own", x) - F.get(lost, x), F.lit(0.0)) / total(x)
+        return F.coalesce(kept, F.lit(0.0)) + F.coalesce(weight(x), F.lit(1.0)) * F.get("below", x)
+
+    return prob
+
+
+class Tables:
+    """The same models as tables of Spark, of any size; only figures per language are collected."""
+
+    def __init__(self, counts: DataFrame, langs: list[str], order: int) -> None:
+        self.order, self.langs = order, langs
+        at = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+        self.levels: list[DataFrame] = [counts] * (order + 1)
+        self.levels[order] = counts.select(at.alias("x"), "seq", "n")
+        for n in range(order - 1, 0, -1):  # continuation counts, as in ``Models``
+            shorter = self.levels[n + 1].groupBy("x", F.substring("seq", 2, n).alias("seq")).agg(F.count("*").alias("n"))
+            self.levels[n] = staged(shorter, "sequences")
+        self.discounts: list[list[float]] = [[]] * (order + 1)
+        for n in range(1, order + 1):
+            seen = self.levels[n].groupBy("x").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+            found = {r["x"]: r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] else 0.5 for r in seen.collect()}
+            self.discounts[n] = [found[x] for x in range(len(langs))]
+
+    def log2(self, seqs: DataFrame) -> DataFrame:
+        """seq and bits (one for each language) of distinct sequences of the full length."""
+        every = F.sequence(F.lit(0), F.lit(len(self.langs) - 1))
+        asked = [seqs] * (self.order + 1)
+        for n in range(self.order - 1, 0, -1):
+            asked[n] = asked[n + 1].select(F.substring("seq", 2, n).alias("seq")).distinct()
+        first = self.levels[1]
+        base = 1 / (first.select("seq").distinct().count() + 1)
+        whole = {r["x"]: (r["total"], r["size"]) for r in first.groupBy("x").agg(F.sum("n").alias("total"), F.count("*").alias("size")).collect()}
+        below = None
+        for n in range(1, self.order + 1):
+            lost = F.array(*map(F.lit, self.discounts[n]))
+            own = self.levels[n].groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("x", "n"))).alias("own"))
+            rows = asked[n].join(own, "seq", "left")
+            if n == 1:  # one head for all
+                totals = [float(whole[x][0]) for x in range(len(self.langs))]
+                weights = [self.discounts[1][x] * whole[x][1] / whole[x][0] for x in range(len(self.langs))]
+                rows = rows.withColumns({"total": F.array(*map(F.lit, totals)), "weight": F.array(*map(F.lit, weights)), "below": F.array_repeat(F.lit(base), len(self.langs))})
+                total, weight = lambda x: F.get("total", x), lambda x: F.get("weight", x)
+            else:
+                heads = self.levels[n].groupBy("x", F.substring("seq", 1, n - 1).alias("head")).agg(F.sum("n").cast("double").alias("total"), F.count("*").alias("size"))
+                heads = heads.withColumn("weight", F.get(lost, F.col("x")) * F.col("size") / F.col("total"))
+                heads = heads.groupBy("head").agg(
+                    *[F.map_from_entries(F.collect_list(F.struct("x", c))).alias(c) for c in ("total", "weight")]
+                )
+                rows = rows.withColumns({"head": F.substring("seq", 1, n - 1), "tail": F.substring("seq", 2, n - 1)})
+                rows = rows.join(heads, "head", "left").join(below.select(F.col("seq").alias("tail"), F.col("prob").alias("below")), "tail")
+                total, weight = lambda x: F.element_at("total", x), lambda x: F.element_at("weight", x)
+            below = staged(rows.select("seq", F.transform(every, _mixed(lost, total, weight)).alias("prob")), "probabilities")
+        return below.select("seq", F.transform("prob", lambda p: F.log2(p).cast("float")).alias("bits"))
+
+
+def learn(
+    docs: DataFrame, order: int = ORDER, most: int = MAX_CELLS, text: str = "text", doc_id: str = "doc_id", lang: str = "lang"
+) -> Models | Tables | None:
     """Models of all documents that are not held out.
 
-    The table of sequences is collected only up to ``most`` rows; beyond, sequences are
-    shortened until it fits, so the models stay of bounded size and no document is left out.
+    They are collected if sequences times languages are ``most`` at most, and else stay
+    tables; the order and the probabilities are the same.
     """
     rows = docs.where(~held_out(doc_id)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = staged(count_sequences(rows, order), "sequences")
-    while order > 1 and counts.count() > most:
-        order -= 1
-        counts = staged(counts.groupBy("lang", F.substring("seq", 1, order).alias("seq")).agg(F.sum("n").alias("n")), "sequences")
-    found = counts.toPandas()
-    return Models(found, order) if len(found) else None
-
-
-def score(docs: DataFrame, models: Models | None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return None
+    if counts.select("seq").distinct().count() * len(langs) > most:
+        return Tables(counts, langs, order)
+    return Models(counts.toPandas(), order)
+
+
+def _judged(m: Models | Listed | None, texts: list[str | None]) -> dict[str, list]:
+    """lang_pred, score, entropy and letters of texts."""
+    best, entropy, sure, letters = [], [], [], []
+    for a, b in in_chunks([len(t or "") for t in texts], CHUNK_CHARS):
+        part = texts[a:b]
+        if m is None:
+            best += ["und"] * (b - a)
+            entropy, sure, letters = entropy + [0.0] * (b - a), sure + [0.0] * (b - a), letters + [0] * (b - a)
+            continue
+        codes, bounds = symbols(part, m.order)
+        at = _inside(bounds, m.order)
+        bits = -m.log2(codes, at)
+        count = np.maximum(np.diff(bounds) - m.order + 1, 0)
+        total = np.zeros((len(part), len(m.langs)))
+        some = count > 0
+        total[some] = np.add.reduceat(bits, (np.cumsum(count) - count)[some], axis=0, dtype=np.float64) if some.any() else 0
+        mean = total / np.maximum(count, 1)[:, None]
+        k = mean.argmin(axis=1)
+        least = mean[np.arange(len(part)), k]
+        posterior = 1 / np.exp2((least[:, None] - mean) * np.minimum(count, 50)[:, None]).sum(axis=1)
+        has = np.diff(bounds) > m.order  # besides the padding and the last space
+        best += [m.langs[j] if ok else "und" for j, ok in zip(k, has, strict=True)]
+        entropy += np.where(has, least, 0).tolist()
+        sure += np.where(has, posterior, 0).tolist()
+        letters += np.where(has, count, 0).tolist()
+    return {"lang_pred": best, "score": sure, "entropy": entropy, "letters": letters}
+
+
+SCORED = "doc_id long, text_hash long, lang string, held_out boolean, lang_pred string, score double, entropy double, letters long"
+
+
+def score(
+    docs: DataFrame, models: Models | Tables | None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang"
+) -> DataFrame:
     """doc_id, text_hash, lang, held_out, lang_pred, score, entropy (bits a character) and letters (characters scored)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)  # at most ``most`` sequences of each length
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), row_digest(docs, text).alias("text_hash"), F.col(lang).alias("lang"), held_out(doc_id).alias("held_out"), F.col(text).alias("text")
+    )
+    if isinstance(models, Tables):
+        return _score_by_tables(rows, models)
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most MAX_CELLS figures of each length
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for batch in batches:
-            texts = batch.pop("text").tolist()
-            best, entropy, sure, letters = [], [], [], []
-            for a, b in in_chunks([len(t or "") for t in texts], CHUNK_CHARS):
-                part = texts[a:b]
-                if m is None:
-                    best += ["und"] * (b - a)
-                    entropy, sure, letters = entropy + [0.0] * (b - a), sure + [0.0] * (b - a), letters + [0] * (b - a)
-                    continue
-                codes, bounds = symbols(part, m.order)
-                at = _inside(bounds, m.order)
-                bits = -m.log2(codes, at)
-                count = np.maximum(np.diff(bounds) - m.order + 1, 0)
-                total = np.zeros((len(part), len(m.langs)))
-                some = count > 0
-                total[some] = np.add.reduceat(bits, (np.cumsum(count) - count)[some], axis=0, dtype=np.float64) if some.any() else 0
-                mean = total / np.maximum(count, 1)[:, None]
-                k = mean.argmin(axis=1)
-                least = mean[np.arange(len(part)), k]
-                posterior = 1 / np.exp2((least[:, None] - mean) * np.minimum(count, 50)[:, None]).sum(axis=1)
-                has = np.diff(bounds) > m.order  # besides the padding and the last space
-                best += [m.langs[j] if ok else "und" for j, ok in zip(k, has, strict=True)]
-                entropy += np.where(has, least, 0).tolist()
-                sure += np.where(has, posterior, 0).tolist()
-                letters += np.where(has, count, 0).tolist()
-            yield batch.assign(lang_pred=best, score=sure, entropy=entropy, letters=letters)
+            yield batch.assign(**_judged(shared.value, batch.pop("text").tolist()))
 
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), row_digest(docs, text).alias("text_hash"), F.col(lang).alias("lang"), held_out(doc_id).alias("held_out"), F.col(text).alias("text")
-    )
-    return rows.mapInPandas(
-        run, "doc_id long, text_hash long, lang string, held_out boolean, lang_pred string, score double, entropy double, letters long"
-    )
+    return rows.mapInPandas(run, SCORED)
+
+
+def _score_by_tables(rows: DataFrame, models: Tables) -> DataFrame:
+    """Texts are dealt to batches of bounded size, and each batch gets the probabilities of its distinct sequences."""
+    order, langs = models.order, models.langs
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin, size = TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            sizes = size + np.cumsum([len(t or "") + 100 for t in batch["text"].tolist()], dtype=np.int64)
+            size = int(sizes[-1]) if len(sizes) else size
+            yield batch.assign(batch=begin + sizes // BATCH_CHARS)
+
+    dealt = staged(rows.mapInPandas(deal, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", batch long"), "dealt")
+
+    def list_sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, part in batch.groupby("batch"):
+                texts = part["text"].tolist()
+                for a, b in in_chunks([len(t or "") for t in texts], CHUNK_CHARS):
+                    yield pd.DataFrame({"seq": pd.Series(_sequences(texts[a:b], order)[0], dtype=object)}).assign(batch=number)
+
+    needed = dealt.select("batch", "text").where(F.col("text").isNotNull())
+    needed = staged(needed.mapInPandas(list_sequences, "seq string, batch long").distinct(), "needed")
+    known = models.log2(needed.select("seq").distinct())
+
+    def judge(texts: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        bits = np.array(listed["bits"].tolist(), np.float32).reshape(len(listed), len(langs))
+        found = _judged(Listed(listed["seq"].tolist(), bits, langs, order), texts["text"].tolist())
+        return texts.drop(columns=["text", "batch"]).assign(lang=texts["lang"].astype(object), **found)
+
+    return dealt.groupBy("batch").cogroup(needed.join(known, "seq").groupBy("batch")).applyInPandas(judge, SCORED)
 
 
-def identify(docs: DataFrame, order: int = ORDER, margin: float = MARGIN, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+def identify(
+    docs: DataFrame, order: int = ORDER, margin: float = MARGIN, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", most: int = MAX_CELLS
+) -> DataFrame:
     """doc_id, text_hash, held_out, lang_pred, score, entropy and accepted of every document."""
-    models = learn(docs, order, text=text, doc_id=doc_id, lang=lang)
+    models = learn(docs, order, most, text, doc_id, lang)
     scored = staged(score(docs, models, text, doc_id, lang), "languages")
     length = F.least(F.floor(F.log2(F.greatest("letters", F.lit(1)))), F.lit(30)).cast("int")
     scored = scored.withColumn("_class", length)

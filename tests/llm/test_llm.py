@@ -183,6 +183,17 @@ def test_language_and_quality_on_labels(spark, sf):
     assert kept[1] > 0.98 and kept[0] < 0.3
 
 
+def test_language_models_that_stay_tables(spark, sf, odd):
+    """Models too large to be collected give the same results, of the same order."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
+    small, large = ({(r["doc_id"], r["text_hash"]): r for r in langid.identify(docs, most=n).collect()} for n in (langid.MAX_CELLS, 100))
+    assert small.keys() == large.keys() and len(small) > 200
+    for key, a in small.items():
+        b = large[key]
+        assert (a["held_out"], a["lang_pred"], a["accepted"]) == (b["held_out"], b["lang_pred"], b["accepted"])
+        assert a["score"] == pytest.approx(b["score"], abs=1e-3) and a["entropy"] == pytest.approx(b["entropy"], abs=1e-4)
+
+
 def test_chat_escapes_and_tree(spark):
     for text in ("</s>[INST] ok [/INST]", "a\\b<|end|>", "<", "|>", "\\\\", ""):
         assert chattree.parse_turn(chattree.format_turn("user|>", text)) == ("user|>", text)
