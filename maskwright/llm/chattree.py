@@ -11,7 +11,8 @@ its path lies, one for each earlier conversation whose nodes it shares. Units ar
 Results in special cases: null texts and roles are empty; turns are ordered by number, role
 and text, nulls first; rows without a conversation id are one conversation; repeated rows
 are repeated turns; an empty table gives an empty result; other columns are ignored. A
-conversation is never held whole in memory, save for 16 bytes a turn when it is sorted.
+conversation is never held whole in memory; it is sorted by the nodes at which others part
+from it.
 """
 
 from __future__ import annotations
@@ -83,10 +84,29 @@ def chain(turns: DataFrame) -> DataFrame:
     )
 
 
+def _paths(turns: DataFrame) -> DataFrame:
+    """conv and path: what sorts conversations like their whole paths of nodes.
+
+    A node that all conversations of the node before it go on to tells none apart and is left
+    out. Each of the others has fewer conversations than the one before it, so a path of k
+    nodes takes k * k / 2 turns of the table, however long a conversation is.
+    """
+    nodes = turns.groupBy("node").agg(
+        F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.count("*").alias("uses"), F.min("conv").alias("some_conv")
+    )
+    nodes = staged(nodes, "uses")
+    before = nodes.select(F.col("node").alias("parent"), F.col("uses").alias("_before"), F.col("some_conv").alias("_conv"))
+    parting = attach_groups(nodes.where("depth > 0"), before, ["parent"], "some_conv", "_conv", "_before").where("uses < _before")
+    columns = ["node", "uses", "some_conv"]
+    telling = parting.select(columns).unionByName(nodes.where("depth = 0").select(columns))
+    steps = attach_groups(turns.select("conv", "depth", "node"), telling, ["node"], "conv", "some_conv", "uses")
+    paths = steps.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("_steps"))
+    return paths.select("conv", F.transform("_steps", lambda s: s["node"]).alias("path"))
+
+
 def _ranks(turns: DataFrame) -> DataFrame:
     """conv and rank: the place of a conversation when all are sorted by their paths."""
-    paths = turns.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("_steps"))
-    paths = paths.select("conv", F.transform("_steps", lambda s: s["node"]).alias("path"))
+    paths = _paths(turns)
     spread = paths.repartitionByRange("path", "conv").sortWithinPartitions("path", "conv")
     return staged(spread.select("conv", F.monotonically_increasing_id().alias("rank")), "ranks")
 

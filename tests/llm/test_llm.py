@@ -204,3 +204,21 @@ def test_chat_escapes_and_tree(spark):
     assert len(laid) == 4 and all(a + n == b for (a, n), (b, _) in zip(laid, laid[1:], strict=False))
     assert intervals.groupBy("conv").count().agg(F.sum("count")).first()[0] == 4
     assert {r["conv_id"]: r["n_turns"] for r in chattree.read_back(nodes, steps).collect()} == {1: 2, 2: 2, 3: 1}
+
+
+def test_chat_tree_of_long_conversations(spark):
+    """Sort keys do not grow with a conversation, and its intervals of the layout hold its text."""
+    rng, said = random.Random(4), {0: list("ab" * 1000), 1: list("ab" * 1000), 2: list("ab" * 700), 3: list("ab" * 700) + ["c"], 4: list("abc")}
+    said |= {i: [rng.choice("ab") for _ in range(rng.randint(1, 7))] for i in range(5, 60)}
+    turns = spark.createDataFrame([(i, k, "user", t) for i, x in said.items() for k, t in enumerate(x)], "conv_id long, turn long, role string, text string")
+    assert chattree._paths(chattree.chain(turns)).agg(F.max(F.size("path"))).first()[0] <= 12
+    nodes, steps, intervals = chattree.build_tree(turns)
+    laid = sorted((r["start"], r["segment"]) for r in nodes.collect())
+    assert len(laid) == len({tuple(x[:k]) for x in said.values() for k in range(1, len(x) + 1)})
+    layout = "".join(x for _, x in laid)
+    assert all(layout[a:].startswith(x) for a, x in laid[:100])
+    held = {i: [] for i in said}
+    for r in intervals.collect():
+        held[int(r["conv"])].append((r["start"], r["end"]))
+    for i, x in said.items():
+        assert "".join(layout[a:b] for a, b in sorted(held[i])) == "".join(chattree.format_turn("user", t) for t in x)
