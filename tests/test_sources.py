@@ -35,6 +35,24 @@ def test_read_documents(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[1]
 
 
+def test_hidden_files_are_listed_and_reported(spark, tmp_path):
+    (tmp_path / "_tmp" / "er").mkdir(parents=True)
+    (tmp_path / ".git").mkdir()
+    names = [".env", "_x.md", "_tmp/c.md", "_tmp/er/d.md", ".git/e.md", "_a=b.md", "f.md"]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_bytes(b"x" * (k + 1))
+    listed = file_inventory(spark, str(tmp_path)).collect()
+    assert sorted((r["path"].split(f"{tmp_path}/")[1], r["length"]) for r in listed) == sorted((n, k + 1) for k, n in enumerate(names))
+    for r in listed:
+        at = r["path"].removeprefix("file:")
+        assert abs(r["mtime"].timestamp() - os.path.getmtime(at)) < 1
+    good, bad = quarantine(read_documents(spark, str(tmp_path), glob="*.md"))
+    assert sorted(os.path.basename(r["path"]) for r in good.collect()) == ["_a=b.md", "f.md"]
+    assert sorted((os.path.basename(r["path"]), r["error"]) for r in bad.collect()) == [(x, "no content") for x in ("_x.md", "c.md", "d.md", "e.md")]
+    only = file_inventory(spark, [f"{tmp_path}/.git", f"{tmp_path}/_x.md"]).collect()
+    assert sorted(os.path.basename(r["path"]) for r in only) == ["_x.md", "e.md"]
+
+
 def test_load_split_and_write(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "train"))
     assert load_split(spark, str(tmp_path)).count() == 3
