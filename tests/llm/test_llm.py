@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from maskwright.llm import bpe, chattree, exact, langid, packing, partenum, urls, warc, weak, winnow
+from maskwright.llm.common import staged
 from maskwright.llm.oracles import oracle_sql
 from maskwright.llm.queries import queries
 
@@ -222,3 +224,35 @@ def test_chat_tree_of_long_conversations(spark):
         held[int(r["conv"])].append((r["start"], r["end"]))
     for i, x in said.items():
         assert "".join(layout[a:b] for a, b in sorted(held[i])) == "".join(chattree.format_turn("user", t) for t in x)
+
+
+@pytest.mark.parametrize("kind", ["none", "some"])
+def test_pipeline_stages_and_whole(spark, tmp_path, kind):
+    """Each stage against what it may keep, and ``run`` against the stages, also with null ids, other columns and no rows."""
+    rng = random.Random(6)
+    texts = {i: " ".join(rng.choice(("the", "and", "of")) + f" w{rng.randint(0, 900)}" for _ in range(60)) + "." for i in range(40)}
+    texts |= {40: texts[0], 41: texts[1] + " more", 42: None, 43: "12 34"}
+    table = [(i, t, "en", "s", 1, "clash", 3) for i, t in texts.items()] + [(None, texts[2], "en", "s", 1, "clash", 3)]
+    docs = spark.createDataFrame(table if kind == "some" else [], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sf_dir, docs = str(tmp_path), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r["doc_id"], r["text"]) for r in kept.collect()] if name != "packing" else None
+        kept = staged(stage(spark, kept, sf_dir), name)
+        if before is None:
+            continue
+        after = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert kept.columns == docs.columns and not Counter(after) - Counter(before)
+        if name == "exact_dedup":
+            last = {}
+            for i, t in before:
+                last[t or ""] = max(last.get(t or "", -1), -1 if i is None else i)
+            assert Counter(-1 if i is None else i for i, _ in after) == Counter(last.values())
+        if name == "near_dedup" and before:
+            labels = {i: c for i, _, c in brute_components({-1 if i is None else i: t for i, t in before})}
+            assert len(after) == len(set(labels.values()))
+    ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").distinct().collect())
+    whole = corpus_pipeline.run(spark, sf_dir)
+    assert ids(whole) == ids(kept) and whole.count() == kept.count()
+    assert (kept.count() > 0) == (kind == "some")
