@@ -63,5 +63,43 @@ SELECT page_id, host, path, rule, coalesce(v, w, 'allow') AS verdict, CASE WHEN
 """
 
 
+def _cluster_sql(count: int = 40, rounds: int = 5) -> str:
+    """Every round as three tables: distances to the centroids, the nearest one, and the means."""
+
+    def nearest(k: int) -> str:
+        apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        return f"""a{k} AS MATERIALIZED (
+  SELECT v.row, min(struct_pack(d := CAST({apart} AS BIGINT), k := c.k)) AS best FROM v CROSS JOIN c{k} c GROUP BY v.row
+)"""
+
+    def means(k: int) -> str:
+        return f"""m{k} AS MATERIALIZED (
+  SELECT k, list(CAST(floor_mean AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT best.k AS k, i, (s - ((s % n) + n) % n) // n AS floor_mean FROM (
+      SELECT a.best, i, sum(v.x[i]) AS s, count(*) AS n FROM (SELECT row, struct_pack(k := best.k) AS best FROM a{k}) a
+      JOIN v ON v.row = a.row CROSS JOIN range(1, 65) r(i) GROUP BY a.best, i
+    )
+  ) GROUP BY k
+), c{k + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON m.k = c.k)"""
+
+    steps = ",\n".join(f"{nearest(k)},\n{means(k)}" for k in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, x FROM (
+    SELECT sha256('2:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h LIMIT {count}
+  )
+),
+{steps},
+{nearest(rounds)},
+d AS (SELECT v.vec_id, CAST(best.k AS INTEGER) AS cluster, best.d AS distance FROM a{rounds} a JOIN v ON v.row = a.row)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM d JOIN c{rounds} c ON c.k = d.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op5_exact_dedup": OP5, "op6_url_filters": _url_sql(), "op9_chat_tree": OP9}
+    return {"op1_warc": OP1, "op5_exact_dedup": OP5, "op6_url_filters": _url_sql(), "op9_chat_tree": OP9, "op11_clusters": _cluster_sql()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from maskwright.llm import bpe, chattree, exact, langid, packing, partenum, urls, warc, weak, winnow
+from maskwright.llm import bitplanes, bpe, chattree, exact, langid, packing, partenum, repair, tokencount, urls, warc, weak, winnow
 from maskwright.llm.common import table
 from maskwright.session import scratch_path
 
@@ -66,6 +66,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()]
     return {f.__name__: f for f in found}

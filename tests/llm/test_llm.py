@@ -38,7 +38,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = queries()[name](spark, sf)
     columns = sorted(found.columns)
