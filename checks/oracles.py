@@ -169,6 +169,33 @@ LEASES = (
     " || chr(10) || 'Agent ' || c_name || ', ' || n_name || '.' AS text"
     " FROM customer JOIN nation ON n_nationkey = c_nationkey)"
 )
+LEASED = (
+    "src AS (SELECT doc_id AS id, 'Tenant: ' || c_name || ' | Signer: ' || n_name || ' Holdings Co.' || chr(10) || text"
+    " || chr(10) || 'Agent ' || c_name || ', ' || n_name || '.' AS text FROM documents"
+    " JOIN customer ON c_custkey = doc_id % (SELECT count(*) FROM customer) JOIN nation ON n_nationkey = c_nationkey)"
+)
+
+
+def terms_cte(source: str = "src") -> str:
+    """``named(id, start, end, entity_type, score, text)``: sequences of up to three words that are terms."""
+    word = "[\\p{L}\\p{N}_#&.''-]+"
+    return (
+        "terms AS (SELECT DISTINCT c_name AS term, 'PERSON' AS entity_type FROM customer UNION ALL"
+        " SELECT DISTINCT n_name, 'LOCATION' FROM nation UNION ALL SELECT DISTINCT n_name || ' Holdings Co', 'ORGANIZATION'"
+        f" FROM nation), cut AS (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT id, string_split("
+        f"regexp_replace(text, '({word})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM {source})),"
+        " seq AS (SELECT id, i, regexp_replace(split_part(p, chr(2), 1), '[.''-]+$', '') AS w,"
+        " sum(length(replace(p, chr(2), ''))) OVER (PARTITION BY id ORDER BY i) - length(replace(p, chr(2), '')) AS s"
+        " FROM cut), words AS (SELECT id, s, w, row_number() OVER (PARTITION BY id ORDER BY i) AS j FROM seq WHERE i > 1 AND w <> ''),"
+        " grams AS (SELECT id, s, s + length(w) AS e, w AS g FROM words UNION ALL"
+        " SELECT a.id, a.s, b.s + length(b.w), a.w || ' ' || b.w FROM words a JOIN words b ON b.id = a.id AND b.j = a.j + 1"
+        " UNION ALL SELECT a.id, a.s, c.s + length(c.w), a.w || ' ' || b.w || ' ' || c.w FROM words a JOIN words b"
+        " ON b.id = a.id AND b.j = a.j + 1 JOIN words c ON c.id = a.id AND c.j = a.j + 2),"
+        " named AS (SELECT id, CAST(s AS INT) AS start, CAST(e AS INT) AS \"end\", entity_type, CAST(0.85 AS DOUBLE) AS score,"
+        " g AS text FROM grams JOIN terms ON term = g)"
+    )
+
+
 IDENTITIES = """src AS (SELECT id, 'Tenant ' || name || chr(10) || CASE WHEN id % 2 = 0 THEN 'SSN ' ELSE 'No. ' END
  || ssn || ', tax ' || itin || '; bare ' || bare || ' account ' || iban || ' end, call 415-555-' || substr(bare, 6) AS text
  FROM (SELECT c_custkey AS id, c_name AS name,
@@ -455,21 +482,13 @@ def oracle_sql() -> dict[str, str]:
         " CASE page_id % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' END AS extractor,"
         " CASE page_id % 3 WHEN 2 THEN 'no extractor gave text' END AS error FROM pages"
     )
-    word = r"[\p{L}\p{N}_#&.''-]+"
     sql["gazetteer_join"] = (
-        f"WITH {LEASES}, terms AS (SELECT DISTINCT c_name AS term, 'PERSON' AS entity_type FROM customer UNION ALL"
-        " SELECT DISTINCT n_name, 'LOCATION' FROM nation UNION ALL SELECT DISTINCT n_name || ' Holdings Co', 'ORGANIZATION'"
-        f" FROM nation), cut AS (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT id, string_split("
-        f"regexp_replace(text, '({word})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM src)),"
-        " seq AS (SELECT id, i, regexp_replace(split_part(p, chr(2), 1), '[.''-]+$', '') AS w,"
-        " sum(length(replace(p, chr(2), ''))) OVER (PARTITION BY id ORDER BY i) - length(replace(p, chr(2), '')) AS s"
-        " FROM cut), words AS (SELECT id, s, w, row_number() OVER (PARTITION BY id ORDER BY i) AS j FROM seq WHERE i > 1 AND w <> ''),"
-        " grams AS (SELECT id, s, s + length(w) AS e, w AS g FROM words UNION ALL"
-        " SELECT a.id, a.s, b.s + length(b.w), a.w || ' ' || b.w FROM words a JOIN words b ON b.id = a.id AND b.j = a.j + 1"
-        " UNION ALL SELECT a.id, a.s, c.s + length(c.w), a.w || ' ' || b.w || ' ' || c.w FROM words a JOIN words b"
-        " ON b.id = a.id AND b.j = a.j + 1 JOIN words c ON c.id = a.id AND c.j = a.j + 2)"
-        " SELECT id AS c_custkey, CAST(s AS INT) AS start, CAST(e AS INT) AS \"end\", entity_type, g AS text"
-        " FROM grams JOIN terms ON term = g"
+        f"WITH {LEASES}, {terms_cte()} SELECT id AS c_custkey, start, \"end\", entity_type, text FROM named"
+    )
+    sql["mask_all"] = (
+        f"WITH {LEASED},\n{terms_cte()},\n{matches_cte('src', prefix='pattern')},\n"
+        f"raw AS (SELECT id, {MATCH_COLUMNS} FROM pattern UNION ALL SELECT id, {MATCH_COLUMNS} FROM named),\n"
+        f"{resolved_cte()},\n{masked_cte(REDACTED)} SELECT id AS doc_id, masked FROM masked"
     )
     sql["stream_mask"] = f"WITH {FOUND},\n{masked_cte(ANONYMIZED)} SELECT id AS doc_id, masked FROM masked"
     sql["protect_by_source"] = (

@@ -17,7 +17,7 @@ from maskwright.functions.recognizers import RECOGNIZERS, Recognizer
 from maskwright.functions import text as tx
 from maskwright.operators import audit, retention
 from maskwright.operators.detect import MARKER_PATTERN, detect, filter_by_list, filter_entities, matches
-from maskwright.operators.dictionary import dictionary_spans
+from maskwright.operators.dictionary import dictionary_spans, with_dictionary
 from maskwright.operators.extract import assemble_pages, extract_text
 from maskwright.operators.mask import mask, mask_numbered, masking_error, placeholder_counts
 from maskwright.operators.models import detect_with_model, locate_entities, model_extract, parse_entities
@@ -29,11 +29,12 @@ from maskwright.operators.report import (
     top_docs,
     with_counts,
 )
+from maskwright.operators.tagger import tag, train_tagger
 from maskwright.operators.training import chat_messages, entities_of, masking_prompt, with_split
 from maskwright.operators.unmask import unmask, unmask_items
 from maskwright.operators.upload import upload_manifest
 from maskwright.plans.protect import protect
-from maskwright.session import scratch_path, spread
+from maskwright.session import lookup_join, scratch_path, spread
 from maskwright.sources.documents import decode_documents, file_inventory, route
 from maskwright.streaming.protect_stream import document_stream, protect_stream
 
@@ -422,6 +423,92 @@ def gazetteer_join(spark, sf):
     return dictionary_spans(leases, terms, by="c_custkey").select("c_custkey", "start", "end", "entity_type", "text")
 
 
+def leased_documents(spark, sf):
+    """Each document inside a lease of a customer, and the names in all leases as dictionary."""
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    customer = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    signer = F.concat(F.col("n_name"), F.lit(" Holdings Co"))
+    named = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    docs = documents(spark, sf).withColumn("c_custkey", F.pmod("doc_id", F.lit(max(1, customer.count()))))
+    text = F.concat(
+        F.lit("Tenant: "), F.col("c_name"), F.lit(" | Signer: "), signer, F.lit(".\n"), F.col("text"), F.lit("\nAgent "),
+        F.col("c_name"), F.lit(", "), F.col("n_name"), F.lit("."),
+    )
+    leases = lookup_join(docs, named, "c_custkey").select("doc_id", text.alias("text"))
+    terms = (
+        customer.select(F.col("c_name").alias("term"), F.lit("PERSON").alias("entity_type"))
+        .unionByName(nation.select(F.col("n_name").alias("term"), F.lit("LOCATION").alias("entity_type")))
+        .unionByName(nation.select(signer.alias("term"), F.lit("ORGANIZATION").alias("entity_type")))
+    )
+    return leases, terms
+
+
+def mask_all(spark, sf):
+    """Patterns and names in one mask, over whole documents."""
+    leases, terms = leased_documents(spark, sf)
+    found = detect(with_dictionary(leases, terms), also="dictionary_spans")
+    return mask(found, "redact").select("doc_id", "masked")
+
+
+# Parts of made-up names.
+FIRST = ("Al", "Bre", "Cor", "Dar", "El", "Fen", "Gus", "Hil", "Ir", "Jor", "Kal", "Lu", "Mar")
+LAST = ("ana", "bert", "dis", "ek", "fan", "gard", "ia", "kos", "lo", "mir", "na")
+PLACES = ("burg", "field", "ford", "ham", "ton", "ville", "wick")
+FIRMS = ("Holdings", "Investors Co", "Partners", "Trust", "Works Ltd")
+
+
+def named_parties(spark, sf):
+    """c_custkey, person, place and firm with made-up names, as many as there are customers."""
+    key = F.col("c_custkey")
+
+    def part(words, *steps):
+        return F.element_at(F.array(*map(F.lit, words)), (sum((key / F.lit(s)).cast("long") for s in steps) % len(words) + 1).cast("int"))
+
+    person = F.concat(part(FIRST, 1), part(LAST, 13), F.lit(" "), part(FIRST, 143, 3), part(LAST, 7), part(LAST, 29, 2))
+    place = F.concat(part(FIRST, 2, 5), part(LAST, 3), part(PLACES, 1))
+    firm = F.concat(part(FIRST, 4), part(LAST, 5, 1), F.lit(" "), part(FIRMS, 1, 6))
+    return table(spark, sf, "customer").select("c_custkey", person.alias("person"), place.alias("place"), firm.alias("firm"))
+
+
+def planted_documents(spark, sf):
+    """Documents with a sentence about the parties of a customer; its form depends on the document."""
+    parties = named_parties(spark, sf)
+    docs = documents(spark, sf).withColumn("c_custkey", F.pmod("doc_id", F.lit(max(1, parties.count()))))
+    forms = (
+        ("Tenant: ", "person", " | Signer: ", "firm", "."),
+        ("Signed by ", "person", " of ", "place", "."),
+        ("", "firm", " in ", "place", " pays ", "person", "."),
+        ("Please ask ", "person", " at ", "firm", "."),
+        ("Agent ", "person", ", ", "place", "."),
+    )
+    said = [F.concat(*[F.col(p) if k % 2 else F.lit(p) for k, p in enumerate(form)]) for form in forms]
+    sentence = F.element_at(F.array(*said), (F.pmod(F.xxhash64("doc_id"), F.lit(len(forms))) + 1).cast("int"))
+    early = F.concat(sentence, F.lit("\n"), F.col("text"))
+    late = F.concat(F.col("text"), F.lit("\n"), sentence)
+    placed = F.when(F.col("doc_id") % 2 == 0, early).otherwise(late)
+    return lookup_join(docs, parties, "c_custkey").select("doc_id", "c_custkey", placed.alias("text"))
+
+
+def tagger_of(spark, sf):
+    """Trained on two thirds of the customers; the names of the others are in no dictionary."""
+    parties = named_parties(spark, sf).where("c_custkey % 3 <> 1")
+    kinds = {"person": "PERSON", "place": "LOCATION", "firm": "ORGANIZATION"}
+    terms = parties.select(F.explode(F.array(*[F.struct(F.col(c).alias("term"), F.lit(t).alias("entity_type")) for c, t in kinds.items()])).alias("t")).select("t.*").distinct()
+    train = with_dictionary(planted_documents(spark, sf).where("c_custkey % 3 <> 1"), terms, into="spans")
+    return train_tagger(train)
+
+
+def tag_names(spark, sf):
+    """Names, places and firms in all documents, also those that no dictionary has."""
+    return span_rows(tag(planted_documents(spark, sf), tagger_of(spark, sf)), spans="tagged_spans")
+
+
+def mask_names(spark, sf):
+    """Patterns and tagged names in one mask."""
+    found = detect(tag(planted_documents(spark, sf), tagger_of(spark, sf)), also="tagged_spans")
+    return mask(found, "redact").select("doc_id", "masked")
+
+
 # --- retention -----------------------------------------------------------------------
 
 RETENTION_DAYS = 14
@@ -600,6 +687,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "locate_entities": locate_entities_query,
         "mask_model_answers": mask_model_answers,
         "gazetteer_join": gazetteer_join,
+        "mask_all": mask_all,
+        "tag_names": tag_names,
+        "mask_names": mask_names,
         "old_files": old_files,
         "retention_plan": retention_plan,
         "retention_summary": retention_summary,

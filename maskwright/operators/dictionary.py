@@ -1,10 +1,20 @@
-"""Names, places and organisations by dictionary: word sequences joined to a table of terms."""
+"""Names, places and organisations by dictionary.
+
+A dictionary of checked size goes to the workers as an automaton, and each text is walked
+once, where it lies. A larger one is joined to the word sequences of the documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.automaton import Automaton
 from maskwright.functions.spans import SPAN, compute, empty, let, located, name, quoted, record, with_text
 from maskwright.session import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup_join
 
@@ -12,6 +22,7 @@ from maskwright.session import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast,
 WORD = r"[\p{L}\p{N}_#&.'-]+"
 WORD_END = r"[.'-]+$"
 TERM_SALTS = 8
+PART_BYTES = 400_000
 WORDS = "struct<start:int,end:int,text:string>"
 
 
@@ -21,6 +32,64 @@ def normal_term(term: str) -> str:
     return f"array_join(filter({words}, w -> w <> ''), ' ')"
 
 
+def _lexicon(terms: DataFrame) -> DataFrame:
+    return terms.select(F.expr(normal_term("term")).alias("_gram"), "entity_type").where("_gram <> ''").distinct()
+
+
+def find_terms(
+    docs: DataFrame, lexicon: DataFrame, text: str = "text", into: str = "dictionary_spans", score: float = 0.85
+) -> DataFrame:
+    """Add the spans of all terms of ``lexicon``, which has to be of checked size; ``docs`` are not shuffled."""
+    told = [(r["_gram"], r["entity_type"]) for r in lexicon.collect()]
+    automaton = docs.sparkSession.sparkContext.broadcast(Automaton(told))
+    struct = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("score", pa.float64()), ("text", pa.string())])
+
+    def found(batch: pa.Array) -> pa.Array:
+        known = automaton.value
+        texts = [t or "" for t in batch.to_pylist()]
+        owner, start, end, term = known.find(texts)
+        stands = [texts[o][a:b] for o, a, b in zip(owner.tolist(), start.tolist(), end.tolist(), strict=True)]
+        kinds = [known.terms[t][1] for t in term.tolist()]
+        columns = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(kinds, pa.string()), pa.array(np.full(len(term), float(score))), pa.array(stands, pa.string())]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(struct)))
+
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [found(batch.slice(a, b - a)) for a, b in _parts(pc.fill_null(pc.binary_length(batch), 0).to_numpy())]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(struct))
+
+    column = F.arrow_udf(spans, f"array<{SPAN}>")
+    return docs.withColumn(into, column(F.col(text)))
+
+
+def _parts(sizes: np.ndarray, limit: int = PART_BYTES) -> list[tuple[int, int]]:
+    """Ranges of texts with about ``limit`` bytes."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit)) + 1
+    edges = [0, *cuts.tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
+def with_dictionary(
+    docs: DataFrame,
+    terms: DataFrame,
+    by: str = "doc_id",
+    text: str = "text",
+    into: str = "dictionary_spans",
+    score: float = 0.85,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Add the spans of all terms (``term``, ``entity_type``), for ``detect(..., also=into)``.
+
+    With a dictionary of checked size texts stay where they are; with a larger one they are joined
+    to the spans that ``dictionary_spans`` finds.
+    """
+    lexicon = _lexicon(terms)
+    if fits_broadcast(lexicon, broadcast_rows):
+        return find_terms(docs, lexicon, text, into, score)
+    return attach_spans(docs, dictionary_spans(docs, terms, by, text, score, broadcast_rows), by, text, into)
+
+
 def dictionary_spans(
     docs: DataFrame,
     terms: DataFrame,
@@ -38,9 +107,7 @@ def dictionary_spans(
     checked size is broadcast, and nothing is shuffled. A larger one is joined by shuffle and
     salted; its first words are broadcast if they fit, else all sequences are joined.
     """
-    lexicon = (
-        terms.select(F.expr(normal_term("term")).alias("_gram"), "entity_type").where("_gram <> ''").distinct()
-    )
+    lexicon = _lexicon(terms)
     size, bytes_, longest = lexicon.agg(
         F.count("*"), F.sum(F.octet_length("_gram")), F.max(F.size(F.split("_gram", " ")))
     ).first()
