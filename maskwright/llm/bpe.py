@@ -4,12 +4,14 @@ Texts of a batch are one flat array of code points. Class changes (letter, numbe
 space, other) cut it into words; words are told apart by a 64-bit rolling hash, and only
 words not met before are encoded: their symbols lie in one flat array, and in each round the
 pair of lowest rank of every word is found by binary search over the sorted pair keys and
-merged in all words at once. Pieces that a plain cut can't decide (apostrophes, very
-long words) are cut by the tokenizer's own pattern.
+merged in all words at once. Texts that a plain cut can't decide (those with
+apostrophes) are cut by the tokenizer's own pattern.
 
 ``encode_table`` and ``decode_table`` apply this to tables; ids are binary, as little-endian
 unsigned 32-bit integers. Results in special cases: null and empty texts have no tokens; strings of special tokens
-in a text become those tokens, as the tokenizers library has it.
+in a text become those tokens, as the tokenizers library has it; repeated rows are encoded each for
+itself; an empty table gives an empty result; other columns are ignored; a text of any length is encoded whole,
+in one piece, with some 100 bytes of memory a character.
 """
 
 from __future__ import annotations
@@ -24,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from maskwright.llm.common import map_texts, word_hashes
+
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
-LONG_WORD = 200
-BATCH_CHARS = 1_000_000
 CACHE_WORDS = 500_000
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 ENDS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -143,21 +144,6 @@ class Encoder:
         words = cls[starts] != SPACE
         return starts[words], ends[words]
 
-    def _hashes(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(codes)
-        if not hasattr(self, "powers") or len(self.powers) <= n:
-            size = max(n + 1, BATCH_CHARS * 2)
-            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-            self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, BASE)]), dtype=np.uint64)
-            self.inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, inverse)]), dtype=np.uint64)
-        mixed = (codes.astype(np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(29)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed * self.powers[:n], out=total[1:])
-        h = (total[ends] - total[starts]) * self.inverses[starts]
-        h ^= h >> np.uint64(31)
-        return h * np.uint64(0xBF58476D1CE4E5B9) + (ends - starts).astype(np.uint64)
-
     # -- merges --------------------------------------------------------------------------
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -238,11 +224,7 @@ class Encoder:
         odd = np.flatnonzero(codes == 39)
         if len(odd):
             starts, ends = self._by_pattern(texts, bounds, odd, starts, ends)
-        hashes = self._hashes(codes, starts, ends)
-        long = ends - starts > LONG_WORD
-        if long.any():  # a hash of the bytes: rolling hashes of long words can be made to meet
-            slices = [whole[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
-            hashes[long] = np.array([np.uint64(hash(("long", s)) & (2**64 - 1)) for s in slices], np.uint64)
+        hashes = word_hashes(codes, starts, ends)
         code, distinct = pd.factorize(hashes)
         first = np.empty(len(distinct), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
@@ -303,18 +285,6 @@ class Encoder:
         return self.piece_bytes[np.repeat(begin - (done - count), count) + np.arange(total)].tobytes()
 
 
-def in_chunks(sizes: list[int], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts with about ``limit`` characters; a longer text is a range of its own."""
-    begin, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > limit:
-            yield begin, i
-            begin, held = i, 0
-        held += n
-    if begin < len(sizes):
-        yield begin, len(sizes)
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -334,17 +304,15 @@ def encode_table(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for a, b in in_chunks([len(t or "") for t in texts]):
-                ids, counts = enc.encode(texts[a:b])
-                rows = np.split(ids, np.cumsum(counts)[:-1])
-                out = {"doc_id": batch["doc_id"].iloc[a:b].to_numpy(), "ids": [r.astype("<u4").tobytes() for r in rows]}
-                if decoded:
-                    out["decoded"] = [enc.decode(r).decode("utf-8", "replace") for r in rows]
-                yield pd.DataFrame(out)
+            ids, counts = enc.encode(batch.pop("text").tolist())
+            rows = np.split(ids, np.cumsum(counts)[:-1])
+            batch["ids"] = [r.astype("<u4").tobytes() for r in rows]
+            if decoded:
+                batch["decoded"] = [enc.decode(r).decode("utf-8", "replace") for r in rows]
+            yield batch
 
     schema = "doc_id long, ids binary" + ", decoded string" * decoded
-    return _plain_rows(docs, text, doc_id).mapInPandas(run, schema)
+    return map_texts(_plain_rows(docs, text, doc_id), run, schema)
 
 
 def decode_table(tokens: DataFrame, path: str) -> DataFrame:
@@ -356,7 +324,7 @@ def decode_table(tokens: DataFrame, path: str) -> DataFrame:
             texts = [enc.decode(np.frombuffer(b or b"", "<u4").astype(np.int64)).decode("utf-8", "replace") for b in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
 
-    return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return map_texts(tokens.select("doc_id", "ids"), run, "doc_id long, text string", column="ids")
 
 
 def _plain_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

@@ -3,30 +3,102 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from maskwright.session import scratch_path
 
 SALTS = 16
 BROADCAST_IDS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
+CHUNK_CHARS = 200_000
+M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-_powers: list[np.ndarray] = []
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that looks random."""
+    h = (h ^ (h >> np.uint64(30))) * M1
+    h = (h ^ (h >> np.uint64(27))) * M2
+    return h ^ (h >> np.uint64(31))
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base of rolling hashes, and of its inverse, from 0 to ``n`` at least; one table a worker."""
-    if not _powers or len(_powers[0]) <= n:
-        _powers.clear()
-        for factor in (BASE, pow(BASE, -1, 1 << 64)):
-            power = np.full(max(n + 1, 3_000_000), factor, np.uint64)
-            power[0] = 1
-            _powers.append(np.cumprod(power, dtype=np.uint64, out=power))
-    return _powers[0], _powers[1]
+
+def word_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of some words, which follow each other in ``codes``, of any length.
+
+    Each character is mixed with its place in the word before the sum, so that, unlike polynomials
+    modulo 2^64, no pattern of characters cancels.
+    """
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    h = mix((place.astype(np.uint64) << np.uint64(21) | codes[place + np.repeat(start, size)]) * np.uint64(BASE) + M2)
+    return np.add.reduceat(h, begin) + mix(size.astype(np.uint64))
+
+
+def window_hashes(values: np.ndarray, n: int, base: int = BASE) -> np.ndarray:
+    """Polynomial of the ``n`` values from each position, by doubling."""
+    piece, width, out, done = values.astype(np.uint64), 1, None, 0
+    while True:
+        if n & width:
+            if out is None:
+                out = piece
+            else:
+                size = len(values) - done - width + 1
+                out = out[: max(size, 0)] + np.uint64(pow(base, done, 1 << 64)) * piece[done : done + max(size, 0)]
+            done += width
+        if width * 2 > n:
+            return out
+        piece = piece[:-width] + np.uint64(pow(base, width, 1 << 64)) * piece[width:]
+        width *= 2
+
+
+def in_chunks(sizes: Sequence[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts with about ``limit`` characters; a longer text is a range of its own."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > limit:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def map_texts(
+    rows: DataFrame,
+    run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    schema: str,
+    column: str = "text",
+    limit: int = CHUNK_CHARS,
+) -> DataFrame:
+    """``mapInPandas`` over frames of about ``limit`` bytes of ``column``, however large Arrow's batches are.
+
+    Integers with nulls among them stay exact.
+    """
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frames() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+                for a, b in in_chunks(sizes, limit):
+                    yield batch.slice(a, b - a).to_pandas(integer_object_nulls=True)
+
+        for frame in run(frames()):
+            yield pa.RecordBatch.from_pandas(frame, made, preserve_index=False)
+
+    return rows.mapInArrow(mapped, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +153,10 @@ def without(docs: DataFrame, dropped: DataFrame, text: str = "text", limit: int
     Up to ``limit`` rows (16 bytes each) are broadcast, so that no text is shuffled; more
     are joined by shuffle.
     """
-    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    name = uuid.uuid4().hex  # no column of the caller's is called so
+    gone = dropped.select(F.col("doc_id").alias(f"id_{name}"), F.col("text_hash").alias(f"hash_{name}"))
     if gone.limit(limit + 1).count() <= limit:
         gone = F.broadcast(gone)
-    marked = docs.withColumn("_h", row_digest(docs, text))
-    on = marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_h"] == gone["_hash"])
-    return marked.join(gone, on, "left_anti").drop("_h")
+    marked = docs.withColumn(f"own_{name}", row_digest(docs, text))
+    on = marked["doc_id"].eqNullSafe(gone[f"id_{name}"]) & (marked[f"own_{name}"] == gone[f"hash_{name}"])
+    return marked.join(gone, on, "left_anti").drop(f"own_{name}")

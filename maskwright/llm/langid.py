@@ -25,19 +25,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import in_chunks
-from maskwright.llm.common import powers, row_digest, staged, without
+from maskwright.llm.common import in_chunks, map_texts, row_digest, staged, window_hashes, without
 
 ORDER = 4
 MAX_CELLS = 1_500_000
 MARGIN = 1.0
 QUANTILE = 0.999
-CHUNK_CHARS = 1_500_000
-BATCH_CHARS = 6_000_000
+TILE = 100_000
+BATCH_CHARS = 1_000_000
 MIX = np.uint64(0xD6E8FEB86659FD93)
 SPACE = 32
 
@@ -77,10 +77,7 @@ def symbols(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray
 
 def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """A hash of the ``n`` characters from each position."""
-    up, down = powers(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
-    h = (total[n:] - total[:-n]) * down[: len(codes) - n + 1]
+    h = window_hashes(codes.astype(np.uint64) + np.uint64(1), n)
     h ^= h >> np.uint64(32)
     h *= MIX
     return h ^ h >> np.uint64(29)
@@ -103,19 +100,17 @@ def count_sequences(train: DataFrame, order: int = ORDER) -> DataFrame:
         kept: list[pd.DataFrame] = []
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                texts = part["text"].tolist()
-                for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
-                    seqs, n = _sequences(texts[a:b], order)
-                    kept.append(pd.DataFrame({"lang": lang, "seq": seqs, "n": n}))
-            if sum(map(len, kept)) > 1_000_000:
+                seqs, n = _sequences(part["text"].tolist(), order)
+                kept.append(pd.DataFrame({"lang": lang, "seq": seqs, "n": n}))
+            if sum(map(len, kept)) > 300_000:
                 kept = [pd.concat(kept).groupby(["lang", "seq"], as_index=False)["n"].sum()]
-                if len(kept[0]) > 500_000:
+                if len(kept[0]) > 150_000:
                     yield kept.pop()
         if kept:
             yield pd.concat(kept).groupby(["lang", "seq"], as_index=False)["n"].sum()
 
     rows = train.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    return rows.mapInPandas(run, "lang string, seq string, n long").groupBy("lang", "seq").agg(F.sum("n").alias("n"))
+    return map_texts(rows, run, "lang string, seq string, n long").groupBy("lang", "seq").agg(F.sum("n").alias("n"))
 
 
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +288,7 @@ def learn(
 def _judged(m: Models | Listed | None, texts: list[str | None]) -> dict[str, list]:
     """lang_pred, score, entropy and letters of texts."""
     best, entropy, sure, letters = [], [], [], []
-    for a, b in in_chunks([len(t or "") for t in texts], CHUNK_CHARS):
+    for a, b in in_chunks([len(t or "") for t in texts]):
         part = texts[a:b]
         if m is None:
             best += ["und"] * (b - a)
@@ -301,11 +296,14 @@ def _judged(m: Models | Listed | None, texts: list[str | None]) -> dict[str, lis
             continue
         codes, bounds = symbols(part, m.order)
         at = _inside(bounds, m.order)
-        bits = -m.log2(codes, at)
         count = np.maximum(np.diff(bounds) - m.order + 1, 0)
         total = np.zeros((len(part), len(m.langs)))
-        some = count > 0
-        total[some] = np.add.reduceat(bits, (np.cumsum(count) - count)[some], axis=0, dtype=np.float64) if some.any() else 0
+        owner = np.repeat(np.arange(len(part)), count)
+        for t in range(0, len(at), TILE):  # a figure per language for each position of a tile
+            here, who = at[t : t + TILE], owner[t : t + TILE]
+            bits = -m.log2(codes[here[0] : here[-1] + m.order], here - here[0])
+            of, begin = np.unique(who, return_index=True)
+            total[of] += np.add.reduceat(bits, begin, axis=0, dtype=np.float64)
         mean = total / np.maximum(count, 1)[:, None]
         k = mean.argmin(axis=1)
         least = mean[np.arange(len(part)), k]
@@ -336,7 +334,7 @@ def score(
         for batch in batches:
             yield batch.assign(**_judged(shared.value, batch.pop("text").tolist()))
 
-    return rows.mapInPandas(run, SCORED)
+    return map_texts(rows, run, SCORED)
 
 
 def _score_by_tables(rows: DataFrame, models: Tables) -> DataFrame:
@@ -355,16 +353,22 @@ def _score_by_tables(rows: DataFrame, models: Tables) -> DataFrame:
     def list_sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, part in batch.groupby("batch"):
-                texts = part["text"].tolist()
-                for a, b in in_chunks([len(t or "") for t in texts], CHUNK_CHARS):
-                    yield pd.DataFrame({"seq": pd.Series(_sequences(texts[a:b], order)[0], dtype=object)}).assign(batch=number)
+                yield pd.DataFrame({"seq": pd.Series(_sequences(part["text"].tolist(), order)[0], dtype=object)}).assign(batch=number)
 
     needed = dealt.select("batch", "text").where(F.col("text").isNotNull())
-    needed = staged(needed.mapInPandas(list_sequences, "seq string, batch long").distinct(), "needed")
+    needed = staged(map_texts(needed, list_sequences, "seq string, batch long").distinct(), "needed")
     known = models.log2(needed.select("seq").distinct())
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column("bits").flatten().to_numpy().astype(np.float32).reshape(len(batch), -1)
+            packed = pa.array([row.tobytes() for row in bits], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), packed], ["seq", "bits"])
+
+    known = known.mapInArrow(pack, "seq string, bits binary")
+
     def judge(texts: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        bits = np.array(listed["bits"].tolist(), np.float32).reshape(len(listed), len(langs))
+        bits = np.frombuffer(b"".join(listed["bits"]), np.float32).reshape(len(listed), len(langs))
         found = _judged(Listed(listed["seq"].tolist(), bits, langs, order), texts["text"].tolist())
         return texts.drop(columns=["text", "batch"]).assign(lang=texts["lang"].astype(object), **found)
 

@@ -10,7 +10,8 @@ multiplicities, whose size depends on the number of lengths and not of documents
 piece finds its place by its rank among the pieces of its length.
 
 Results in special cases: a null or empty text is the single id 0; repeated rows are pieces
-like others; an empty table gives an empty result; other columns are ignored.
+like others; an empty table gives an empty result; other columns are ignored; a text of any
+length is encoded whole and cut into pieces.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import _plain_rows, encoder, in_chunks
-from maskwright.llm.common import staged
+from maskwright.llm.bpe import _plain_rows, encoder
+from maskwright.llm.common import map_texts, staged
 
 CAPACITY = 2048
 END_ID = 0
 UNIT = 16
 HELD_BACK = 96
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET = 20_000
 Fillings = list[tuple[tuple[int, ...], int]]
 
 
@@ -167,20 +168,18 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str =
         enc = encoder(path)
         end = np.array([END_ID], "<u4")
         for batch in batches:
-            texts, names = batch["text"].tolist(), batch["doc_id"].to_numpy()
+            names = batch["doc_id"].to_numpy()
             out = []
-            for a, b in in_chunks([len(t) for t in texts]):
-                ids, counts = enc.encode(texts[a:b])
-                for k, row in zip(range(a, b), np.split(ids.astype("<u4"), np.cumsum(counts)[:-1]), strict=True):
-                    row = np.concatenate([row, end])
-                    for p, s in enumerate(range(0, len(row), capacity)):
-                        part = row[s : s + capacity]
-                        out.append((names[k], p, s, len(part), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype(
-                {"piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"}
-            )
+            ids, counts = enc.encode(batch["text"].tolist())
+            for k, row in enumerate(np.split(ids.astype("<u4"), np.cumsum(counts)[:-1])):
+                row = np.concatenate([row, end])
+                for p, s in enumerate(range(0, len(row), capacity)):
+                    part = row[s : s + capacity]
+                    out.append((names[k], p, s, len(part), zlib.crc32(part.tobytes())))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return _plain_rows(docs, text, doc_id).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return map_texts(_plain_rows(docs, text, doc_id), run, schema)
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -211,11 +210,11 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     sizes = [(n, max(1, -(-c // ROWS_PER_BUCKET))) for n, c in histogram.items()]
     buckets = spark.createDataFrame(sizes, "length long, _of int")  # at most ``capacity`` rows
-    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_of")))
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_of")))
     counts = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base_of = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(base_of, ["length", "_bucket"])
     ranked = ranked.select(*pieces.columns, (F.col("_base") + F.col("_rank")).alias("_rank"))
 

@@ -9,15 +9,22 @@ but for one second-level partition, so each subset that leaves one out is a sign
 Empty projections agree for unrelated sets; there are more partitions than needed, and only
 sets whose non-empty ones could all differ emit the empty ones too. So no pair is lost.
 
-Sets that share a signature are compared exactly, many at a time, in blocks of bounded size;
-of the links found in a block, only a spanning star per component leaves the task. Equal sets
-are merged before all this. Components are then found over these linear numbers of edges.
-Sets are compared as sets of 64-bit hashes.
+Sets that share a signature are one cell, named by its least set. A signature that a share
+``HEAVY`` or more of a sample of sets hold gets its least set by sums before the shuffle and a
+table of bounded size, all others by sorting; the sample decides only on the way. The members of a cell are first compared with
+its least set, many tasks sharing a large cell. Those linked with it need not be compared with each
+other. The rest are compared, in blocks of bounded size, with each other and with the linked
+ones, so a family of near copies costs time in proportion to its size if most are linked with
+one set. Before sets are shuffled, sketches rule out pairs that differ too much. Of the
+links found in a block, only a spanning star per component leaves the task. Equal sets are
+merged before all this. Components are then found over these edges. Sets are
+compared as sets of 64-bit hashes of n-grams, words of any length being hashed character by character.
 
 Results in special cases: a null text, or one without words, has an empty set and is linked
 with nothing; with fewer words than ``gram`` the whole sequence is the one member; rows of one
-id count as one document in the links; rows without an id have no component; other columns
-are ignored.
+id count as one document in the links; rows without an id have no component; repeated rows
+are equal sets; an empty table gives an empty result; texts may have any length, and one is
+worked on whole, with some 100 bytes of memory a character; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,46 +36,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import _plain_rows, in_chunks
-from maskwright.llm.common import BROADCAST_IDS, attach_groups, powers, row_digest, staged, without
+from maskwright.llm.bpe import _plain_rows
+from maskwright.llm.common import BASE, BROADCAST_IDS, M1, M2, attach_groups, map_texts, mix, row_digest, staged, without, word_hashes
 
 GRAM = 5
 NUMBER, OF = 4, 5  # similarity of at least 4/5
 BAND = 1.4
 SPARE = 1.15
 SMALL = 300
-CHUNK_CHARS = 1_000_000
 BLOCK_ROWS, BLOCK_MEMBERS = 800, 400_000
-BASE = 0x9E3779B97F4A7C15
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+TILE_CELLS = 1_000_000
+HEAVY, SAMPLED = 0.001, 64
 
 KEY = ["center", "lo", "hi"]
 
-_held: dict[str, np.ndarray] = {}
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * M1
-    h = (h ^ (h >> np.uint64(27))) * M2
-    return h ^ (h >> np.uint64(31))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
 
 def shingles(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of all texts in a row, and the text each belongs to."""
-    whole = np.frombuffer(b" ".join(t.encode() for t in texts) + b" ", np.uint8)
-    if "fold" not in _held:
-        fold = np.arange(256, dtype=np.uint64)
-        fold[65:91] += 32
-        _held["fold"] = fold
-    up, down = powers(len(whole))
-    lens = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)) + 1
-    bounds = np.cumsum(lens)
+    raw = [t.encode() for t in texts]
+    whole = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    bounds = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
     gap = (whole == 32) | ((whole >= 9) & (whole <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    total = np.zeros(len(whole) + 1, np.uint64)
-    np.cumsum((_held["fold"][whole] + np.uint64(1)) * up[: len(whole)], out=total[1:])
-    word = _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    word = word_hashes(_FOLD[whole], start, end)
     owner = np.searchsorted(bounds, start, side="right")
     count = np.bincount(owner, minlength=len(texts))
     grams = np.where(count >= gram, count - gram + 1, (count > 0).astype(np.int64))
@@ -80,7 +74,7 @@ def shingles(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray
     padded = np.concatenate([word, np.zeros(gram, np.uint64)])
     for k in range(gram):
         h = h * np.uint64(BASE) + np.where(at + k < stop, padded[at + k], np.uint64(k + 1))
-    h = _mix(h)
+    h = mix(h)
     code, distinct = pd.factorize(h ^ (of.astype(np.uint64) * M1))
     keep = np.empty(len(distinct), np.int64)
     keep[code[::-1]] = np.arange(len(code))[::-1]
@@ -121,12 +115,12 @@ def signatures(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray,
         place = np.full(n, -1, np.int64)
         place[here] = np.arange(len(here))
         mine = place[of] >= 0
-        h = _mix(hashes[mine] + np.uint64((band * 2 + 1) * int(M2) % (1 << 64)))
+        h = mix(hashes[mine] + np.uint64((band * 2 + 1) * int(M2) % (1 << 64)))
         cell = place[of[mine]] * (first * second) + ((h >> np.uint64(33)) % np.uint64(first * second)).astype(np.int64)
         cells = len(here) * first * second
-        value = _mix(h ^ M1)
-        total = np.bincount(cell, weights=(value & np.uint64(0xFFFFFFFF)).astype(float), minlength=cells).astype(np.uint64)
-        total += np.bincount(cell, weights=(value >> np.uint64(32)).astype(float), minlength=cells).astype(np.uint64) << np.uint64(32)
+        value = mix(h ^ M1)
+        total = np.zeros(cells, np.uint64)
+        np.add.at(total, cell, value)
         held = np.bincount(cell, minlength=cells).reshape(len(here), first, second)
         total = total.reshape(len(here), first, second)
         if left_out:
@@ -135,8 +129,8 @@ def signatures(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray,
         full = held > 0
         few = full.all(axis=2).sum(axis=1) <= k // (1 + left_out)
         emit = full | few[:, None, None]
-        seed = _mix(np.arange(first * second, dtype=np.uint64).reshape(first, second) + np.uint64(band) * np.uint64(1 << 32) + M1)
-        sigs.append(_mix(total ^ seed[None])[emit])
+        seed = mix(np.arange(first * second, dtype=np.uint64).reshape(first, second) + np.uint64(band) * np.uint64(1 << 32) + M1)
+        sigs.append(mix(total ^ seed[None])[emit])
         owners.append(np.broadcast_to(here[:, None, None], emit.shape)[emit])
     if not sigs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -144,8 +138,12 @@ def signatures(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    low = np.bincount(of, weights=(values & np.uint64(0xFFFFFFFF)).astype(float), minlength=n).astype(np.uint64)
-    return low + (np.bincount(of, weights=(values >> np.uint64(32)).astype(float), minlength=n).astype(np.uint64) << np.uint64(32))
+    """Sums modulo 2^64 of the values of each set; ``of`` is sorted."""
+    out = np.zeros(n, np.uint64)
+    here, begin = np.unique(of, return_index=True)
+    if len(here):
+        out[here] = np.add.reduceat(values, begin)
+    return out
 
 
 def sketches(hashes: np.ndarray, of: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -156,12 +154,17 @@ def sketches(hashes: np.ndarray, of: np.ndarray, size: np.ndarray) -> list[bytes
     """
     bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     begin = np.cumsum(bits) - bits
-    spot = begin[of] + (_mix(hashes ^ M2) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    spot = begin[of] + (mix(hashes ^ M2) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
     odd = np.bincount(spot, minlength=int(bits.sum())) & 1
     packed = np.packbits(odd.astype(np.uint8), bitorder="little")
     return [packed[a : a + n].tobytes() for a, n in zip((begin // 8).tolist(), (bits // 8).tolist(), strict=True)]
 
 
+def _close(apart: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes ``a`` and ``b`` that differ in ``apart`` members or more may be similar enough."""
+    return (apart * (OF + NUMBER) <= (a + b) * (OF - NUMBER)) & (np.minimum(a, b) * OF >= np.maximum(a, b) * NUMBER)
+
+
 def may_link(size: np.ndarray, held: list[bytes]) -> np.ndarray:
     """Which of some sets have a partner that, by sizes and sketches, may be similar enough."""
     words = np.fromiter((len(b) // 8 for b in held), np.int64, len(held))
@@ -175,42 +178,58 @@ def may_link(size: np.ndarray, held: list[bytes]) -> np.ndarray:
         for k, i in enumerate(small.tolist()):
             rest = who[k + 1 :]
             apart = np.bitwise_count(every[k + 1 :] ^ every[k]).sum(axis=1, dtype=np.int64)
-            close = apart * (OF + NUMBER) <= (size[i] + size[rest]) * (OF - NUMBER)
-            close &= np.minimum(size[i], size[rest]) * OF >= np.maximum(size[i], size[rest]) * NUMBER
+            close = _close(apart, size[i], size[rest])
             if close.any():
                 found[i] = True
                 found[rest[close]] = True
     return found
 
 
+def pairs_may_link(size: np.ndarray, held: list[bytes], other_size: np.ndarray, other: list[bytes]) -> np.ndarray:
+    """Whether the two sets of each pair may be similar enough, by sizes and sketches."""
+    lens = np.array([(len(a) // 8, len(b) // 8) for a, b in zip(held, other, strict=True)], np.int64).reshape(-1, 2)
+    ok = np.zeros(len(held), bool)
+    for n, m in np.unique(lens, axis=0).tolist():
+        if max(n, m) > 2 * min(n, m):
+            continue
+        here = np.flatnonzero((lens == (n, m)).all(axis=1))
+        least = min(n, m)
+        sides = [np.frombuffer(b"".join(side[i] for i in here), np.uint64).reshape(len(here), -1, least) for side in (held, other)]
+        a, b = (np.bitwise_xor.reduce(side, axis=1) for side in sides)
+        ok[here] = _close(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64), size[here], other_size[here])
+    return ok
+
+
 def set_facts(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     """doc_id, text_hash, n_shingles, a 128-bit digest of the set (d1, d2), and its sketch; ``docs`` has doc_id and text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch.pop("text").tolist()
-            for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
-                h, of = shingles(texts[a:b], gram)
-                d1, d2 = (_sums(_mix(h + s), of, b - a).view(np.int64) for s in (M1, M2))
-                size = np.bincount(of, minlength=b - a)
-                yield batch.iloc[a:b].assign(n_shingles=size, d1=d1, d2=d2, sketch=sketches(h, of, size))
+            n = len(batch)
+            h, of = shingles(batch.pop("text").tolist(), gram)
+            d1, d2 = (_sums(mix(h + s), of, n).view(np.int64) for s in (M1, M2))
+            size = np.bincount(of, minlength=n)
+            yield batch.assign(n_shingles=size, d1=d1, d2=d2, sketch=sketches(h, of, size))
 
     rows = docs.select("doc_id", row_digest(docs, "text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch binary")
+    return map_texts(rows, run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch binary")
 
 
-def set_signatures(docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """sig, doc_id: all signatures of each document."""
+def set_signatures(docs: DataFrame, gram: int = GRAM, heavy: np.ndarray | None = None, only: bool = False) -> DataFrame:
+    """sig, doc_id: signatures of each document; without those in ``heavy`` (sorted), or ``only`` those."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["doc_id"].to_numpy()
-            for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
-                h, of = shingles(texts[a:b], gram)
-                sig, owner = signatures(h, of, b - a)
-                yield pd.DataFrame({"sig": sig.view(np.int64), "doc_id": ids[a:b][owner]})
+            ids = batch["doc_id"].to_numpy()
+            h, of = shingles(batch["text"].tolist(), gram)
+            sig, owner = signatures(h, of, len(ids))
+            sig = sig.view(np.int64)
+            if heavy is not None and len(heavy):
+                known = heavy[np.minimum(np.searchsorted(heavy, sig), len(heavy) - 1)] == sig
+                sig, owner = sig[known == only], owner[known == only]
+            yield pd.DataFrame({"sig": sig, "doc_id": ids[owner]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "sig long, doc_id long")
+    return map_texts(docs.select("doc_id", "text"), run, "sig long, doc_id long")
 
 
 def member_sets(docs: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -218,13 +237,11 @@ def member_sets(docs: DataFrame, gram: int = GRAM) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["doc_id"].to_numpy()
-            for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
-                h, of = shingles(texts[a:b], gram)
-                parts = np.split(h, np.searchsorted(of, np.arange(1, b - a)))
-                yield pd.DataFrame({"doc_id": ids[a:b], "members": [p.tobytes() for p in parts]})
+            n = len(batch)
+            h, of = shingles(batch.pop("text").tolist(), gram)
+            yield batch.assign(members=[p.tobytes() for p in np.split(h, np.searchsorted(of, np.arange(1, n)))])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, members binary")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, members binary")
 
 
 def block_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -241,7 +258,7 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     wide = int(often.sum())
     order = np.argsort(code, kind="stable")
     row, code = row[order], code[order]
-    step = max(256, 4_000_000 // g)
+    step = max(64, TILE_CELLS // g)
     for at in range(0, wide, step):
         a, b = np.searchsorted(code, [at, at + step])
         x = np.zeros((g, min(step, wide - at)), np.float32)
@@ -260,22 +277,42 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     return [(int(ids[i]), int(ids[label[i]])) for i in range(g) if label[i] != i]
 
 
-def cells(sigs: DataFrame) -> DataFrame:
+def heavy_signatures(docs: DataFrame, gram: int = GRAM, share: float = HEAVY, sampled: int = SAMPLED) -> np.ndarray:
+    """Signatures that a large share of a sample of documents hold, sorted; at most the signatures of 1 / ``share`` documents."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sampled)) == 0)
+    seen = staged(set_signatures(sample, gram).groupBy("sig").agg(F.count("*").alias("n")), "sampled")
+    size = sample.count()
+    found = seen.where(F.col("n") >= max(8, size * share)).select("sig").collect()
+    return np.sort(np.array([r["sig"] for r in found], np.int64))
+
+
+def cells(docs: DataFrame, gram: int = GRAM, heavy: np.ndarray | None = None) -> DataFrame:
     """center, doc_id: every set with the least set of each signature that it shares.
 
     Sets that share a signature are all in the cell of that signature's center.
     """
     least = F.min("doc_id").over(Window.partitionBy("sig"))
-    return sigs.withColumn("center", least).where("doc_id <> center").select("center", "doc_id").distinct()
+    light = set_signatures(docs, gram, heavy).withColumn("center", least).where("doc_id <> center").select("center", "doc_id").distinct()
+    if heavy is None or not len(heavy):
+        return light
+    rows = set_signatures(docs, gram, heavy, only=True)
+    # one row for each heavy signature, whose number is bounded
+    centers = rows.groupBy("sig").agg(F.min("doc_id").alias("center"))
+    dense = rows.join(F.broadcast(centers), "sig").where("doc_id <> center").select("center", "doc_id").distinct()
+    return light.unionByName(dense).distinct()
+
+
+def _only(rows: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
+    """The ``rows`` whose doc_id is in ``ids``; up to ``limit`` of these are broadcast, so that ``rows`` are not shuffled."""
+    ids = ids.select("doc_id").distinct()
+    if ids.limit(limit + 1).count() <= limit:
+        ids = F.broadcast(ids)
+    return rows.join(ids, "doc_id", "left_semi")
 
 
-def _by_block(rows: DataFrame, dealt: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """The ``rows`` (doc_id, ...) that are dealt to a block, and ``dealt`` with a hint if it is small."""
-    if dealt.limit(limit + 1).count() <= limit:
-        rows, dealt = rows.join(F.broadcast(dealt.select("doc_id").distinct()), "doc_id", "left_semi"), F.broadcast(dealt)
-    else:
-        rows = rows.join(dealt.select("doc_id").distinct(), "doc_id", "left_semi")
-    return rows, dealt
+def _tasks(spark) -> int:
+    """Tasks for work that takes much time for few bytes, which adaptive execution would put into few."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -292,32 +329,78 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFra
         yield now, pd.concat(held)
 
 
+def linked_with_center(docs: DataFrame, found: DataFrame, facts: DataFrame, gram: int, limit: int) -> DataFrame:
+    """center, doc_id: the rows of ``found`` (center, doc_id) that are linked; cells are dealt to tasks by bounded parts."""
+    seen = facts.select("doc_id", F.col("n_shingles").alias("n"), "sketch").distinct()  # an id may have several sets
+    groups = found.groupBy("center").agg(F.count("*").alias("size"), F.min("doc_id").alias("one"))
+    groups = groups.join(seen.select(F.col("doc_id").alias("center"), F.col("n").alias("center_n"), F.col("sketch").alias("center_sketch")), "center")
+    pairs = attach_groups(found.join(seen, "doc_id"), groups, ["center"], "doc_id", "one", "size")
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = pairs_may_link(batch["n"].to_numpy(), batch["sketch"].tolist(), batch["center_n"].to_numpy(), batch["center_sketch"].tolist())
+            yield batch.loc[ok, ["center", "doc_id", "part"]]
+
+    parts = F.ceil(F.col("size") / BLOCK_ROWS)
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    pairs = pairs.select("center", "doc_id", "part", "n", "sketch", "center_n", "center_sketch")
+    close = staged(pairs.mapInPandas(sift, "center long, doc_id long, part int").distinct(), "close")
+    sent = close.withColumn("role", F.lit(1)).unionByName(close.select("center", F.col("center").alias("doc_id"), "part", F.lit(0).alias("role")).distinct())
+    sets = member_sets(_only(docs.select("doc_id", "text"), sent, limit), gram)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, centers = None, []  # the sets of the center, which is one row but for ids with several texts
+        for batch in batches:
+            ok = np.zeros(len(batch), bool)
+            rows = zip(batch["center"].tolist(), batch["part"].tolist(), batch["role"].tolist(), batch["members"], strict=True)
+            for k, (c, part, role, members) in enumerate(rows):
+                own = np.frombuffer(members, np.uint64)
+                if role == 0:
+                    key, centers = (c, part), [*(centers if key == (c, part) else []), np.sort(own)]
+                    continue
+                for center in centers:
+                    both = int((center[np.minimum(np.searchsorted(center, own), len(center) - 1)] == own).sum())
+                    ok[k] |= both * OF >= (len(own) + len(center) - both) * NUMBER
+            yield batch.loc[ok, ["center", "doc_id"]]
+
+    ordered = sets.join(sent, "doc_id").repartition(_tasks(docs.sparkSession), "center", "part").sortWithinPartitions("center", "part", "role", "doc_id")
+    return staged(ordered.select("center", "part", "role", "doc_id", "members").mapInPandas(compare, "center long, doc_id long").distinct(), "linked")
+
+
 def links(docs: DataFrame, facts: DataFrame, gram: int = GRAM, limit: int = BROADCAST_IDS) -> DataFrame:
     """src, dst: edges whose components are those of all links between ``docs`` (distinct sets, with an id).
 
-    ``facts`` has doc_id, n_shingles and sketch of at least these. Members of a cell that by
-    their sketches can't be linked within it are left out before sets are shuffled. Cells beyond the size of a block are compared block
-    by block, each pair of blocks in its own task. Up to ``limit`` rows of two ids and three
-    small numbers are broadcast, so that only the sets of cells are shuffled, once.
+    ``facts`` has doc_id, n_shingles and sketch of at least these. Up to ``limit`` ids are broadcast, so
+    that only the sets of cells are shuffled.
     """
-    found = staged(cells(set_signatures(docs, gram)), "cells")
-    members = found.unionByName(found.select("center", F.col("center").alias("doc_id")).distinct())
-    sized = members.join(facts.groupBy("doc_id").agg(F.max("n_shingles").alias("_n")), "doc_id")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("_n") / BLOCK_MEMBERS))
-    counts = sized.groupBy("center").agg(blocks.cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = members.join(counts, "center").select("center", "doc_id", own.alias("_own"), every.alias("_other"))
-    dealt = dealt.select("center", "doc_id", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"))
-    dealt = staged(dealt, "blocks")
+    found = staged(cells(docs, gram, heavy_signatures(docs, gram)), "cells")
+    linked = linked_with_center(docs, found, facts, gram, limit)
+    stars = linked.select(F.col("doc_id").alias("src"), F.col("center").alias("dst"))
+
+    # the rest of a cell, against each other and those linked with the center; nobody else needs the center
+    rest = found.join(linked, ["center", "doc_id"], "left_anti").withColumn("side", F.lit(0))
+    both = staged(rest.unionByName(linked.withColumn("side", F.lit(1))), "sides")
+    sized = both.join(facts.groupBy("doc_id").agg(F.max("n_shingles").alias("_n")), "doc_id")
+    half = lambda side: F.greatest(
+        F.ceil(2 * F.count(F.when(F.col("side") == side, 1)) / BLOCK_ROWS), F.ceil(2 * F.sum(F.when(F.col("side") == side, F.col("_n")).otherwise(0)) / BLOCK_MEMBERS)
+    )
+    counts = sized.groupBy("center").agg(half(0).cast("int").alias("_rest"), half(1).cast("int").alias("_kin"), F.count("*").alias("_size"), F.min("doc_id").alias("_one"))
+    counts = counts.where("_rest > 0 AND _size > 1")
+    # blocks of the rest are numbered from 0, those of the linked ones after them
+    mixed = F.xxhash64("doc_id")
+    own = F.when(F.col("side") == 0, F.pmod(mixed, F.col("_rest"))).otherwise(F.col("_rest") + F.pmod(mixed, F.greatest("_kin", F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("_rest") + F.col("_kin") - 1).otherwise(F.col("_rest") - 1))
+    dealt = attach_groups(both, counts, ["center"], "doc_id", "_one", "_size").select("center", "doc_id", own.alias("_own"), F.explode(others).alias("_other"))
+    dealt = staged(dealt.select("center", "doc_id", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi")), "blocks")
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, block in _blocks(batches):
             ok = may_link(block["n_shingles"].to_numpy(), block["sketch"].tolist())
             yield block.loc[ok, ["doc_id", *KEY]]
 
-    rows, sent = _by_block(facts.select("doc_id", "n_shingles", "sketch"), dealt, limit)
-    ordered = rows.join(sent, "doc_id").repartition(*KEY).sortWithinPartitions(*KEY, "doc_id")
+    tasks = _tasks(docs.sparkSession)
+    rows = _only(facts.select("doc_id", "n_shingles", "sketch"), dealt, limit)
+    ordered = rows.join(dealt, "doc_id").repartition(tasks, *KEY).sortWithinPartitions(*KEY, "doc_id")
     close = staged(ordered.mapInPandas(sift, "doc_id long, center long, lo int, hi int").distinct(), "close")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,10 +408,9 @@ def links(docs: DataFrame, facts: DataFrame, gram: int = GRAM, limit: int = BROA
             edges = block_links(block["doc_id"].to_numpy(), [np.frombuffer(m, np.uint64) for m in block["members"]])
             yield pd.DataFrame(edges, columns=["src", "dst"]).astype("int64")
 
-    rows, sent = _by_block(docs.select("doc_id", "text"), close, limit)
-    sets = member_sets(rows, gram).join(sent, "doc_id")
-    ordered = sets.repartition(*KEY).sortWithinPartitions(*KEY, "doc_id").select(*KEY, "doc_id", "members")
-    return ordered.mapInPandas(compare, "src long, dst long").distinct()
+    sets = member_sets(_only(docs.select("doc_id", "text"), close, limit), gram).join(close, "doc_id")
+    ordered = sets.repartition(tasks, *KEY).sortWithinPartitions(*KEY, "doc_id").select(*KEY, "doc_id", "members")
+    return stars.unionByName(ordered.mapInPandas(compare, "src long, dst long")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -369,9 +451,20 @@ def near_groups(docs: DataFrame, gram: int = GRAM, text: str = "text", doc_id: s
 
 
 def keep_one(docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """The document of least id of every group of near duplicates, and all rows without an id."""
-    found = near_groups(docs, gram).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = staged(found, "near_copies")
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group of near duplicates, that of the least id, and all rows without an id.
+
+    Rows of one id with different texts are judged each for itself; equal rows stay or go together. Rows are told apart by a
+    64-bit hash of id and text.
+    """
+    rows = _plain_rows(docs, "text", "doc_id").where("doc_id IS NOT NULL").withColumn("text_hash", row_digest(docs, "text"))
+    rows = rows.withColumn("node", F.xxhash64("doc_id", "text"))
+    found = near_groups(rows.select("node", "text"), gram, "text", "node").where("doc_id IS NOT NULL")
+    grouped = found.select(F.col("doc_id").alias("node"), "component_id").where("component_id IS NOT NULL").distinct()
+    # only nodes in groups of several; the others stay as they are
+    groups = grouped.groupBy("component_id").agg(F.count("*").alias("size"), F.min("node").alias("one")).where("size > 1")
+    several = staged(attach_groups(grouped, groups, ["component_id"], "node", "one", "size").select("node", "component_id"), "grouped")
+    named = several.join(rows.select("node", "doc_id", "text_hash").distinct(), "node")
+    named = staged(named, "near_rows")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("first"), F.count("*").alias("size"), F.min("node").alias("one"))
+    gone = attach_groups(named, first, ["component_id"], "node", "one", "size").where(F.col("node") != F.col("first.node"))
+    return without(docs, staged(gone.select("doc_id", "text_hash").distinct(), "near_copies")).select(*docs.columns)

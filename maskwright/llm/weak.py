@@ -21,8 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import in_chunks
-from maskwright.llm.common import powers, row_digest, staged, without
+from maskwright.llm.common import map_texts, row_digest, staged, without, word_hashes
 
 BUCKETS = 1 << 11
 RUN = 4
@@ -30,7 +29,6 @@ SAMPLE = 12_000
 PRIOR_WORDS = 10
 PRIOR_CHARS = 60
 THRESHOLD = 0.25
-CHUNK_CHARS = 1_000_000
 LOWER, UPPER, DIGIT, BLANK, LINE = 1, 2, 3, 4, 5
 
 _held: dict[str, np.ndarray] = {}
@@ -84,10 +82,7 @@ class Batch:
 
     def shares(self) -> dict[str, np.ndarray]:
         """What the labellers look at, from 0 to 1."""
-        up, down = powers(len(self.codes))
-        total = np.zeros(len(self.codes) + 1, np.uint64)
-        np.cumsum(self.codes.astype(np.uint64) * up[: len(self.codes)], out=total[1:])
-        word = (total[self.end] - total[self.start]) * down[self.start]
+        word = word_hashes(self.codes, self.start, self.end)
         again = np.zeros(len(word), bool)
         again[1:] = (word[1:] == word[:-1]) & (self.owner[1:] == self.owner[:-1])
         named = word ^ self.owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -149,15 +144,12 @@ def vote(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch.pop("text").tolist()
-            for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
-                part = Batch(texts[a:b])
-                ok = part.words > 0
-                if not ok.any():
-                    continue
-                yield batch.iloc[a:b][ok].assign(votes=list(part.votes()[ok].astype(np.int32)))
+            part = Batch(batch.pop("text").tolist())
+            ok = part.words > 0
+            if ok.any():
+                yield batch[ok].assign(votes=list(part.votes()[ok].astype(np.int32)))
 
-    return _texts(docs, text, doc_id).mapInPandas(run, "doc_id long, text_hash long, votes array<int>")
+    return map_texts(_texts(docs, text, doc_id), run, "doc_id long, text_hash long, votes array<int>")
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
@@ -230,14 +222,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch.pop("text").tolist()
-            for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
-                part = Batch(texts[a:b])
-                ok = np.flatnonzero(part.words > 0)
-                if not len(ok):
-                    continue
+            part = Batch(batch.pop("text").tolist())
+            ok = np.flatnonzero(part.words > 0)
+            if len(ok):
                 rows, votes = part.features().astype(np.float16), part.votes()
-                yield batch.iloc[a:b].iloc[ok].assign(row=[rows[i].tobytes() for i in ok], low=[low_of[tuple(votes[i].tolist())] for i in ok])
+                yield batch.iloc[ok].assign(row=[rows[i].tobytes() for i in ok], low=[low_of[tuple(votes[i].tolist())] for i in ok])
 
     def teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, low = [], []
@@ -251,7 +240,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str
     if share < 1:
         picked = picked.where(F.xxhash64("doc_id", "text_hash") < bound)
     # at most 2 * sample rows of 4 kB, so one task can hold them; the driver gets the weights alone
-    taught = picked.mapInPandas(run, "doc_id long, text_hash long, row binary, low double").limit(2 * sample)
+    taught = map_texts(picked, run, "doc_id long, text_hash long, row binary, low double").limit(2 * sample)
     ordered = taught.coalesce(1).sortWithinPartitions("doc_id", "text_hash", "row")
     learnt = ordered.mapInPandas(teach, "weights binary").collect()
     return np.frombuffer(learnt[0]["weights"], np.float32) if learnt else None
@@ -262,17 +251,15 @@ def score(docs: DataFrame, weights: np.ndarray | None, threshold: float = THRESH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch.pop("text").tolist()
-            for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
-                part = Batch(texts[a:b])
-                good = np.ones(b - a)
-                if weights is not None:
-                    x = part.features() @ weights[:-1] + weights[-1]
-                    good = 1 / (1 + np.exp(np.clip(x.astype(float), -50, 50)))
-                good[part.words == 0] = 0.0
-                yield batch.iloc[a:b].assign(score=good, keep=good >= threshold)
-
-    return _texts(docs, text, doc_id).mapInPandas(run, "doc_id long, text_hash long, score double, keep boolean")
+            part = Batch(batch.pop("text").tolist())
+            good = np.ones(part.n)
+            if weights is not None:
+                x = part.features() @ weights[:-1] + weights[-1]
+                good = 1 / (1 + np.exp(np.clip(x.astype(float), -50, 50)))
+            good[part.words == 0] = 0.0
+            yield batch.assign(score=good, keep=good >= threshold)
+
+    return map_texts(_texts(docs, text, doc_id), run, "doc_id long, text_hash long, score double, keep boolean")
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

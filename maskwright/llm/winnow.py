@@ -22,36 +22,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import _plain_rows, in_chunks
+from maskwright.llm.bpe import _plain_rows
+from maskwright.llm.common import CHUNK_CHARS, map_texts, window_hashes
 
 GRAM = 24
 WINDOW = 16
-CHUNK_CHARS = 1_000_000
 BASE = 0x2545F4914F6CDD1D
 COARSE = 64
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, 2 * CHUNK_CHARS)
-        inverse = pow(BASE, -1, 1 << 64)
-        for name, factor in (("up", BASE), ("down", inverse)):
-            ones = np.full(size, factor, np.uint64)
-            ones[0] = 1
-            _powers[name] = np.cumprod(ones, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
-
 
 def winnow(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
     """Selected hashes (32 bits) of each text and their positions, in order of position."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    up, down = _power_tables(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
-    first = np.cumsum(lens) - lens
+    # a text shorter than a gram is filled up with zeros
+    held = np.where(lens > 0, np.maximum(lens, gram), 0)
+    first = np.cumsum(held) - held
+    flat = np.zeros(int(held.sum()), np.uint64)
+    flat[np.arange(len(codes)) + np.repeat(first - (np.cumsum(lens) - lens), lens)] = codes + np.uint64(1)
     grams = np.where(lens > 0, np.maximum(lens - gram + 1, 1), 0)
     # grams of all texts in a row, each text followed by a gap that no window looks across
     room = grams + window
@@ -59,9 +47,7 @@ def winnow(texts: list[str], gram: int = GRAM, window: int = WINDOW) -> list[tup
     key = np.full(int(room.sum()), np.iinfo(np.uint64).max, np.uint64)
     count = int(grams.sum())
     pos = np.arange(count) - np.repeat(np.cumsum(grams) - grams, grams)
-    start = pos + np.repeat(first, grams)
-    end = np.minimum(start + gram, np.repeat(first + lens, grams))
-    h = (total[end] - total[start]) * down[start]
+    h = window_hashes(flat, gram, BASE)[pos + np.repeat(first, grams)] if count else np.zeros(0, np.uint64)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
@@ -97,13 +83,10 @@ def fingerprint(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            for a, b in in_chunks([len(t) for t in texts], CHUNK_CHARS):
-                found = winnow(texts[a:b], gram, window)
-                prints = [[{"hash": int(h), "pos": int(p)} for h, p in zip(*f, strict=True)] for f in found]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[a:b].to_numpy(), "prints": prints})
+            found = winnow(batch.pop("text").tolist(), gram, window)
+            yield batch.assign(prints=[[{"hash": int(h), "pos": int(p)} for h, p in zip(*f, strict=True)] for f in found])
 
-    return _plain_rows(docs, text, doc_id).mapInPandas(run, "doc_id long, prints array<struct<hash:long,pos:long>>")
+    return map_texts(_plain_rows(docs, text, doc_id), run, "doc_id long, prints array<struct<hash:long,pos:long>>")
 
 
 def _ranges(docs: DataFrame) -> list[int]:
