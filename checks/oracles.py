@@ -24,12 +24,19 @@ IBAN = (
     " CASE WHEN ch BETWEEN '0' AND '9' THEN CAST(ch AS INT) ELSE ascii(ch) - 55 END),"
     " lambda rest, v: (rest * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97, 0) = 1)"
 )
-SSN_NEAR = "regexp_matches(right(gap, 40), '(?i)ssn|social security|social sec')"
-PHONE_NEAR = "regexp_matches(right(gap, 40), '(?i)phone|tel[.:]|call|mobile|cell|fax')"
+def near(pattern: str) -> str:
+    """Whether a pattern occurs within 40 characters of the match, on either side."""
+    return f"(regexp_matches(before, '{pattern}') OR regexp_matches(after, '{pattern}'))"
 
-# type, RE2 pattern, score, condition on the match t, its neighbours b and a, and the gap
+
+SSN_NEAR = near("(?i)ssn|social security|social sec")
+PHONE_NEAR = near("(?i)phone|tel[.:]|call|mobile|cell|fax")
+NHS_NEAR = near("(?i)nhs|national health")
+NHS = f"(list_sum(list_transform(range(1, 11), lambda k: CAST(substr({DIGITS}, k, 1) AS INT) * (11 - k))) % 11 = 0)"
+
+# type, RE2 pattern, score, condition on the match t, its neighbours b and a, and what is before and after
 RULES = [
-    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "1.0", "true"),
+    ("EMAIL_ADDRESS", r"[\p{L}\p{M}\p{N}._%+-]+@[\p{L}\p{M}\p{N}.-]+\.\p{L}{2,}", "1.0", "true"),
     (
         "PHONE_NUMBER",
         r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}\b"
@@ -52,12 +59,31 @@ RULES = [
     ("IP_ADDRESS", rf"\b(?:{OCT}\.){{3}}{OCT}\b", "0.6", "true"),
     (
         "IP_ADDRESS",
-        r"\b(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
-        r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})\b",
+        r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"
+        r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}\b"
+        r"|(?:[0-9A-Fa-f]{1,4}:){2,7}:|:(?::[0-9A-Fa-f]{1,4}){1,7}\b",
         "0.6",
-        "b <> ':' AND a <> ':' AND len(string_split(t, ':')) <= 8",
+        "NOT regexp_matches(b, '[0-9A-Za-z_:]') AND NOT regexp_matches(a, '[0-9A-Za-z_:]')"
+        " AND len(string_split(t, ':')) <= (CASE WHEN starts_with(t, '::') OR ends_with(t, '::') THEN 9 ELSE 8 END) AND regexp_matches(t, '[0-9]')",
     ),
     ("URL", r"""https?://[^\x00-\x20<>"]*[^\x00-\x20<>".,;:!?')\]}]""", "0.6", "true"),
+    (
+        "URL",
+        r"""(?i:www)\.[0-9A-Za-z-]+\.[^\x00-\x20<>"]*[^\x00-\x20<>".,;:!?')\]}]""",
+        "0.5",
+        "NOT regexp_matches(b, '[0-9A-Za-z_./@-]')",
+    ),
+    ("PHONE_NUMBER", r"\b[2-9][0-9]{9}\b", f"CASE WHEN {PHONE_NEAR} THEN 0.5 ELSE 0.05 END", "true"),
+    (
+        "DATE_TIME",
+        r"\b(?:[12][0-9]{3}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?:[T ][0-2][0-9]:[0-5][0-9](?::[0-5][0-9])?Z?)?"
+        r"|(?:0?[1-9]|[12][0-9]|3[01])[./](?:0?[1-9]|1[0-2])[./][12][0-9]{3}"
+        r"|(?:0?[1-9]|1[0-2])/(?:1[3-9]|2[0-9]|3[01])/[12][0-9]{3})\b",
+        "0.6",
+        "true",
+    ),
+    ("CRYPTO", r"\b(?:bc1[02-9ac-hj-np-z]{25,59}|0x[0-9A-Fa-f]{40})\b", "0.6", "true"),
+    ("UK_NHS", r"\b[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}\b", f"CASE WHEN {NHS_NEAR} THEN 0.85 ELSE 0.3 END", NHS),
 ]
 DOMAIN_RULE = ("DOMAIN_NAME", r"\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,6}\b", "0.3", "true")
 
@@ -76,18 +102,19 @@ def matches_cte(source: str, rules=RULES, prefix: str = "raw") -> str:
         cut, seq, out = f"{prefix}_cut{n}", f"{prefix}_seq{n}", f"{prefix}_m{n}"
         marked = f"regexp_replace(text, {lit('(' + pattern + ')')}, chr(1) || '\\1' || chr(2), 'g')"
         ctes.append(
-            f"{cut} AS (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT id,"
-            f" string_split({marked}, chr(1)) AS ps FROM {source}))"
+            f"{cut} AS (SELECT id, whole, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT id,"
+            f" text AS whole, string_split({marked}, chr(1)) AS ps FROM {source}))"
         )
         ctes.append(
-            f"{seq} AS (SELECT id, i, p, lag(p) OVER w AS pp,"
-            " sum(length(replace(p, chr(2), ''))) OVER w - length(replace(p, chr(2), '')) AS s"
+            f"{seq} AS (SELECT id, whole, i, p, lag(p) OVER w AS pp,"
+            " CAST(sum(length(replace(p, chr(2), ''))) OVER w - length(replace(p, chr(2), '')) AS BIGINT) AS s"
             f" FROM {cut} WINDOW w AS (PARTITION BY id ORDER BY i))"
         )
         ctes.append(
             f"{out} AS (SELECT id, CAST(s AS INT) AS start, CAST(s + length(t) AS INT) AS \"end\","
             f" {lit(kind)} AS entity_type, CAST({score} AS DOUBLE) AS score, t AS text"
-            " FROM (SELECT id, s, split_part(p, chr(2), 1) AS t, split_part(pp, chr(2), -1) AS gap,"
+            " FROM (SELECT id, s, split_part(p, chr(2), 1) AS t, substr(whole, greatest(s - 40, 0) + 1, least(s, 40)) AS before,"
+            " substr(whole, s + length(split_part(p, chr(2), 1)) + 1, 40) AS after,"
             " right(replace(pp, chr(2), ''), 1) AS b, left(split_part(p, chr(2), 2), 1) AS a"
             f" FROM {seq} WHERE i > 1) WHERE {condition})"
         )
@@ -197,7 +224,10 @@ def terms_cte(source: str = "src") -> str:
 
 
 IDENTITIES = """src AS (SELECT id, 'Tenant ' || name || chr(10) || CASE WHEN id % 2 = 0 THEN 'SSN ' ELSE 'No. ' END
- || ssn || ', tax ' || itin || '; bare ' || bare || ' account ' || iban || ' end, call 415-555-' || substr(bare, 6) AS text
+ || ssn || ', tax ' || itin || '; bare ' || bare || ' account ' || iban || ' end, call 415-555-' || substr(bare, 6)
+ || chr(10) || 'born 19' || lpad(CAST(id % 80 + 10 AS VARCHAR), 2, '0') || '-02-03, www.example.com/' || bare || ', node 2001:db8:: or ::'
+ || lpad(CAST(id % 9999 AS VARCHAR), 4, '0') || '; Jürgen' || CAST(id AS VARCHAR) || '@bücher.example, ' || ssn || ' is an SSN, NHS 943 476 '
+ || lpad(CAST(id % 9999 AS VARCHAR), 4, '0') || ', mobile 5' || bare AS text
  FROM (SELECT c_custkey AS id, c_name AS name,
   lpad(CAST(c_custkey % 900 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-'
    || lpad(CAST(c_custkey * 7 % 10000 AS VARCHAR), 4, '0') AS ssn,
@@ -396,18 +426,25 @@ def oracle_sql() -> dict[str, str]:
         " FROM (SELECT d.id, c.total, c.counts FROM src d LEFT JOIN dc c ON c.id = d.id) c"
     )
     sql["job_events"] = f"WITH {PATHS}, {JOBS} {JOB_EVENTS}"
-    counted = "(SELECT d.id, coalesce(c.total, 0) AS total, coalesce(c.counts, '{}') AS counts FROM src d LEFT JOIN dc c ON c.id = d.id)"
+    counted = (
+        "(SELECT d.id, lang, coalesce(c.total, 0) AS total, coalesce(c.counts, '{}') AS counts"
+        " FROM src d JOIN documents ON doc_id = d.id LEFT JOIN dc c ON c.id = d.id)"
+    )
+    lost = "(total > 0 AND coalesce(lang NOT IN ('en', 'de', 'fr'), true))"
     sql["audit_all"] = (
         f"WITH {FOUND}, {DOC_COUNTS}, {PATHS}, {JOBS}, {FILES}, {OLD} "
         + " UNION ALL ".join(
             [
                 event_select(
-                    counted, "'pii_encrypt'", file=OUT_FILE, mode="'encrypt'", pii_total="total", entity_counts="counts",
-                    output_file=OUT_FILE, report_file=f"{OUT_FILE} || '.pii.json'",
+                    counted, "'pii_encrypt'", file=OUT_FILE, mode="'encrypt'", pii_total=f"CASE WHEN NOT {lost} THEN total END",
+                    entity_counts=f"CASE WHEN NOT {lost} THEN counts END", output_file=f"CASE WHEN NOT {lost} THEN {OUT_FILE} END",
+                    report_file=f"CASE WHEN NOT {lost} THEN {OUT_FILE} || '.pii.json' END",
+                    status=f"CASE WHEN {lost} THEN 'error' END", error=f"CASE WHEN {lost} THEN 'unknown key' END",
                 ),
                 event_select(
-                    counted, "'pii_decrypt'", file=OUT_FILE, output_file="'doc_' || CAST(id AS VARCHAR) || '.decrypted.md'",
-                    markers_found="total", markers_decrypted="total",
+                    f"(SELECT * FROM {counted} WHERE NOT {lost})", "'pii_decrypt'", file=OUT_FILE,
+                    output_file="'doc_' || CAST(id AS VARCHAR) || '.decrypted.md'",
+                    markers_found="total", markers_decrypted="CASE WHEN lang = 'de' THEN 0 ELSE total END",
                 ),
                 event_select(
                     "(SELECT count(*) AS n FROM old)", "'cleanup'", directory="'/data'", retention_days="14",
@@ -420,6 +457,18 @@ def oracle_sql() -> dict[str, str]:
             ]
         )
     )
+    sql["audit_committed"] = (
+        f"WITH {FOUND}, {DOC_COUNTS}, {FILES}, {OLD} "
+        + event_select(
+            counted, "'pii_anonymize'", file=OUT_FILE, mode="'anonymize'", pii_total="total", entity_counts="counts",
+            output_file=OUT_FILE, report_file=f"{OUT_FILE} || '.pii.json'",
+        )
+        + " UNION ALL "
+        + event_select(
+            "(SELECT count(*) AS n FROM old)", "'cleanup'", directory="'/data'", retention_days="14",
+            files_deleted="n", errors="0", dry_run="true",
+        )
+    )
     sql["old_files"] = f"WITH {FILES}, {OLD} SELECT path, round(age_days, 6) AS age_days FROM old"
     sql["retention_plan"] = (
         f"WITH {FILES}, {OLD} SELECT path, round(age_days, 6) AS age_days, true AS ok, CAST(NULL AS VARCHAR) AS error FROM old"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.fernet import key_ring
 from maskwright.functions.recognizers import RECOGNIZERS, Recognizer
 from maskwright.functions import text as tx
-from maskwright.operators import audit, retention
+from maskwright.operators import audit, audit_log, retention
 from maskwright.operators.detect import MARKER_PATTERN, detect, filter_by_list, filter_entities, matches
 from maskwright.operators.dictionary import dictionary_spans, with_dictionary
 from maskwright.operators.extract import assemble_pages, extract_text
@@ -116,6 +116,9 @@ def detect_identities(spark, sf):
         F.lit("Tenant "), F.col("c_name"), F.lit("\n"), F.when(key % 2 == 0, "SSN ").otherwise("No. "),
         F.col("ssn"), F.lit(", tax "), F.col("itin"), F.lit("; bare "), F.col("bare"), F.lit(" account "),
         F.col("iban"), F.lit(" end, call 415-555-"), F.substring("bare", 6, 4),
+        F.lit("\nborn 19"), padded(key % 80 + 10, 2), F.lit("-02-03, www.example.com/"), F.col("bare"),
+        F.lit(", node 2001:db8::"), F.lit(" or ::"), padded(key % 9999, 4), F.lit("; Jürgen"), key.cast("string"),
+        F.lit("@bücher.example, "), F.col("ssn"), F.lit(" is an SSN, NHS 943 476 "), padded(key % 9999, 4), F.lit(", mobile 5"), F.col("bare"),
     )
     return span_rows(detect(spread(rows.select("c_custkey", text.alias("text")), "c_custkey")), "c_custkey")
 
@@ -566,11 +569,6 @@ def audit_pii(spark, sf):
     return audit.event_json(events)
 
 
-def _job_events(spark, sf):
-    failed = F.when(F.col("doc_id") % 7 == 0, "invalid UTF-8")
-    return audit.job_events(paths(spark, sf).withColumn("error", failed), "encrypt", NOW, USER)
-
-
 def flat_events(events: DataFrame) -> DataFrame:
     return events.withColumn("entity_counts", F.to_json("entity_counts"))
 
@@ -581,9 +579,14 @@ def job_events(spark, sf):
 
 
 def audit_all(spark, sf):
-    counted = _counted(spark, sf)
+    """Events of all jobs. Spanish documents have no key, so those with findings fail."""
     out = file_name()
-    restored = counted.withColumns({"markers_found": F.col("pii_total"), "markers_decrypted": F.col("pii_total")})
+    keys = key_ring(spark, {"en": KEY, "de": OTHER_KEY, "fr": KEY})
+    found = with_counts(detect(documents(spark, sf, "doc_id", "text", "lang")))
+    counted = mask(found, "encrypt", keys=keys, key_id="lang", now=NOW).withColumn("error", masking_error()).drop("text", "spans")
+    # the holder of one key restores all documents
+    restored = unmask(counted.where("error IS NULL"), key_ring(spark, {"k": KEY}))
+    jobs = audit.job_events(decode_documents(content_files(spark, sf)), "encrypt", NOW, USER)
     summary = retention.deletion_summary(retention.delete_files(_old(spark, sf)))
     manifest = upload_manifest(paths(spark, sf), F.lit("masked"))
     return flat_events(
@@ -592,11 +595,24 @@ def audit_all(spark, sf):
             audit.decrypt_events(restored, out, tx.decrypted_path(out), NOW, USER),
             audit.cleanup_events(summary, "/data", RETENTION_DAYS, True, NOW, USER),
             audit.upload_events(manifest, NOW, USER),
-            _job_events(spark, sf),
+            jobs,
         )
     )
 
 
+def audit_committed(spark, sf):
+    """What readers see of a log after a run that was killed, done again, and done once more, and another run."""
+    log = scratch_path(spark, "audit")
+    out = file_name()
+    events = audit.pii_events(_counted(spark, sf), out, "anonymize", out, tx.report_path(out), NOW, USER)
+    audit_log.stage_events(events, log, "masking")  # killed before its commit
+    for _ in range(2):
+        audit_log.append_events(events, log, "masking")
+    summary = retention.deletion_summary(retention.delete_files(_old(spark, sf)))
+    audit_log.append_events(audit.cleanup_events(summary, "/data", RETENTION_DAYS, True, NOW, USER), log, "cleanup")
+    return flat_events(audit_log.read_events(spark, log))
+
+
 def upload_manifest_query(spark, sf):
     bucket = F.concat(F.lit("masked-"), (F.col("doc_id") % 3).cast("string"))
     key = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("batch/"), F.col("doc_id").cast("string")))
@@ -697,6 +713,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "emptied_dirs": emptied_dirs,
         "audit_pii": audit_pii,
         "audit_all": audit_all,
+        "audit_committed": audit_committed,
         "job_events": job_events,
         "upload_manifest": upload_manifest_query,
         "sft_messages": sft_messages,

@@ -19,15 +19,16 @@ CONTEXT_WINDOW = 40
 _LEFT = "(?<![0-9A-Za-z_])"
 _RIGHT = "(?![0-9A-Za-z_])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_LOCAL = "A-Za-z0-9._%+-"
+_LOCAL = r"\p{L}\p{M}\p{N}._%+-"
 _URL_BODY = r'[^\x00-\x20<>"]'
 _URL_END = r"""[^\x00-\x20<>".,;:!?')\]}]"""
 
 FAMILIES: dict[str, str] = {
     "at": "contains({text}, '@')",
     "scheme": "contains({text}, '://')",
+    "www": "contains(lower({text}), 'www.')",
     "digits": "{text} RLIKE '[0-9]'",
-    "colons": "contains({text}, ':') AND {text} RLIKE " + quoted(r"[0-9A-Fa-f]:[0-9A-Fa-f]{{0,4}}:"),
+    "colons": "contains({text}, ':') AND {text} RLIKE " + quoted(r"[0-9A-Fa-f]:[0-9A-Fa-f]{{0,4}}:|::[0-9A-Fa-f]"),
     "any": "{text} IS NOT NULL",
 }
 
@@ -66,6 +67,11 @@ IBAN_OK = (
     " 0, (rest, v) -> (rest * if(v > 9, 100, 10) + v) % 97) = 1"
 )
 
+# Ten digits times 10 down to 1 add up to a multiple of 11.
+NHS_OK = (
+    f"aggregate(sequence(1, 10), 0, (acc, k) -> acc + CAST(substring({_DIGITS}, k, 1) AS int) * (11 - k)) % 11 = 0"
+)
+
 _SSN_CONTEXT = r"(?i)ssn|social security|social sec"
 
 RECOGNIZERS: tuple[Recognizer, ...] = (
@@ -73,7 +79,7 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
         "EMAIL_ADDRESS",
         # A run of local-part characters is tried from its first character only (or from
         # where the match before ended), which keeps long runs linear.
-        rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}",
+        rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[\p{{L}}\p{{M}}\p{{N}}.-]+\.[\p{{L}}]{{2,}}",
         1.0,
         "at",
     ),
@@ -133,12 +139,34 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     Recognizer(
         "IP_ADDRESS",
         r"(?<![0-9A-Za-z_:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
-        r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z_:])",
+        r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}"
+        r"|(?:[0-9A-Fa-f]{1,4}:){2,7}:|:(?::[0-9A-Fa-f]{1,4}){1,7})(?![0-9A-Za-z_:])",
         0.6,
         "colons",
-        check="size(split({match}, ':')) <= 8",
+        check="size(split({match}, ':')) <= 9 AND (size(split({match}, ':')) <= 8 OR {match} LIKE '::%' OR {match} LIKE '%::') AND {match} RLIKE '[0-9]'",
     ),
     Recognizer("URL", rf"https?://{_URL_BODY}*{_URL_END}", 0.6, "scheme"),
+    Recognizer("URL", rf"(?<![0-9A-Za-z_./@-])(?i:www)\.[0-9A-Za-z-]+\.{_URL_BODY}*{_URL_END}", 0.5, "www"),
+    Recognizer(
+        "PHONE_NUMBER",
+        # ten bare digits say nothing by themselves
+        rf"{_LEFT}[2-9][0-9]{{9}}{_RIGHT}",
+        0.05,
+        "digits",
+        context=r"(?i)phone|tel[.:]|call|mobile|cell|fax",
+        context_score=0.5,
+    ),
+    Recognizer(
+        "DATE_TIME",
+        rf"{_LEFT}(?:[12][0-9]{{3}}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?:[T ][0-2][0-9]:[0-5][0-9](?::[0-5][0-9])?Z?)?"
+        r"|(?:0?[1-9]|[12][0-9]|3[01])[./](?:0?[1-9]|1[0-2])[./][12][0-9]{3}"
+        r"|(?:0?[1-9]|1[0-2])/(?:1[3-9]|2[0-9]|3[01])/[12][0-9]{3}"
+        rf"){_RIGHT}",
+        0.6,
+        "digits",
+    ),
+    Recognizer("CRYPTO", rf"{_LEFT}(?:bc1[02-9ac-hj-np-z]{{25,59}}|0x[0-9A-Fa-f]{{40}}){_RIGHT}", 0.6, "digits"),
+    Recognizer("UK_NHS", rf"{_LEFT}[0-9]{{3}}[ -][0-9]{{3}}[ -][0-9]{{4}}{_RIGHT}", 0.3, "digits", NHS_OK, r"(?i)nhs|national health", 0.85),
 )
 
 
@@ -154,9 +182,13 @@ def select_recognizers(
     return chosen
 
 
-def recognized(text: str, recognizers: Iterable[Recognizer], keep_off: tuple[str, str] | None = None) -> str:
+def recognized(
+    text: str, recognizers: Iterable[Recognizer], keep_off: tuple[str, str] | None = None, window: int = CONTEXT_WINDOW
+) -> str:
     """SQL for the spans of all recognizers, in no particular order.
 
+    A context word raises a score if it stands in the ``window`` characters before or after a match.
+
     Only the regex calls are made per recognizer; offsets, scores and checks are worked out
     by one shared expression over those which found something. ``keep_off`` is a literal and
     a pattern of areas to leave alone; they come out as spans with an empty entity type.
@@ -177,7 +209,7 @@ def recognized(text: str, recognizers: Iterable[Recognizer], keep_off: tuple[str
         f"if({test}, array({', '.join(members)}), {empty(_HIT)})" for test, members in families.items()
     )
     found = f"filter(concat({hits}), h -> size(h.found) > 0)"
-    return f"flatten(transform({found}, h -> {_hit_spans('h', rules)}))"
+    return f"flatten(transform({found}, h -> {_hit_spans('h', rules, window)}))"
 
 
 _HIT = (
@@ -197,10 +229,22 @@ def _hit(
     )
 
 
-def _hit_spans(hit: str, rules: list[Recognizer]) -> str:
+def _hit_spans(hit: str, rules: list[Recognizer], window: int) -> str:
+    # What stands around match i is put together from the gaps and the matches between them; a match
+    # has at least one character, so ``window`` of them on either side are enough.
+    low = f"greatest(i - {int(window)}, 0)"
+
+    def side(cut: str, first: str, gaps: str, found: str) -> str:
+        glued = f"(g, f) -> concat({cut}(g, {int(window)}), coalesce(f, ''))"
+        parts = f"zip_with(slice({hit}.gaps, {first}, {gaps}), slice({hit}.found, {first}, {found}), {glued})"
+        return f"{cut}(array_join({parts}, ''), {int(window)})"
+
+    before = side("right", f"{low} + 1", f"i - {low} + 1", f"i - {low}")
+    after = side("left", "i + 2", f"{int(window)} + 1", str(int(window)))
+
     def score(gap: str) -> str:
-        near = f"right({gap}, {CONTEXT_WINDOW})"
-        return f"if(coalesce({near} RLIKE {hit}.context, false), {hit}.context_score, {hit}.score)"
+        near = f"({before} RLIKE {hit}.context OR {after} RLIKE {hit}.context)"
+        return f"if({hit}.context IS NULL, {hit}.score, if({near}, {hit}.context_score, {hit}.score))"
 
     spans = located(f"{hit}.found", f"{hit}.gaps", f"{hit}.entity_type", score)
     checks = " ".join(

@@ -1,4 +1,4 @@
-"""Audit events, one common table for all operations; metadata only, never content."""
+"""Audit events, one common table for all operations; metadata only, never content. The log is in ``audit_log``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,11 +61,18 @@ def _event(df: DataFrame, now: datetime, operation: Column, user: str | None, **
 
 def pii_events(docs: DataFrame, path: Column, mode: str, output: Column, report: Column, now: datetime,
                user: str | None = None) -> DataFrame:
-    """One event per masked document; ``docs`` has ``pii_total`` and ``entity_counts``."""
+    """One event per document; ``docs`` has ``pii_total`` and ``entity_counts``.
+
+    If there is a column ``error``, a document that has one failed: its event says so, and tells of no
+    findings and no output.
+    """
+    error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
+    done = error.isNull()
     return _event(
         docs, now, F.lit(f"pii_{mode}"), user,
-        file=basename(path), mode=F.lit(mode), pii_total=F.col("pii_total"), entity_counts=F.col("entity_counts"),
-        output_file=basename(output), report_file=basename(report),
+        file=basename(path), mode=F.lit(mode), pii_total=F.when(done, F.col("pii_total")),
+        entity_counts=F.when(done, F.col("entity_counts")), output_file=F.when(done, basename(output)),
+        report_file=F.when(done, basename(report)), status=F.when(~done, "error"), error=error,
     )
 
 
@@ -121,12 +128,3 @@ def event_json(events: DataFrame) -> DataFrame:
     """One JSON object per event; fields an operation does not have are left out."""
     return events.select("operation", F.to_json(F.struct(*[f.name for f in EVENT_SCHEMA.fields])).alias("event"))
 
-
-def append_events(events: DataFrame, path: str) -> None:
-    """Append to the audit log, a folder of JSON lines by day."""
-    dated = events.withColumn("date", F.substring("timestamp", 1, 10))
-    dated.write.mode("append").partitionBy("date").json(path)
-
-
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENT_SCHEMA).json(path)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.recognizers import RECOGNIZERS, Recognizer, recognized, select_recognizers
+from maskwright.functions.recognizers import CONTEXT_WINDOW, RECOGNIZERS, Recognizer, recognized, select_recognizers
 from maskwright.functions.spans import (
     SPAN,
     compute,
@@ -35,17 +35,19 @@ def detect(
     overlaps: str = "resolve",
     into: str = "spans",
     also: str | None = None,
+    context_window: int = CONTEXT_WINDOW,
 ) -> DataFrame:
     """Add ``spans``, in start order. ``entities`` restricts the types; unwanted recognizers
     are not even planned. ``overlaps`` is ``resolve`` (disjoint spans, ready for masking) or
     ``keep``. ``also`` names a column of further spans, e.g. of a model or a dictionary; where it
-    is NULL, its findings are unknown, and so are the ``spans``.
+    is NULL, its findings are unknown, and so are the ``spans``. A context word raises a score within
+    ``context_window`` characters on either side.
     """
     if overlaps not in ("resolve", "keep"):
         raise ValueError("overlaps must be 'resolve' or 'keep'")
     source = name(text)
     # Existing markers are areas to keep off: they must not be masked again.
-    parts = [recognized(source, select_recognizers(entities, recognizers), (MARKER_OPEN, MARKER_PATTERN))]
+    parts = [recognized(source, select_recognizers(entities, recognizers), (MARKER_OPEN, MARKER_PATTERN), context_window)]
     if also is not None:
         parts.append(f"CAST({name(also)} AS array<{SPAN}>)")
     settle = resolve_overlaps if overlaps == "resolve" else drop_in_protected

@@ -36,8 +36,16 @@ def with_keys(
     return lookup_join(docs, table, "_key_id", small=keys.small, salt_by=by).drop("_key_id")
 
 
-def _anonymized(salt: str, modulus: int) -> str:
-    digest = f"substr(sha2(concat({quoted(salt)}, s.text), 256), 1, 15)"
+def with_salt(docs: DataFrame, salt: str, text: str = "text") -> DataFrame:
+    """Put the salt on each row as data, like the keys, so that no plan or log shows it."""
+    table = docs.sparkSession.createDataFrame([("salt", salt)], "_salt_id string, _salt string")
+    # not a plain literal: with one, the join would lose its key
+    named = docs.withColumn("_salt_id", F.when(F.col(text).isNotNull(), F.lit("salt")))
+    return named.join(F.broadcast(table), "_salt_id", "left").drop("_salt_id")
+
+
+def _anonymized(modulus: int) -> str:
+    digest = "substr(sha2(concat(_salt, s.text), 256), 1, 15)"
     number = f"pmod(CAST(conv({digest}, 16, 10) AS bigint), {int(modulus)})"
     return f"concat('[', s.entity_type, '_', {number}, ']')"
 
@@ -54,7 +62,7 @@ def mask(
     keys: KeyRing | None = None,
     key_id: str | None = None,
     policy: Mapping[str, str] | None = None,
-    salt: str = "",
+    salt: str | None = None,
     modulus: int = 10_000,
     now: datetime | None = None,
     text: str = "text",
@@ -72,7 +80,7 @@ def mask(
     - ``keep``: the text stays and is not listed in ``items``.
 
     ``encrypt`` needs ``keys`` (see ``functions.fernet.key_ring``) and ``now``, one time for
-    the whole run, so that retried tasks write the same tokens. ``by`` identifies a document;
+    the whole run, so that retried tasks write the same tokens. ``anonymize`` needs ``salt``. ``by`` identifies a document;
     where its key is unknown, the new text is NULL. The same holds where ``spans`` is NULL,
     that is, where nobody knows what to mask; see ``masking_error``.
     """
@@ -85,9 +93,13 @@ def mask(
         if keys is None or now is None:
             raise ValueError("encrypt needs keys and now")
         docs = with_keys(docs, keys, key_id, by, text)
+    if "anonymize" in used:
+        if not salt:
+            raise ValueError("anonymize needs a salt, as the numbers of common texts could be guessed")
+        docs = with_salt(docs, salt, text)
     replacement = {
         "encrypt": _encrypted(by, int(now.timestamp())) if now is not None else "",
-        "anonymize": _anonymized(salt, modulus),
+        "anonymize": _anonymized(modulus),
         "redact": "concat('<', s.entity_type, '>')",
         "keep": "s.text",
     }
@@ -114,7 +126,7 @@ def mask(
         result = f"if(size({name(spans)}) > 0 AND enc_key IS NULL, {lost}, {result})"
     unknown = f"named_struct({quoted(into)}, CAST(NULL AS string), 'items', {empty(ITEM)})"
     result = f"if({name(spans)} IS NULL, {unknown}, {result})"
-    masked = compute(docs, result, names=(into, "items"))
+    masked = compute(docs, result, names=(into, "items")).drop("_salt")
     return masked.drop(*KEY_COLUMNS) if "encrypt" in used else masked
 
 

@@ -34,6 +34,12 @@ def use_encryption(spark: SparkSession, bucket: str, encryption: str = "AES256",
         conf.set(key, value)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def write_documents(
     docs: DataFrame, path: str, partition_by: Sequence[str] = (), format: str = "parquet", mode: str = "errorifexists"
 ) -> None:

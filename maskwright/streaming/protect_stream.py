@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from maskwright.functions.spans import compute, name
+from maskwright.functions.text import output_path, report_path
 from maskwright.operators import audit
+from maskwright.operators.audit_log import append_events
+from maskwright.operators.mask import masking_error
+from maskwright.operators.report import type_counts
 
 
 def document_stream(
@@ -35,31 +41,29 @@ def protect_stream(
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
     user: str | None = None,
     trigger: dict | None = None,
+    path: Column | None = None,
+    by: str = "doc_id",
 ) -> StreamingQuery:
     """Mask a stream of documents with the same row-wise ``transform`` as a batch.
 
-    ``transform`` gives ``masked`` and ``spans``. Each micro-batch replaces its own folder
-    of the document table and of the audit log, so a batch that is run again after a loss
-    leaves no doubles. There is no state, hence nothing that grows and no watermark.
+    ``transform`` gives ``masked`` and ``spans``. Each micro-batch replaces its own folder of the
+    document table, and its events are committed to the audit log as one run, so a batch that is run
+    again after a loss leaves no doubles. The events are those of a batch job, one per document, named
+    by ``path``. There is no state, hence nothing that grows and no watermark.
     """
+    path = path if path is not None else F.concat(F.lit("doc_"), F.col(by).cast("string"), F.lit(".md"))
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         now = clock()
-        masked = transform(batch, now)
+        counted = compute(transform(batch, now), {"pii_total": f"size({name('spans')})", "entity_counts": type_counts()})
         folder = f"{documents}/batch={batch_id}"
-        masked.withColumn("n_spans", F.size("spans")).drop("text", "spans").write.mode("overwrite").parquet(folder)
-        totals = batch.sparkSession.read.parquet(folder).agg(
-            F.count("*").alias("documents"), F.coalesce(F.sum("n_spans"), F.lit(0)).alias("pii_total")
-        )
-        event = totals.select(
-            F.lit(audit.stamp(now)).alias("timestamp"),
-            F.lit(f"pii_{mode}").alias("operation"),
-            F.lit(user or audit.current_user()).alias("user"),
-            F.lit(mode).alias("mode"),
-            "documents",
-            "pii_total",
-        )
-        event.coalesce(1).write.mode("overwrite").json(f"{audit_log}/batch={batch_id}")
+        stored = counted.withColumns({"path": path, "error": masking_error()}).withColumn("n_spans", F.col("pii_total"))
+        stored.drop("text", "spans").write.mode("overwrite").parquet(folder)
+        written = batch.sparkSession.read.parquet(folder)
+        out = output_path(F.col("path"))
+        events = audit.pii_events(written, F.col("path"), mode, out, report_path(out), now, user)
+        append_events(events, audit_log, f"stream-{stream}-{batch_id}")
 
     return (
         docs.writeStream.foreachBatch(write_batch)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.fernet import key_ring
 from maskwright.functions.text import normalize_text
-from maskwright.operators import audit, retention
+from maskwright.operators import audit, audit_log, retention
 from maskwright.operators.detect import detect
 from maskwright.operators.mask import mask
 from maskwright.operators.report import report, report_json, top_docs, with_counts
@@ -76,10 +76,9 @@ def test_events(spark, tmp_path, monkeypatch):
     cleanup = audit.cleanup_events(none, "/data", 7, True, NOW, "bob")
     jobs = audit.job_events(docs.withColumn("error", F.when(F.col("text") == "none", "bad")), "encrypt", NOW, "bob")
     log = str(tmp_path / "audit")
-    audit.append_events(audit.union_events(pii, cleanup), log)
-    audit.append_events(jobs, log)
-    assert [d for d in os.listdir(log) if d.startswith("date")] == ["date=2025-01-01"]
-    stored = audit.read_events(spark, log)
+    audit_log.append_events(audit.union_events(pii, cleanup), log)
+    audit_log.append_events(jobs, log)
+    stored = audit_log.read_events(spark, log)
     assert stored.count() == 7
     events = [json.loads(r["event"]) for r in audit.event_json(stored).collect()]
     first = next(e for e in events if e.get("file") == "a.md")
@@ -119,13 +118,13 @@ def test_whole_job_and_back(spark, sf, tmp_path):
     reports = spark.read.json(out.reports)
     total = masked.agg(F.sum("pii_total")).first()[0]
     assert total > 0 and reports.agg(F.sum("total")).first()[0] == total
-    assert audit.read_events(spark, out.audit_log).agg(F.sum("pii_total")).first()[0] == total
+    assert audit_log.read_events(spark, out.audit_log).agg(F.sum("pii_total")).first()[0] == total
     back = Outputs(str(tmp_path / "restored"), audit_log=str(tmp_path / "audit2"))
     run_restore(masked, back, keys, NOW, user="ann")
     restored = spark.read.parquet(back.documents)
     same = restored.select("doc_id", F.col("text").alias("restored")).join(docs, "doc_id").where("restored = text")
     assert same.count() == docs.count()
-    events = audit.read_events(spark, back.audit_log)
+    events = audit_log.read_events(spark, back.audit_log)
     assert events.agg(F.sum("markers_decrypted")).first()[0] == total
 
 
@@ -168,8 +167,61 @@ def test_stream_in_several_batches(spark, sf, tmp_path):
     docs.limit(0).unionAll(spark.createDataFrame([(10**6, "new a@b.com")], docs.schema)).write.mode("append").parquet(source)
     run()
     assert spark.read.parquet(out["documents"]).count() == docs.count() + 1
-    log = spark.read.json(out["audit"])
-    assert log.agg(F.sum("documents")).first()[0] == docs.count() + 1
+    log = audit_log.read_events(spark, out["audit"])
+    assert log.count() == docs.count() + 1 and log.where("file = 'doc_1000000.md'").first()["pii_total"] == 1
+    # a batch that is run again after it was written replaces its folder, and its events stay as they are
+    assert audit_log.manifests(spark, out["audit"]).count() == 4
+    assert audit_log.verify(spark, out["audit"]).where("NOT ok").count() == 0
+
+
+def test_log_of_killed_repeated_and_changed_runs(spark, tmp_path):
+    log = str(tmp_path / "audit")
+    docs = spark.createDataFrame([(i, i % 3) for i in range(3000)], "doc_id long, pii_total int").withColumn("entity_counts", F.create_map(F.lit("URL"), F.col("pii_total").cast("long")))
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    events = audit.pii_events(docs, path, "redact", path, path, NOW, "ann")
+    assert audit_log.read_events(spark, log).count() == audit_log.verify(spark, log).count() == 0
+    killed = audit_log.stage_events(events, log, "a")
+    assert audit_log.read_events(spark, log).count() == 0
+    audit_log.append_events(events, log, "a")
+    audit_log.append_events(events, log, "a")
+    audit_log.append_events(events.limit(0), log, "nothing")
+    audit_log.append_events(events.limit(5).unionAll(events.limit(5)), log, "odd name / ü")
+    audit_log.commit_events(spark, log, "a", killed)
+    stored = sorted(r["event"] for r in audit.event_json(audit_log.read_events(spark, log)).collect())
+    told = [r["event"] for r in audit.event_json(events).collect()]
+    assert len(stored) == 3010 and set(stored) == set(told)
+    assert sorted((r["events"], r["found"], r["ok"]) for r in audit_log.verify(spark, log).collect()) == [(0, 0, True), (10, 10, True), (3000, 3000, True)]
+    attempt = audit_log.manifests(spark, log).where("run = 'a'").first()["attempt"]
+    assert attempt != killed
+    folder = f"{log}/data/run=a/attempt={attempt}"
+    part = sorted(f for f in os.listdir(folder) if f.startswith("part-"))[0]
+    text = open(f"{folder}/{part}", encoding="utf-8").read()
+    with open(f"{folder}/{part}", "w", encoding="utf-8") as f:
+        f.write(text.replace('"user":"ann"', '"user":"bob"', 1))
+    crc = f"{folder}/.{part}.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    assert {(r["run"], r["ok"]) for r in audit_log.verify(spark, log).collect()} >= {("a", False), ("nothing", True)}
+
+
+def test_failures_are_logged_as_failures(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a@b.com", "k"), (2, "a@b.com", "lost"), (3, "none", "lost"), (4, None, "k")], "doc_id long, text string, key string")
+    out = Outputs(*(str(tmp_path / n) for n in ("masked", "reports", "audit")))
+    for _ in range(2):
+        run_protect(docs, out, "encrypt", NOW, keys=key_ring(spark, {"k": KEY}), key_id="key", user="ann", resume=True)
+    said = {r["file"]: (r["status"], r["error"], r["pii_total"], r["output_file"]) for r in audit_log.read_events(spark, out.audit_log).collect()}
+    assert audit_log.read_events(spark, out.audit_log).count() == 4
+    assert said["doc_1.md"] == (None, None, 1, "doc_1.md") and said["doc_3.md"] == (None, None, 0, "doc_3.md")
+    assert said["doc_2.md"] == ("error", "unknown key", None, None)
+    assert {r["doc_id"]: r["error"] for r in spark.read.parquet(out.documents).collect()}[2] == "unknown key"
+
+
+def test_salt_is_asked_for_and_in_no_plan(spark):
+    found = detect(spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string"))
+    with pytest.raises(ValueError, match="salt"):
+        mask(found, "anonymize")
+    masked = mask(found, "anonymize", salt="very secret")
+    assert "secret" not in masked._jdf.queryExecution().toString() and "_salt" not in masked.columns
 
 
 def test_normalized_before_detection(spark):
