@@ -147,10 +147,13 @@ def build_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_back(nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """What the laid-out tree says of each conversation, read turn by turn along its path."""
-    held = nodes.select("node", "segment", "loss", "some_conv", "uses")
+    """What the laid-out tree says of each conversation, read turn by turn along its path.
+
+    The position ids of the nodes have to follow each other along the path; else the job ends with an error.
+    """
+    held = nodes.select("node", "segment", "loss", "position", "some_conv", "uses")
     walked = attach_groups(steps, held, ["node"], "conv", "some_conv", "uses")
-    ordered = walked.repartition("conv").sortWithinPartitions("conv", "depth").select("conv", "segment", "loss")
+    ordered = walked.repartition("conv").sortWithinPartitions("conv", "depth").select("conv", "segment", "loss", "position")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state = None, None
@@ -160,11 +163,13 @@ def read_back(nodes: DataFrame, steps: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for c, segment, loss in batch.itertuples(index=False):
+            for c, segment, loss, position in batch.itertuples(index=False):
                 if c != conv:
                     if conv is not None:
                         out.append(result())
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                if position != state[4]:
+                    raise ValueError(f"conversation {conv}: a turn at {position}, expected at {state[4]}")
                 role, text = parse_turn(segment)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
@@ -179,3 +184,9 @@ def read_back(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     NAMES = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     schema = "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return ordered.mapInPandas(run, schema).select(F.col("conv").try_cast("long").alias("conv_id"), *NAMES[1:])
+
+
+def attended(intervals: DataFrame) -> DataFrame:
+    """conv_id, n_intervals and attended_chars: how much of the layout each conversation attends to."""
+    sums = intervals.groupBy("conv").agg(F.count("*").alias("n_intervals"), F.sum(F.col("end") - F.col("start")).alias("attended_chars"))
+    return sums.select(F.col("conv").try_cast("long").alias("conv_id"), "n_intervals", "attended_chars")

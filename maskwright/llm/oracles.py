@@ -31,7 +31,8 @@ WITH t AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(role) + length(escaped) + length('<||><|end|>')) AS BIGINT) AS formatted_chars
+  CAST(sum(length(role) + length(escaped) + length('<||><|end|>')) AS BIGINT) AS formatted_chars,
+  CAST(sum(length(role) + length(escaped) + length('<||><|end|>')) AS BIGINT) AS attended_chars
 FROM f GROUP BY conv_id
 """
 

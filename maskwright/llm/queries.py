@@ -58,8 +58,10 @@ def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     rows = [(-1, 0, "user", said), (-1, 1, "assistant", said)]
-    nodes, steps, _ = chattree.build_tree(turns.unionByName(spark.createDataFrame(rows, turns.schema)))
-    return chattree.read_back(nodes, steps)
+    nodes, steps, intervals = chattree.build_tree(turns.unionByName(spark.createDataFrame(rows, turns.schema)))
+    told = chattree.read_back(nodes, steps)
+    seen = chattree.attended(intervals).select(F.col("conv_id").alias("_seen"), "attended_chars")
+    return told.join(seen, F.col("conv_id").eqNullSafe(F.col("_seen"))).drop("_seen")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

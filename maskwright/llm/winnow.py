@@ -108,6 +108,9 @@ def _range_of(bounds: list[int]):
 def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Fingerprints of each text, of its edited text, and how alike they are; see the query's contract.
 
+    ``places`` has where the chosen grams begin, in order, as little-endian unsigned 32-bit integers: two
+    of them are never more than ``window`` apart.
+
     The next document of each is that of the next smaller id. Rows are dealt by ranges of
     ids that end at ids of the table; the row at the end of a range also goes, as a guest,
     to the range above. So texts are shuffled once, and tasks stream through sorted rows.
@@ -128,7 +131,8 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, t
     def compared(ids: list, texts: list[str], following: list[str]) -> pd.DataFrame:
         halves = [len(t) // 2 for t in texts]
         edited = [t[: len(t) - h] + n[:h] for t, n, h in zip(texts, following, halves, strict=True)]
-        sets = [np.unique(f[0]) for f in winnow(texts + edited + following[-1:], gram, window)]
+        prints = winnow(texts + edited + following[-1:], gram, window)
+        sets = [np.unique(f[0]) for f in prints]
         n = len(texts)
         after = [sets[i + 1] if following[i] is texts[i + 1] else None for i in range(n - 1)] + [sets[-1]]
         for i in [i for i, s in enumerate(after) if s is None]:
@@ -142,6 +146,7 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, t
                 "edited_fingerprint": [s.astype(">u4").tobytes().hex() for s in sets[n : 2 * n]],
                 "near_edited": [likeness(sets[i], sets[n + i]) for i in range(n)],
                 "near_next": [likeness(sets[i], after[i]) for i in range(n)],
+                "places": [f[1].astype("<u4").tobytes() for f in prints[:n]],
             }
         )
 
@@ -175,5 +180,5 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, t
 
     return ordered.mapInPandas(
         run,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, places binary",
     )
