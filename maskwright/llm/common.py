@@ -21,6 +21,10 @@ SALTS = 16
 BROADCAST_IDS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 CHUNK_CHARS = 200_000
+ROW_BYTES = 400
+ARROW_ROWS, ARROW_BYTES = "2000", "4m"
+#: large blocks go back to the system when they are freed, and Arrow takes its own from the same place
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1000000", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,6 +79,14 @@ def in_chunks(sizes: Sequence[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield begin, len(sizes)
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Small Arrow batches, and Python workers that give memory back; before the first Python function of a session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def map_texts(
     rows: DataFrame,
     run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
@@ -84,14 +96,15 @@ def map_texts(
 ) -> DataFrame:
     """``mapInPandas`` over frames of about ``limit`` bytes of ``column``, however large Arrow's batches are.
 
-    Integers with nulls among them stay exact.
+    A row counts ``ROW_BYTES`` besides, so frames of short texts are bounded too. Integers with nulls among them stay exact.
     """
+    lean_workers(rows.sparkSession)
     made = to_arrow_schema(StructType.fromDDL(schema))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def frames() -> Iterator[pd.DataFrame]:
             for batch in batches:
-                sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+                sizes = (pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy() + ROW_BYTES).tolist()
                 for a, b in in_chunks(sizes, limit):
                     yield batch.slice(a, b - a).to_pandas(integer_object_nulls=True)
 
@@ -105,6 +118,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder; also lets Python workers of this machine import the package."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    lean_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -234,7 +234,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str
             low.append(batch["low"].to_numpy(np.float32))
             rows.append(np.frombuffer(b"".join(batch["row"]), np.float16).reshape(len(batch), -1))
         if rows:
-            yield pd.DataFrame({"weights": [fit(np.concatenate(rows), np.concatenate(low)).tobytes()]})
+            whole = np.concatenate(rows)
+            rows.clear()
+            yield pd.DataFrame({"weights": [fit(whole, np.concatenate(low)).tobytes()]})
 
     picked = _texts(docs, text, doc_id)
     if share < 1:

@@ -113,7 +113,7 @@ def test_frames_follow_the_size_of_texts(spark):
     docs = spark.createDataFrame([(i, "x" * (100 if i != 5 else 5000)) for i in range(40)], "doc_id long, text string").coalesce(1)
     sizes = common.map_texts(docs, lambda frames: (f.assign(n=len(f))[["doc_id", "n"]] for f in frames), "doc_id long, n long", limit=1000)
     found = {r["doc_id"]: r["n"] for r in sizes.collect()}
-    assert len(found) == 40 and max(found.values()) == 10 and found[5] <= 10
+    assert len(found) == 40 and max(found.values()) == 2 and found[5] <= 2
 
 
 def test_texts_longer_than_a_chunk(spark):
