@@ -457,6 +457,10 @@ def oracle_sql() -> dict[str, str]:
             ]
         )
     )
+    sql["file_inventory"] = (
+        "SELECT coalesce(source, 'none') AS source, count(*) AS documents, CAST(1 AS BIGINT) AS files,"
+        " CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1"
+    )
     sql["audit_committed"] = (
         f"WITH {FOUND}, {DOC_COUNTS}, {FILES}, {OLD} "
         + event_select(

@@ -327,8 +327,15 @@ def read_docs(spark, sf):
 
 
 def file_inventory_query(spark, sf):
-    found = file_inventory(spark, sf)
-    return found.select(tx.basename(F.col("path")).alias("file"), "length")
+    """The documents written as one text file per source, listed, and set beside the table again."""
+    docs = table(spark, sf, "documents").select("source", "text")
+    out = scratch_path(spark, "files")
+    rows = docs.select(F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("source").write.partitionBy("source").text(out)
+    listed = file_inventory(spark, out).where(F.col("path").contains("/part-") & ~F.col("path").endswith(".crc"))
+    found = listed.select(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), "length")
+    files = found.groupBy("source").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return rows.groupBy("source").agg(F.count("*").alias("documents")).join(files, "source")
 
 
 def extract_text_job(spark, sf):

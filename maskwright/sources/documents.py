@@ -2,73 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from datetime import datetime, timezone
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_pdf, unify_newlines
-
-
-LISTED = "path string, mtime timestamp, length long"
-
-
-def _hidden(name: str) -> bool:
-    """Whether Spark's readers leave out files and folders of this name."""
-    if name.startswith(("_common_metadata", "_metadata")):
-        return False
-    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
-
-
-def hidden_files(spark: SparkSession, paths: Sequence[str], glob: str | None = None) -> list[tuple[str, datetime, int]]:
-    """path, mtime and length of the files that Spark's readers leave out, or that lie in folders they leave out.
-
-    Folders are listed one by one on the driver, through Hadoop's file systems.
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    wanted = jvm.org.apache.hadoop.fs.GlobFilter(glob) if glob is not None else None
-
-    def walk(fs, status, hidden: bool) -> Iterator[tuple[str, datetime, int]]:
-        todo = [(status, hidden)]
-        while todo:
-            found, hidden = todo.pop()
-            if found.isDirectory():
-                todo += [(x, hidden or _hidden(x.getPath().getName())) for x in fs.listStatus(found.getPath())]
-            elif hidden and (wanted is None or wanted.accept(found.getPath())):
-                changed = datetime.fromtimestamp(found.getModificationTime() / 1000, timezone.utc)
-                yield found.getPath().toString(), changed, found.getLen()
-
-    files = []
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        fs = at.getFileSystem(conf)
-        for status in fs.globStatus(at) or []:
-            files += walk(fs, status, status.isFile() and _hidden(status.getPath().getName()))
-    return files
+from maskwright.sources.listing import can_list, expand_globs, hidden_files, list_tree
 
 
 def read_files(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """Whole files as ``path, mtime, length, content``; columns not asked for are not read.
 
-    Files that Spark's readers leave out (names that begin with a dot or an underscore, and
+    Files that vanish during the scan are left out. Files that Spark's readers leave out (names that begin with a dot or an underscore, and
     all in folders of such names) are rows without content, hence errors for those who read it.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     paths = [path] if isinstance(path, str) else list(path)
     files = reader.load(paths).withColumnRenamed("modificationTime", "mtime")
     hidden = hidden_files(spark, paths, glob)
-    if not hidden:
-        return files
-    return files.unionByName(spark.createDataFrame(hidden, LISTED).withColumn("content", F.lit(None).cast("binary")))
+    return files.unionByName(hidden.withColumn("content", F.lit(None).cast("binary")))
 
 
 def file_inventory(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """The files of a directory tree with time and size; their content is not read."""
-    return read_files(spark, path).select("path", "mtime", "length")
+    """The files of a directory tree with time and size; their content is not read.
+
+    Where tasks can list the store, hidden files are listed with all others, in one walk.
+    """
+    folders, files = expand_globs(spark, [path] if isinstance(path, str) else list(path))
+    if files or not all(map(can_list, folders)):
+        return read_files(spark, path).select("path", "mtime", "length")
+    return list_tree(spark, folders).select("path", "mtime", "length")
 
 
 def decode_text(content: Column) -> Column:

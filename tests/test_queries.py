@@ -9,7 +9,7 @@ from checks.compare import compare, connect
 
 def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(own.queries()) - set(contract.oracle_sql()) == {"file_inventory"}
+    assert set(own.queries()) - set(contract.oracle_sql()) == {"tag_names", "mask_names"}
 
 
 def test_entry(spark, sf):

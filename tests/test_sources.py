@@ -15,7 +15,7 @@ from maskwright.operators.models import detect_with_model, first_working, locate
 from maskwright.operators.training import chat_messages, masking_prompt, with_split
 from maskwright.operators.upload import upload_manifest
 from maskwright.session import fits_broadcast, lookup_join, scratch_path
-from maskwright.sources.documents import file_inventory, load_split, quarantine, read_documents, route
+from maskwright.sources.documents import file_inventory, load_split, quarantine, read_documents, read_files, route
 from maskwright.sources.pdf import PDF_EXTRACTORS
 from maskwright.sources.sinks import check_encryption, encryption_settings, use_encryption, write_documents
 
@@ -255,3 +255,47 @@ def test_training_rows(spark):
     one, two = with_split(rows, "doc_id"), with_split(rows.repartition(7), "doc_id")
     assert sorted(one.collect()) == sorted(two.collect())
     assert 900 < one.where("split = 'test'").count() < 1100
+
+
+def test_listing_equals_a_walk(spark, tmp_path):
+    """Hidden files and folders, links, unreadable folders and odd names, at several depths."""
+    from maskwright.sources.listing import list_tree
+
+    names = ["a.md", ".env", "_x.md", "_tmp/c.md", "d/e/f/g.txt", "d/.h/i", "d/part=1/j.md", "d/e/k é.md", "d/e/l%20.md", "m._COPYING_"]
+    for name in names:
+        at = tmp_path / "tree" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(name)
+    (tmp_path / "tree" / "empty").mkdir()
+    (tmp_path / "tree" / "link").symlink_to(tmp_path / "tree" / "d")
+    (tmp_path / "tree" / "gone").symlink_to(tmp_path / "nowhere")
+    root = str(tmp_path / "tree")
+    want = {os.path.join(d, f) for d, _, files in os.walk(root) for f in files if os.path.exists(os.path.join(d, f))}
+    listed = {r["path"].removeprefix("file:"): r for r in list_tree(spark, [root]).collect()}
+    assert set(listed) == want and all(r["length"] == os.path.getsize(p) and r["error"] is None for p, r in listed.items())
+    assert {p.removeprefix(root + "/") for p, r in listed.items() if r["hidden"]} == {".env", "_x.md", "_tmp/c.md", "d/.h/i", "m._COPYING_"}
+    assert abs(listed[f"{root}/a.md"]["mtime"].timestamp() - os.path.getmtime(f"{root}/a.md")) < 90_000
+    assert list_tree(spark, []).count() == list_tree(spark, [str(tmp_path / "nowhere")]).count() == 0
+    inventory = {r["path"].removeprefix("file:") for r in file_inventory(spark, root).collect()}
+    assert inventory == want
+    markdown = {r["path"].rsplit("/", 1)[-1] for r in read_files(spark, root, glob="*.md").select("path").collect()}
+    assert {"a.md", "_x.md", "c.md", "j.md"} <= markdown and ".env" not in markdown
+
+
+def test_folders_that_cannot_be_listed_are_reported(monkeypatch, tmp_path):
+    from maskwright.sources import listing
+
+    def refuse(path):
+        raise PermissionError(13, "Permission denied")
+
+    monkeypatch.setattr(listing.os, "scandir", refuse)
+    assert list(listing.list_folder(str(tmp_path))) == [(str(tmp_path), False, None, None, False, "Permission denied")]
+
+
+@pytest.mark.parametrize("glob,yes,no", [("*.md", "a.md", "a.mdx"), ("a?[0-9].{md,txt}", "ab1.txt", "ab1.pdf"), ("[!a]*", "b", "ab"), ("a.b", "a.b", "axb")])
+def test_glob_patterns(glob, yes, no):
+    import re
+
+    from maskwright.sources.listing import glob_pattern
+
+    assert re.match(glob_pattern(glob), yes) and not re.match(glob_pattern(glob), no)
