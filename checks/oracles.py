@@ -348,6 +348,15 @@ def oracle_sql() -> dict[str, str]:
         ("mask_encrypt_shape", ENCRYPT_SHAPE),
     ):
         sql[key] = f"WITH {FOUND},\n{masked_cte(replacement)} SELECT id AS doc_id, masked FROM masked"
+    ranked = (
+        "numbered AS (SELECT k.*, n FROM kept k JOIN (SELECT entity_type, text, dense_rank() OVER (PARTITION BY entity_type ORDER BY text) AS n"
+        " FROM (SELECT DISTINCT entity_type, text FROM kept)) r ON r.entity_type = k.entity_type AND r.text = k.text)"
+    )
+    sql["mask_numbered_corpus"] = (
+        f"WITH {FOUND},\n{ranked},\n"
+        + masked_cte("'[' || entity_type || '_' || CAST(n AS VARCHAR) || ']'", "numbered")
+        + " SELECT id AS doc_id, masked FROM masked"
+    )
     policy = (
         "policed AS (SELECT * FROM kept WHERE entity_type <> 'IP_ADDRESS')"
     )
@@ -484,6 +493,7 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {FILES}, {OLD} SELECT e.event_id, e.event_type, e.value FROM events e JOIN files f ON f.event_id = e.event_id"
         " WHERE f.path NOT IN (SELECT path FROM old)"
     )
+    sql["retained_in_place"] = sql["retained_rows"]
     sql["emptied_dirs"] = (
         f"WITH {FILES}, gone AS (SELECT path FROM files WHERE mtime < {EPOCH_DAY} - INTERVAL 3 DAY),"
         " up AS (SELECT path, '/data/' || split_part(path, '/', 3) AS dir FROM files"
@@ -543,6 +553,24 @@ def oracle_sql() -> dict[str, str]:
         f"raw AS (SELECT id, {MATCH_COLUMNS} FROM pattern UNION ALL SELECT id, {MATCH_COLUMNS} FROM named),\n"
         f"{resolved_cte()},\n{masked_cte(REDACTED)} SELECT id AS doc_id, masked FROM masked"
     )
+    half = terms_cte().replace("FROM customer UNION", "FROM customer WHERE CAST(right(c_name, 1) AS INT) % 2 = 0 UNION", 1)
+    sql["detection_scores"] = (
+        f"WITH {LEASED},\n{half},\n{matches_cte('src', prefix='pattern')},\n"
+        f"raw AS (SELECT id, {MATCH_COLUMNS} FROM pattern UNION ALL SELECT id, {MATCH_COLUMNS} FROM named),\n{resolved_cte()},\n"
+        "found AS (SELECT * FROM kept WHERE entity_type IN ('PERSON', 'ORGANIZATION', 'LOCATION')),"
+        " facts AS (SELECT s.id, length(s.text) AS n, length(c_name) AS c, length(n_name) AS k FROM src s JOIN customer"
+        " ON c_custkey = s.id % (SELECT count(*) FROM customer) JOIN nation ON n_nationkey = c_nationkey),"
+        " known AS (SELECT id, 'PERSON' AS entity_type, 8 AS a, 8 + c AS b FROM facts"
+        " UNION ALL SELECT id, 'ORGANIZATION', c + 19, c + 19 + k + 12 FROM facts"
+        " UNION ALL SELECT id, 'PERSON', n - k - c - 3, n - k - 3 FROM facts UNION ALL SELECT id, 'LOCATION', n - k - 1, n - 1 FROM facts),"
+        " hits AS (SELECT f.entity_type, count(*) AS r FROM found f JOIN known k ON k.id = f.id AND k.entity_type = f.entity_type"
+        " AND f.start < k.b AND k.a < f.\"end\" WHERE (least(f.\"end\", k.b) - greatest(f.start, k.a))"
+        " / (greatest(f.\"end\", k.b) - least(f.start, k.a)) > 0.5 GROUP BY 1),"
+        " f AS (SELECT entity_type, count(*) AS n FROM found GROUP BY 1), k AS (SELECT entity_type, count(*) AS n FROM known GROUP BY 1)"
+        " SELECT k.entity_type, coalesce(f.n, 0) AS found, k.n AS known, coalesce(r, 0) AS \"right\","
+        " CASE WHEN f.n > 0 THEN coalesce(r, 0) / f.n END AS precision, coalesce(r, 0) / k.n AS recall"
+        " FROM k LEFT JOIN f ON f.entity_type = k.entity_type LEFT JOIN hits h ON h.entity_type = k.entity_type"
+    )
     sql["stream_mask"] = f"WITH {FOUND},\n{masked_cte(ANONYMIZED)} SELECT id AS doc_id, masked FROM masked"
     sql["protect_by_source"] = (
         f"WITH {FOUND} SELECT source, count(*) AS documents, CAST(sum(coalesce(n, 0)) AS BIGINT) AS spans,"

@@ -18,9 +18,11 @@ from maskwright.functions import text as tx
 from maskwright.operators import audit, audit_log, retention
 from maskwright.operators.detect import MARKER_PATTERN, detect, filter_by_list, filter_entities, matches
 from maskwright.operators.dictionary import dictionary_spans, with_dictionary
+from maskwright.operators.evaluate import scores
 from maskwright.operators.extract import assemble_pages, extract_text
 from maskwright.operators.mask import mask, mask_numbered, masking_error, placeholder_counts
 from maskwright.operators.models import detect_with_model, locate_entities, model_extract, parse_entities
+from maskwright.operators.numbering import mask_with_numbers, number_texts
 from maskwright.operators.report import (
     entity_counts,
     entity_rollup,
@@ -34,7 +36,8 @@ from maskwright.operators.training import chat_messages, entities_of, masking_pr
 from maskwright.operators.unmask import unmask, unmask_items
 from maskwright.operators.upload import upload_manifest
 from maskwright.plans.protect import protect
-from maskwright.session import lookup_join, scratch_path, spread
+from maskwright.session import lookup_join, scratch_path, spread, written
+from maskwright.sources import versioned
 from maskwright.sources.documents import decode_documents, file_inventory, route
 from maskwright.streaming.protect_stream import document_stream, protect_stream
 
@@ -177,6 +180,13 @@ def mask_numbered_query(spark, sf):
     return mask_numbered(detect(documents(spark, sf))).select("doc_id", "masked")
 
 
+def mask_numbered_corpus(spark, sf):
+    """The same text has the same number in all documents."""
+    found = written(detect(documents(spark, sf)), "found")
+    numbers = number_texts(found.select(F.expr("inline(spans)")))
+    return mask_with_numbers(found, written(numbers, "numbers")).select("doc_id", "masked")
+
+
 def mask_policy(spark, sf):
     policy = {"EMAIL_ADDRESS": "redact", "IP_ADDRESS": "keep"}
     return mask(detect(documents(spark, sf)), "anonymize", policy=policy, salt=SALT).select("doc_id", "masked")
@@ -453,6 +463,24 @@ def leased_documents(spark, sf):
     return leases, terms
 
 
+def detection_scores(spark, sf):
+    """Patterns and a dictionary of half the customers, set against the names in all leases."""
+    leases, terms = leased_documents(spark, sf)
+    half = terms.where("entity_type <> 'PERSON' OR term LIKE '%0' OR term LIKE '%2' OR term LIKE '%4' OR term LIKE '%6' OR term LIKE '%8'")
+    found = span_rows(detect(with_dictionary(leases, half), also="dictionary_spans"))
+    named = F.regexp_extract_all("text", F.lit(r"Customer#[0-9]+|NATION_[0-9]+ Holdings Co|NATION_[0-9]+"), F.lit(0))
+    known = leases.select("doc_id", F.length("text").alias("n"), named.alias("names"))
+    tenant, signer = F.col("names")[0], F.col("names")[1]
+    agent, place = F.element_at("names", -2), F.element_at("names", -1)
+    spans = [
+        ("PERSON", F.lit(8), tenant), ("ORGANIZATION", F.length(tenant) + 19, signer),
+        ("PERSON", F.col("n") - F.length(place) - F.length(agent) - 3, agent), ("LOCATION", F.col("n") - F.length(place) - 1, place),
+    ]
+    rows = F.array(*[F.struct(F.lit(t).alias("entity_type"), s.alias("start"), (s + F.length(w)).alias("end")) for t, s, w in spans])
+    wanted = found.where(F.col("entity_type").isin("PERSON", "ORGANIZATION", "LOCATION"))
+    return scores(wanted, known.select("doc_id", F.explode(rows).alias("s")).select("doc_id", "s.*"))
+
+
 def mask_all(spark, sf):
     """Patterns and names in one mask, over whole documents."""
     leases, terms = leased_documents(spark, sf)
@@ -559,6 +587,17 @@ def retained_rows(spark, sf):
     return retention.retained(events, _old(spark, sf), "event_id").select("event_id", "event_type", "value")
 
 
+def retained_in_place(spark, sf):
+    """The same rows as ``retained_rows``, out of a table whose files were rewritten only where rows had expired."""
+    path = scratch_path(spark, "events")
+    events = table(spark, sf, "events")
+    versioned.create(events, path, per_file=max(100, events.count() // 40))
+    gone = _old(spark, sf).where("event_id % 50 < 25").select("event_id")
+    versioned.delete_rows(spark, path, gone, "event_id")
+    versioned.delete_rows(spark, path, _old(spark, sf).select("event_id"), "event_id")
+    return versioned.read(spark, path).select("event_id", "event_type", "value")
+
+
 def emptied_dirs(spark, sf):
     return retention.emptied_dirs(inventory(spark, sf), retention.expired(3, retention_now()), "/data")
 
@@ -686,6 +725,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mask_redact": mask_redact,
         "mask_anonymize": mask_anonymize,
         "mask_numbered": mask_numbered_query,
+        "mask_numbered_corpus": mask_numbered_corpus,
         "mask_policy": mask_policy,
         "masked_items": masked_items,
         "placeholder_counts": placeholder_counts_query,
@@ -711,12 +751,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mask_model_answers": mask_model_answers,
         "gazetteer_join": gazetteer_join,
         "mask_all": mask_all,
+        "detection_scores": detection_scores,
         "tag_names": tag_names,
         "mask_names": mask_names,
         "old_files": old_files,
         "retention_plan": retention_plan,
         "retention_summary": retention_summary,
         "retained_rows": retained_rows,
+        "retained_in_place": retained_in_place,
         "emptied_dirs": emptied_dirs,
         "audit_pii": audit_pii,
         "audit_all": audit_all,

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.operators.audit import EVENT_SCHEMA
+from maskwright.sources.commits import exists, publish
 
 LEAVES = 512
 MANIFEST = "run string, attempt string, events long, depth int, root string"
@@ -56,19 +57,13 @@ def _depth(events: int) -> int:
     return depth
 
 
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
-
-
 def _name(run: str) -> str:
     """A file name of a run: itself if it is plain, else with a digest of it."""
     return run if re.fullmatch(r"[0-9A-Za-z][0-9A-Za-z_-]*", run) else f"run-{hashlib.sha256(run.encode()).hexdigest()[:32]}"
 
 
 def committed(spark: SparkSession, log: str, run: str) -> bool:
-    fs, at = _files(spark, f"{log}/manifests/{_name(run)}.json")
-    return fs.exists(at)
+    return exists(spark, f"{log}/manifests/{_name(run)}.json")
 
 
 def stage_events(events: DataFrame, log: str, run: str) -> str:
@@ -89,18 +84,7 @@ def commit_events(spark: SparkSession, log: str, run: str, attempt: str) -> None
     depth = _depth(events)
     found = merkle_roots(lines, depth).first() if events else None
     said = {"run": _name(run), "attempt": attempt, "events": events, "depth": depth, "root": found["root"] if found else hashlib.sha256().hexdigest()}
-    fs, folder = _files(spark, f"{log}/manifests")
-    fs.mkdirs(folder)
-    if committed(spark, log, run):
-        return
-    jvm = spark.sparkContext._jvm
-    new = jvm.org.apache.hadoop.fs.Path(folder, f".{_name(run)}.{attempt}")
-    out = fs.create(new, True)
-    out.write(bytearray(json.dumps(said).encode()))
-    out.close()
-    # the name appears with its content, or not at all
-    if not fs.rename(new, jvm.org.apache.hadoop.fs.Path(folder, f"{_name(run)}.json")):
-        fs.delete(new, False)
+    publish(spark, f"{log}/manifests/{_name(run)}.json", json.dumps(said))
 
 
 def append_events(events: DataFrame, log: str, run: str | None = None) -> None:
@@ -112,16 +96,14 @@ def append_events(events: DataFrame, log: str, run: str | None = None) -> None:
 
 def manifests(spark: SparkSession, log: str) -> DataFrame:
     """A row per committed run."""
-    fs, folder = _files(spark, f"{log}/manifests")
-    if not fs.exists(folder):
+    if not exists(spark, f"{log}/manifests"):
         return spark.createDataFrame([], MANIFEST)
     return spark.read.schema(MANIFEST).json(f"{log}/manifests")
 
 
 def _of_committed(spark: SparkSession, log: str, schema: T.StructType, format: str) -> DataFrame:
-    fs, folder = _files(spark, f"{log}/data")
     whole = T.StructType([*schema.fields, *_RUN.fields])
-    if not fs.exists(folder):
+    if not exists(spark, f"{log}/data"):
         return spark.createDataFrame([], whole)
     rows = spark.read.schema(whole).format(format).load(f"{log}/data")
     return rows.join(manifests(spark, log).select("run", "attempt"), ["run", "attempt"], "left_semi")
