@@ -543,7 +543,8 @@ def oracle_sql() -> dict[str, str]:
     sql["extract_text_job"] = (
         f"SELECT page_id, CASE page_id % 3 WHEN 2 THEN NULL ELSE {NORMALIZED.replace('(text,', '(html,')} END AS text,"
         " CASE page_id % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' END AS extractor,"
-        " CASE page_id % 3 WHEN 2 THEN 'no extractor gave text' END AS error FROM pages"
+        " CASE page_id % 3 WHEN 2 THEN 'no extractor gave text' END AS error,"
+        " CASE page_id % 3 WHEN 2 THEN 'second: not this format' END AS reasons FROM pages"
     )
     sql["gazetteer_join"] = (
         f"WITH {LEASES}, {terms_cte()} SELECT id AS c_custkey, start, \"end\", entity_type, text FROM named"
@@ -571,6 +572,35 @@ def oracle_sql() -> dict[str, str]:
         " CASE WHEN f.n > 0 THEN coalesce(r, 0) / f.n END AS precision, coalesce(r, 0) / k.n AS recall"
         " FROM k LEFT JOIN f ON f.entity_type = k.entity_type LEFT JOIN hits h ON h.entity_type = k.entity_type"
     )
+    some = [r for r in RULES if r[0] in ("CREDIT_CARD", "PHONE_NUMBER")]
+    sql["preserve_roundtrip"] = (
+        f"WITH {DOCS},\n{matches_cte('src', some)} SELECT id AS doc_id, text, true AS valid, true AS alike,"
+        " id IN (SELECT id FROM raw) AS changed FROM src"
+    )
+    made = "epoch(CASE d.doc_id % 3 WHEN 0 THEN TIMESTAMP '2024-03-01' WHEN 1 THEN TIMESTAMP '2024-08-01' ELSE TIMESTAMP '2025-02-01' END)"
+    tokens = (
+        "tokens AS (SELECT k.id, lang, CAST(row_number() OVER (PARTITION BY k.id ORDER BY k.start) - 1 AS INT) AS n,"
+        f" CAST({made} AS BIGINT) AS made FROM kept k JOIN documents d ON d.doc_id = k.id),"
+        " versions AS (SELECT l AS lang, CAST(epoch(t) AS BIGINT) AS since FROM (VALUES ('en'), ('de'), ('fr'), ('es')) x(l),"
+        " (VALUES (TIMESTAMP '2024-01-01'), (TIMESTAMP '2024-07-01'), (TIMESTAMP '2025-01-01')) y(t)"
+        " WHERE NOT (l = 'es' AND t = TIMESTAMP '2024-01-01')),"
+        " aged AS (SELECT t.id, t.n, t.made, v.since FROM tokens t ASOF LEFT JOIN versions v ON v.lang = t.lang AND t.made >= v.since)"
+    )
+    sql["key_versions"] = f"WITH {FOUND}, {tokens} SELECT id AS doc_id, n, made, since AS valid_from FROM aged"
+    sql["rotate_keys"] = (
+        f"WITH {FOUND}, {tokens}, told AS (SELECT id, count(*) AS f, count(since) AS g FROM aged GROUP BY id)"
+        " SELECT s.id AS doc_id, CAST(coalesce(f, 0) AS INT) AS markers_found, CAST(coalesce(g, 0) AS INT) AS markers_decrypted,"
+        " CASE WHEN coalesce(f, 0) = coalesce(g, 0) THEN s.text END AS text FROM src s LEFT JOIN told t ON t.id = s.id"
+    )
+    sql["read_text_files"] = (
+        "SELECT coalesce(source, 'none') AS source, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars,"
+        " false AS returns, CAST(NULL AS VARCHAR) AS error FROM documents GROUP BY 1"
+    )
+    sql["sft_train_rows"] = (
+        f"WITH {FOUND}, en AS (SELECT id, {entities_json} AS j FROM kept GROUP BY id)"
+        f" SELECT {PROMPT.format(text='d.text')} AS user_content, coalesce(en.j, '[]') AS assistant_content"
+        f" FROM (SELECT id AS doc_id, id, text FROM src) d LEFT JOIN en ON en.id = d.id WHERE {SPLIT} = 'train'"
+    )
     sql["stream_mask"] = f"WITH {FOUND},\n{masked_cte(ANONYMIZED)} SELECT id AS doc_id, masked FROM masked"
     sql["protect_by_source"] = (
         f"WITH {FOUND} SELECT source, count(*) AS documents, CAST(sum(coalesce(n, 0)) AS BIGINT) AS spans,"

@@ -33,12 +33,13 @@ from maskwright.operators.report import (
 )
 from maskwright.operators.tagger import tag, train_tagger
 from maskwright.operators.training import chat_messages, entities_of, masking_prompt, with_split
-from maskwright.operators.unmask import unmask, unmask_items
+from maskwright.operators.rotation import rotate, token_versions, version_ring
+from maskwright.operators.unmask import restore_preserved, unmask, unmask_items
 from maskwright.operators.upload import upload_manifest
 from maskwright.plans.protect import protect
 from maskwright.session import lookup_join, scratch_path, spread, written
 from maskwright.sources import versioned
-from maskwright.sources.documents import decode_documents, file_inventory, route
+from maskwright.sources.documents import decode_documents, file_inventory, load_split, read_documents, route
 from maskwright.streaming.protect_stream import document_stream, protect_stream
 
 SALT = "pepper"
@@ -238,6 +239,50 @@ def wrong_key_keeps(spark, sf):
     )
 
 
+def preserve_roundtrip(spark, sf):
+    """Digits encrypted to digits and back; whether all card numbers still pass their test."""
+    keys = key_ring(spark, {"k": KEY})
+    found = detect(documents(spark, sf), entities=["CREDIT_CARD", "PHONE_NUMBER"])
+    masked = mask(found, "preserve", keys=keys)
+    cards = F.expr("forall(filter(items, e -> e.entity_type = 'CREDIT_CARD'), e -> luhn_check(regexp_replace(substring(masked, e.start + 1, e.end - e.start), '[^0-9]', '')))")
+    back = restore_preserved(masked.withColumn("valid", cards), keys, into="restored")
+    alike = F.regexp_replace("masked", "[0-9]", "0") == F.regexp_replace("text", "[0-9]", "0")
+    return back.select("doc_id", F.col("restored").alias("text"), "valid", alike.alias("alike"), (F.col("masked") != F.col("text")).alias("changed"))
+
+
+# when the tokens of a document were made, by its id, and since when each language has which key
+MADE = (datetime(2024, 3, 1, tzinfo=timezone.utc), datetime(2024, 8, 1, tzinfo=timezone.utc), datetime(2025, 2, 1, tzinfo=timezone.utc))
+SINCE = (datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 7, 1, tzinfo=timezone.utc), datetime(2025, 1, 1, tzinfo=timezone.utc))
+THIRD_KEY = "YWJjZGVmZ2hpamtsbW5vcHFyc3R1dnd4eXowMTIzNDU="
+
+
+def _aged(spark, sf):
+    """Documents masked at three times with the keys of those times, and the keys, the first of which Spanish has not."""
+    versions = list(zip(SINCE, (KEY, OTHER_KEY, THIRD_KEY), strict=True))
+    ring = version_ring(spark, [(lang, since, key) for lang in ("en", "de", "fr", "es") for since, key in versions if (lang, key) != ("es", KEY)])
+    found = detect(documents(spark, sf, "doc_id", "text", "lang"))
+    parts = [
+        mask(found.where(F.col("doc_id") % 3 == k), "encrypt", keys=key_ring(spark, {"k": key}), now=MADE[k])
+        for k, (_, key) in enumerate(versions)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("text", "spans"), ring
+
+
+def key_versions(spark, sf):
+    masked, ring = _aged(spark, sf)
+    return token_versions(masked, ring, "lang")
+
+
+def rotate_keys(spark, sf):
+    """All tokens encrypted anew under one key, and read with it."""
+    masked, ring = _aged(spark, sf)
+    keys = key_ring(spark, {"new": THIRD_KEY})
+    again = rotate(masked, ring, "lang", keys, NOW).drop("markers_found", "markers_decrypted")
+    restored = unmask(again, keys)
+    known = F.col("markers_found") == F.col("markers_decrypted")
+    return restored.select("doc_id", "markers_found", "markers_decrypted", F.when(known, F.col("text")).alias("text"))
+
+
 def protect_by_source(spark, sf):
     """The whole job in one stage, then counts by source."""
     docs = documents(spark, sf, "doc_id", "text", "source")
@@ -348,6 +393,16 @@ def file_inventory_query(spark, sf):
     return rows.groupBy("source").agg(F.count("*").alias("documents")).join(files, "source")
 
 
+def read_text_files(spark, sf):
+    """The documents written as one text file per source, with Windows line ends, and read as files."""
+    docs = table(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\r\n")).alias("value"))
+    out = scratch_path(spark, "texts")
+    docs.repartition("source").write.partitionBy("source").text(out)
+    read = read_documents(spark, out, glob="part-*.txt")
+    source = F.regexp_extract("path", "/source=([^/]*)/", 1)
+    return read.select(source.alias("source"), F.length("text").cast("long").alias("n_chars"), F.contains("text", F.lit("\r")).alias("returns"), "error")
+
+
 def extract_text_job(spark, sf):
     """Pages as binary files in two made-up formats, and a third that nothing can read."""
     case = F.col("page_id") % 3
@@ -680,6 +735,16 @@ def sft_messages(spark, sf):
     )
 
 
+def sft_train_rows(spark, sf):
+    """Chat rows of the split ``train``, written as a folder per split and loaded by name."""
+    out = scratch_path(spark, "splits")
+    found = written(with_split(detect(documents(spark, sf)), "doc_id"), "split")
+    for split in ("train", "test"):
+        found.where(F.col("split") == split).drop("split").write.parquet(f"{out}/{split}")
+    rows = chat_messages(load_split(spark, out, "train").select(F.col("text").alias("source_text"), entities_of().alias("entities")))
+    return rows.select(F.col("messages")[0]["content"].alias("user_content"), F.col("messages")[1]["content"].alias("assistant_content"))
+
+
 def sft_base_prompt(spark, sf):
     masked = mask_numbered(detect(documents(spark, sf)))
     return masked.select("doc_id", masking_prompt(F.col("text"), F.col("masked")).alias("prompt"))
@@ -734,6 +799,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "roundtrip_items": roundtrip_items,
         "marker_counts": marker_counts,
         "wrong_key_keeps": wrong_key_keeps,
+        "preserve_roundtrip": preserve_roundtrip,
+        "key_versions": key_versions,
+        "rotate_keys": rotate_keys,
         "protect_by_source": protect_by_source,
         "normalize_text": normalize_text,
         "assemble_pages": assemble_pages_query,
@@ -743,6 +811,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_kv_metadata": parse_kv_metadata,
         "read_docs": read_docs,
         "file_inventory": file_inventory_query,
+        "read_text_files": read_text_files,
         "extract_text_job": extract_text_job,
         "detect_with_model": detect_with_model_query,
         "model_extract": model_extract_query,
@@ -766,6 +835,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "job_events": job_events,
         "upload_manifest": upload_manifest_query,
         "sft_messages": sft_messages,
+        "sft_train_rows": sft_train_rows,
         "sft_base_prompt": sft_base_prompt,
         "sft_split": sft_split,
         "stream_mask": stream_mask,

@@ -33,8 +33,8 @@ def quoted(value: str | None) -> str:
 
 
 LAMBDA_NAMES = frozenset(
-    "a acc b bases before begins block blocks c ch chain chunks clash e entry f facts fixed found g gaps h i j k"
-    " kept kind lines m n now opened ordered p part pieces r raw reach rest s shift signed v vals w x".split()
+    "a acc b bases before begins block blocks body c ch chain chunks clash digits e entry f facts fixed found g gaps h i j k"
+    " kept kind lines m mac made n now opened ordered p part pieces r raw reach rest reversed s shift signed turned v vals w x".split()
 )
 
 

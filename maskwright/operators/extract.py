@@ -41,7 +41,8 @@ def extract_text(
     """Run text extractors on binary content; the first that gives text wins.
 
     Each extractor takes the bytes and returns a text or None; what it raises counts as
-    None. The result has ``text`` (normalised), ``extractor`` and ``error``. Parsers are
+    None. The result has ``text`` (normalised), ``extractor``, ``error`` and, where no text was found,
+    ``reasons``, what the extractors raised. Parsers are
     imported inside the extractors, on the workers. A later extractor runs only on the
     documents which the earlier ones could not read.
     """
@@ -49,28 +50,31 @@ def extract_text(
 
     def run(batches):
         for batch in batches:
-            texts, winners = [], []
+            texts, winners, reasons = [], [], []
             for data in batch[content]:
-                text, winner = None, None
+                text, winner, raised = None, None, []
                 for label, extractor in named:
                     try:
                         text = extractor(bytes(data)) if data is not None else None
-                    except Exception:
+                    except Exception as exc:
                         text = None
+                        raised.append(f"{label}: {exc}")
                     if text:
                         winner = label
                         break
                 texts.append(text or None)
                 winners.append(winner)
-            yield batch[list(keep)].assign(_text=texts, extractor=winners)
+                reasons.append("; ".join(raised) or None)
+            yield batch[list(keep)].assign(_text=texts, extractor=winners, reasons=reasons)
 
     kept = files.select(*keep, content)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema)
-    found = kept.mapInPandas(run, f"{schema}, _text string, extractor string")
+    found = kept.mapInPandas(run, f"{schema}, _text string, extractor string, reasons string")
     text = first_nonempty(F.col("_text"))
     return found.select(
         *keep,
         F.when(text.isNotNull(), normalize_text(text)).alias("text"),
         "extractor",
         F.when(text.isNull(), "no extractor gave text").alias("error"),
+        F.when(text.isNull(), F.col("reasons")).alias("reasons"),
     )

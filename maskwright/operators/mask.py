@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import fernet
 from maskwright.functions.fernet import KEY_COLUMNS, KeyRing
+from maskwright.functions.fpe import preserve
 from maskwright.functions.spans import ITEM, compute, empty, let, name, quoted, splice, spliced_items
 from maskwright.operators.detect import MARKER_CLOSE, MARKER_OPEN
 from maskwright.session import lookup_join
 
-OPERATORS = ("encrypt", "anonymize", "redact", "keep")
+OPERATORS = ("encrypt", "anonymize", "preserve", "redact", "keep")
+CARD = "s.entity_type = 'CREDIT_CARD'"
 PIECE = "struct<start:int,end:int,entity_type:string,new:string>"
 
 
@@ -76,6 +78,9 @@ def mask(
 
     - ``encrypt``: ``{{ENC:TYPE:token}}``, to be restored with the key;
     - ``anonymize``: ``[TYPE_n]``, n from a salted hash of the text, equal for equal texts;
+    - ``preserve``: its digits are encrypted to other digits and all else stays, to be restored with the key by
+      ``unmask.restore_preserved``; a card number still passes its test. A text with fewer than 6 digits, or more
+      than 36, is redacted;
     - ``redact``: ``<TYPE>``;
     - ``keep``: the text stays and is not listed in ``items``.
 
@@ -89,9 +94,12 @@ def mask(
     if wrong:
         raise ValueError(f"unknown operator {', '.join(sorted(wrong))}; use {', '.join(OPERATORS)}")
     used = {mode} | set(policy.values())
-    if "encrypt" in used:
-        if keys is None or now is None:
-            raise ValueError("encrypt needs keys and now")
+    if "encrypt" in used and now is None:
+        raise ValueError("encrypt needs keys and now")
+    keyed = bool(used & {"encrypt", "preserve"})
+    if keyed:
+        if keys is None:
+            raise ValueError("encrypt needs keys and now" if "encrypt" in used else "preserve needs keys")
         docs = with_keys(docs, keys, key_id, by, text)
     if "anonymize" in used:
         if not salt:
@@ -101,6 +109,7 @@ def mask(
         "encrypt": _encrypted(by, int(now.timestamp())) if now is not None else "",
         "anonymize": _anonymized(modulus),
         "redact": "concat('<', s.entity_type, '>')",
+        "preserve": f"coalesce({preserve('s.text', CARD)}, concat('<', s.entity_type, '>'))" if "preserve" in used else "",
         "keep": "s.text",
     }
     new = replacement[mode]
@@ -120,14 +129,14 @@ def mask(
     )
     untouched = f"named_struct({quoted(into)}, {name(text)}, 'items', {empty(ITEM)})"
     result = f"if(size({name(spans)}) > 0, {let('pieces', pieces, rewritten)}, {untouched})"
-    if "encrypt" in used:
+    if keyed:
         # Without a key a document comes out as NULL: neither in the clear nor incomplete.
         lost = f"named_struct({quoted(into)}, CAST(NULL AS string), 'items', {empty(ITEM)})"
         result = f"if(size({name(spans)}) > 0 AND enc_key IS NULL, {lost}, {result})"
     unknown = f"named_struct({quoted(into)}, CAST(NULL AS string), 'items', {empty(ITEM)})"
     result = f"if({name(spans)} IS NULL, {unknown}, {result})"
     masked = compute(docs, result, names=(into, "items")).drop("_salt")
-    return masked.drop(*KEY_COLUMNS) if "encrypt" in used else masked
+    return masked.drop(*KEY_COLUMNS) if keyed else masked
 
 
 def masking_error(text: str = "text", spans: str = "spans", masked: str = "masked") -> Column:

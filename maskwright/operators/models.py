@@ -7,11 +7,13 @@ gets. Rows go through in Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import SPAN, compute, empty, literal_spans, name, with_text
@@ -30,16 +32,18 @@ def _kept_model(load: Callable[[], Any], label: str) -> Callable[[], Any]:
     """A function that loads the model at its first call in a Python worker.
 
     It is pickled by value and keeps the model on the ``builtins`` module, the one place
-    that outlives the tasks of a worker without an import of this package.
+    that outlives the tasks of a worker without an import of this package, under its label and a
+    digest of what loads it.
     """
+    key = f"{label}:{hashlib.sha256(cloudpickle.dumps(load)).hexdigest()}"
 
     def get() -> Any:
         import builtins
 
         models = builtins.__dict__.setdefault("_maskwright_models", {})
-        if label not in models:
-            models[label] = load()
-        return models[label]
+        if key not in models:
+            models[key] = load()
+        return models[key]
 
     return get
 

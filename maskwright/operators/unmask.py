@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 
 from maskwright.functions import fernet
 from maskwright.functions.fernet import KEY_COLUMNS, KeyRing
+from maskwright.functions.fpe import preserve
 from maskwright.functions.spans import Cut, compute, let, name, quoted, record, splice, with_slicer
 from maskwright.operators.detect import MARKER_OPEN, MARKER_PATTERN
-from maskwright.operators.mask import with_keys
+from maskwright.operators.mask import CARD, with_keys
 
 
 def unmask(
@@ -72,3 +73,22 @@ def unmask_items(
 def count_markers(docs: DataFrame, text: str = "masked", into: str = "markers_found") -> DataFrame:
     found = f"regexp_count({name(text)}, {quoted(MARKER_PATTERN)})"
     return compute(docs, {into: f"if(contains({name(text)}, {quoted(MARKER_OPEN)}), {found}, 0)"})
+
+
+def restore_preserved(
+    docs: DataFrame, keys: KeyRing, key_id: str | None = None, text: str = "masked", items: str = "items", by: str = "doc_id", into: str = "text"
+) -> DataFrame:
+    """Turn the digits that ``preserve`` encrypted back, at the places that ``items`` names.
+
+    Without the key the result is NULL. Items that were redacted stay as they are.
+    """
+
+    def pieces(cut: Cut) -> str:
+        slices = f"transform({name(items)}, e -> named_struct('start', e.start, 'end', e.end, 'entity_type', e.entity_type, 'text', {cut('e.start', 'e.end - e.start')}))"
+        new = f"if(s.text = concat('<', s.entity_type, '>'), s.text, {preserve('s.text', CARD, back=True)})"
+        turned = f"transform({slices}, s -> named_struct('start', s.start, 'end', s.end, 'new', coalesce({new}, s.text)))"
+        return let("pieces", turned, splice(name(text), "pieces"))
+
+    whole = f"if(size({name(items)}) > 0, {with_slicer(name(text), f'size({name(items)})', pieces)}, {name(text)})"
+    result = f"if(size({name(items)}) > 0 AND enc_key IS NULL, NULL, {whole})"
+    return compute(with_keys(docs, keys, key_id, by, text), {into: result}).drop(*KEY_COLUMNS)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskwright.sources.commits import exists, files, publish
+
 # The encryption names that callers use, and those of the s3a file system.
 ENCRYPTIONS = {"AES256": "AES256", "aws:kms": "SSE-KMS"}
 
@@ -47,6 +50,34 @@ def write_documents(
     docs.write.mode(mode).partitionBy(*partition_by).format(format).save(path)
 
 
+def store_table(
+    docs: DataFrame, path: str, metadata: Mapping[str, str], encryption: str = "AES256", kms_key_id: str | None = None
+) -> None:
+    """Write a table with a manifest beside its data: who wrote it how, in ``_manifest.json``, which readers leave out.
+
+    The store encrypts both if ``use_encryption`` was called for its bucket; the manifest comes last, so a
+    table that has one is complete. A table that has one is not written again.
+    """
+    check_encryption(encryption, kms_key_id)
+    spark, at = docs.sparkSession, f"{path.rstrip('/')}/_manifest.json"
+    if exists(spark, at):
+        raise FileExistsError(path)
+    write_documents(docs, path, mode="overwrite")
+    said = {"metadata": dict(metadata), "encryption": encryption, "kms_key_id": kms_key_id if encryption == "aws:kms" else None}
+    if not publish(spark, at, json.dumps(said | {"rows": spark.read.parquet(path).count()}, sort_keys=True)):
+        raise FileExistsError(path)
+
+
+def table_manifest(spark: SparkSession, path: str) -> dict:
+    """What the manifest of a stored table says."""
+    fs, at = files(spark, f"{path.rstrip('/')}/_manifest.json")
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
 def write_reports(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One report per line, as JSON; see ``operators.report.report``."""
     reports.write.mode(mode).json(path)
