@@ -602,6 +602,13 @@ def oracle_sql() -> dict[str, str]:
         f" FROM (SELECT id AS doc_id, id, text FROM src) d LEFT JOIN en ON en.id = d.id WHERE {SPLIT} = 'train'"
     )
     sql["stream_mask"] = f"WITH {FOUND},\n{masked_cte(ANONYMIZED)} SELECT id AS doc_id, masked FROM masked"
+    sql["stream_windows"] = (
+        "WITH m AS (SELECT date_trunc('hour', ts) AS w, event_id FROM events), closed AS (SELECT * FROM m"
+        " WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)"
+        " SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, entity_type, count(*) AS findings, count(*) AS documents FROM ("
+        "SELECT w, 'IP_ADDRESS' AS entity_type FROM closed UNION ALL SELECT w, 'EMAIL_ADDRESS' FROM closed WHERE event_id % 4 = 0)"
+        " GROUP BY 1, 2"
+    )
     sql["protect_by_source"] = (
         f"WITH {FOUND} SELECT source, count(*) AS documents, CAST(sum(coalesce(n, 0)) AS BIGINT) AS spans,"
         " count(*) FILTER (WHERE n > 0) AS masked_documents FROM documents d LEFT JOIN"

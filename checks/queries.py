@@ -41,6 +41,7 @@ from maskwright.session import lookup_join, scratch_path, spread, written
 from maskwright.sources import versioned
 from maskwright.sources.documents import decode_documents, file_inventory, load_split, read_documents, route
 from maskwright.streaming.protect_stream import document_stream, protect_stream
+from maskwright.streaming.window_counts import count_stream, read_counts
 
 SALT = "pepper"
 USER = "tester"
@@ -774,6 +775,21 @@ def stream_mask(spark, sf):
     return spark.read.parquet(f"{out}/documents").select("doc_id", "masked")
 
 
+def stream_windows(spark, sf):
+    """Events as arriving messages, some of them twice; findings by hour, of the hours that have closed."""
+    schema = table(spark, sf, "events").select("event_id", "ts", "user_id").schema
+    stream = document_stream(spark, sf, schema, glob="events.parquet")
+    octet = lambda c: F.pmod(F.col(c), F.lit(256)).cast("string")
+    said = F.concat(F.lit("from 10.0."), octet("user_id"), F.lit("."), octet("event_id"))
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(said, F.lit(" by a"), F.col("user_id").cast("string"), F.lit("@b.com"))).otherwise(said)
+    copies = F.explode(F.when(F.col("event_id") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    messages = stream.select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("time"), text.alias("text"), copies.alias("copy"))
+    out = scratch_path(spark, "windows")
+    count_stream(messages.drop("copy"), f"{out}/counts", f"{out}/checkpoint").awaitTermination()
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return read_counts(spark, f"{out}/counts").select(start, "entity_type", "findings", "documents")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "detect_spans": detect_spans,
@@ -839,4 +855,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sft_base_prompt": sft_base_prompt,
         "sft_split": sft_split,
         "stream_mask": stream_mask,
+        "stream_windows": stream_windows,
     }
