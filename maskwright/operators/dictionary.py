@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.automaton import Automaton
 from maskwright.functions.spans import SPAN, compute, empty, let, located, name, quoted, record, with_text
-from maskwright.session import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup_join
+from maskwright.session import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, lookup_join, written
 
 # A word is a run of letters, digits and the signs that occur inside names.
 WORD = r"[\p{L}\p{N}_#&.'-]+"
@@ -146,9 +146,10 @@ def attach_spans(
     docs: DataFrame, spans: DataFrame, by: str = "doc_id", text: str = "text", into: str = "dictionary_spans"
 ) -> DataFrame:
     """Bring span rows back to their documents, with the text as it stands there, for
-    ``detect(..., also=into)``. Documents without spans are joined to nothing."""
+    ``detect(..., also=into)``. Documents without spans are joined to nothing; if the others
+    are few, no document is shuffled."""
     span = F.struct("start", "end", "entity_type", "score", "text").cast(SPAN)
-    collected = spans.groupBy(by).agg(F.array_sort(F.collect_list(span)).alias("_found"))
-    joined = docs.join(collected, by, "left")
+    collected = written(spans.groupBy(by).agg(F.array_sort(F.collect_list(span)).alias("_found")), "spans")
+    joined = docs.join(F.broadcast(collected) if fits_broadcast(collected) else collected, by, "left")
     found = f"coalesce({with_text(name(text), '_found')}, {empty(SPAN)})"
     return compute(joined, {into: found}).drop("_found")
