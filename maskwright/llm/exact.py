@@ -2,8 +2,9 @@
 
 Results in special cases: a null text counts as empty; null ids rank below all others, and
 a group with no id at all has a null ``keep_id``; rows that repeat the id which stays are
-all marked as kept, while ``deduplicate`` returns one of them; an empty table gives an
-empty result; other columns do not matter, whatever their names.
+all marked as kept, while ``deduplicate`` returns one of them; texts may have any length, and are
+compared whole; an empty table gives an empty result; other columns do not matter, whatever their
+names.
 """
 
 from __future__ import annotations

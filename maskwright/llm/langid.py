@@ -16,7 +16,8 @@ training documents, both of its language and length class and of all.
 Results in special cases: a null text, or one without a letter, is ``und`` with score 0
 and rejected; rows without a language are predicted but not learnt from; a table that
 teaches no language gives ``und`` throughout; repeated rows give repeated results and count
-as often as they occur; rows without an id count as not held out; other columns are ignored.
+as often as they occur; rows without an id count as not held out; an empty table gives an empty result; a text
+of any length is scored whole, in tiles; other columns are ignored.
 """
 
 from __future__ import annotations

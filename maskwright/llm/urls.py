@@ -10,7 +10,8 @@ are candidates for every url.
 The longest fitting site rule decides; without one, the longest fitting pattern; without
 either, the url is allowed. Results in special cases: a null url, or one without ``://``,
 has empty host and path and is allowed; rules of equal length rank by their text; other
-columns are ignored; repeated rows give repeated results.
+columns are ignored; repeated rows give repeated results; an empty table gives an empty one; urls may
+have any length, as expressions of the row alone look at them.
 """
 
 from __future__ import annotations

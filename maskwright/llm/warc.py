@@ -8,7 +8,8 @@ joining the two.
 Results in special cases: a null html is an empty payload; a null url leaves out the
 target header, and line breaks in a url are written as %0D and %0A; a null page_id gives a
 record without a page number, which can be a response only if its payload has no other
-page; of repeated rows with the largest id all are responses; other columns are ignored.
+page; of repeated rows with the largest id all are responses; an empty table gives an empty archive;
+pages may have any length, each being a value of one row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ it then scores every document.
 
 Results in special cases: a null text, or one without a word, scores 0 and is rejected;
 an empty table gives an empty result; if no document is likely to be low, all that have
-words are kept; repeated rows count and are scored like others; other columns are ignored.
+words are kept; repeated rows count and are scored like others; a text of any length is looked at
+whole, with some 60 bytes of memory a character; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ text that has its first half.
 Results in special cases: a null or empty text has no hashes; a text shorter than ``gram``
 has the hash of the whole text; two texts without hashes are alike (1.0), one without and
 one with are not (0.0); rows of one id are ordered by their text, and rows without an id
-come last; a single row follows itself; other columns are ignored.
+come last; a single row follows itself; repeated rows are compared like others; an empty table gives an
+empty result; a text of any length is hashed whole, with some 100 bytes of memory a character; other
+columns are ignored.
 """
 
 from __future__ import annotations
