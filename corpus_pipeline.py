@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the caller writes it and
 reads it back as the next stage's documents.
+
+Results in special cases are those of the operators: null and empty texts, and texts without a letter, go
+with the first stage; rows without an id are judged by their text and never count as near copies;
+repeated rows go but for one in the third stage; rows of one id with different texts are judged each
+for itself; texts may have any length; other columns, whatever their names, come along to the
+last stage, which has its own; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
