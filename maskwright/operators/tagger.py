@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.spans import SPAN
 from maskwright.functions.tagging import Model, Sentences, decode, labels_of, spans_of, train_pass
 from maskwright.operators.dictionary import _parts
+from maskwright.session import written
 
 TYPES = ("LOCATION", "ORGANIZATION", "PERSON")
 SHARDS = 8
@@ -46,11 +47,13 @@ def train_tagger(
     are the weights of each of the ``shards``, of fixed size.
     """
     kinds = tuple(sorted(types))
-    rows = docs.select(by, F.col(text).alias("text"), F.col(spans).alias("spans")).where(F.col(text).isNotNull() & F.col(spans).isNotNull())
-    share = min(1.0, sample / max(1, rows.count()))
+    rows = docs.where(F.col(text).isNotNull()).select(by, F.col(text).alias("text"), F.col(spans).alias("spans"))
+    share = min(1.0, sample / max(1, rows.select(by).count()))
+    # the ids decide before spans are looked for, and what is picked is written once for all passes
     picked = rows if share >= 1 else rows.where(F.pmod(F.xxhash64(by), F.lit(1 << 20)) < int(share * (1 << 20)))
     shard = F.pmod(F.xxhash64(F.col(by), F.lit(1)), F.lit(shards)).cast("int")
-    dealt = picked.select(shard.alias("shard"), by, "text", "spans").repartition(shards, "shard").sortWithinPartitions("shard", by, "text")
+    kept = written(picked.where(F.col("spans").isNotNull()).select(shard.alias("shard"), by, "text", "spans"), "training")
+    dealt = kept.repartition(shards, "shard").sortWithinPartitions("shard", by, "text")
     sparkc = docs.sparkSession.sparkContext
     model = average = Model.blank(kinds)
     for _ in range(passes):
