@@ -23,10 +23,9 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from maskwright.llm.common import map_texts, word_hashes
+from maskwright.llm.common import map_texts, plain_rows, word_hashes
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 CACHE_WORDS = 500_000
@@ -310,9 +309,10 @@ def encode_table(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
             if decoded:
                 batch["decoded"] = [enc.decode(r).decode("utf-8", "replace") for r in rows]
             yield batch
+        enc.forget()  # a worker that goes on to other tasks does not hold the words of this one
 
     schema = "doc_id long, ids binary" + ", decoded string" * decoded
-    return map_texts(_plain_rows(docs, text, doc_id), run, schema)
+    return map_texts(plain_rows(docs, text, doc_id), run, schema)
 
 
 def decode_table(tokens: DataFrame, path: str) -> DataFrame:
@@ -325,7 +325,3 @@ def decode_table(tokens: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
 
     return map_texts(tokens.select("doc_id", "ids"), run, "doc_id long, text string", column="ids")
-
-
-def _plain_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -24,7 +24,7 @@ CHUNK_CHARS = 200_000
 ROW_BYTES = 400
 ARROW_ROWS, ARROW_BYTES = "2000", "4m"
 #: large blocks go back to the system when they are freed, and Arrow takes its own from the same place
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1000000", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4000000", "MALLOC_TRIM_THRESHOLD_": "32000000", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -156,6 +156,11 @@ def attach_groups(
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def plain_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id and text of every row; a null text is empty."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+
 def row_digest(docs: DataFrame, text: str) -> Column:
     """Tells rows of one ``doc_id`` apart by their text."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

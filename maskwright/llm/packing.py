@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import _plain_rows, encoder
-from maskwright.llm.common import map_texts, staged
+from maskwright.llm.bpe import encoder
+from maskwright.llm.common import map_texts, plain_rows, staged
 
 CAPACITY = 2048
 END_ID = 0
@@ -177,9 +177,10 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, text: str =
                     part = row[s : s + capacity]
                     out.append((names[k], p, s, len(part), zlib.crc32(part.tobytes())))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return map_texts(_plain_rows(docs, text, doc_id), run, schema)
+    return map_texts(plain_rows(docs, text, doc_id), run, schema)
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -36,8 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import _plain_rows
-from maskwright.llm.common import BASE, BROADCAST_IDS, M1, M2, attach_groups, map_texts, mix, row_digest, staged, without, word_hashes
+from maskwright.llm.common import BASE, BROADCAST_IDS, M1, M2, attach_groups, map_texts, mix, plain_rows, row_digest, staged, without, word_hashes
 
 GRAM = 5
 NUMBER, OF = 4, 5  # similarity of at least 4/5
@@ -434,7 +433,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) of every row."""
-    rows = _plain_rows(docs, text, doc_id)
+    rows = plain_rows(docs, text, doc_id)
     facts = staged(set_facts(rows, gram), "sets")
     linked = facts.where("n_shingles > 0 AND doc_id IS NOT NULL")
     digest = ["d1", "d2", "n_shingles"]
@@ -456,7 +455,7 @@ def keep_one(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     Rows of one id with different texts are judged each for itself; equal rows stay or go together. Rows are told apart by a
     64-bit hash of id and text.
     """
-    rows = _plain_rows(docs, "text", "doc_id").where("doc_id IS NOT NULL").withColumn("text_hash", row_digest(docs, "text"))
+    rows = plain_rows(docs, "text", "doc_id").where("doc_id IS NOT NULL").withColumn("text_hash", row_digest(docs, "text"))
     rows = rows.withColumn("node", F.xxhash64("doc_id", "text"))
     found = near_groups(rows.select("node", "text"), gram, "text", "node").where("doc_id IS NOT NULL")
     grouped = found.select(F.col("doc_id").alias("node"), "component_id").where("component_id IS NOT NULL").distinct()

@@ -24,8 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.bpe import _plain_rows
-from maskwright.llm.common import CHUNK_CHARS, map_texts, window_hashes
+from maskwright.llm.common import CHUNK_CHARS, map_texts, plain_rows, window_hashes
 
 GRAM = 24
 WINDOW = 16
@@ -88,7 +87,7 @@ def fingerprint(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, text: s
             found = winnow(batch.pop("text").tolist(), gram, window)
             yield batch.assign(prints=[[{"hash": int(h), "pos": int(p)} for h, p in zip(*f, strict=True)] for f in found])
 
-    return map_texts(_plain_rows(docs, text, doc_id), run, "doc_id long, prints array<struct<hash:long,pos:long>>")
+    return map_texts(plain_rows(docs, text, doc_id), run, "doc_id long, prints array<struct<hash:long,pos:long>>")
 
 
 def _ranges(docs: DataFrame) -> list[int]:
@@ -117,7 +116,7 @@ def compare_with_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, t
     ids that end at ids of the table; the row at the end of a range also goes, as a guest,
     to the range above. So texts are shuffled once, and tasks stream through sorted rows.
     """
-    rows = _plain_rows(docs, text, doc_id)
+    rows = plain_rows(docs, text, doc_id)
     bounds = _ranges(rows)
     own = F.struct(F.col("_range"), F.lit(0).alias("guest"))
     if bounds:
