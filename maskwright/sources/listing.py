@@ -9,6 +9,7 @@ what vanishes in between is left out.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
 from functools import reduce
@@ -26,6 +27,15 @@ LISTED = "path string, folder boolean, mtime timestamp, length long, hidden bool
 SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "gs": "gs", "hdfs": "hdfs", "abfss": "abfss"}
 
 
+_SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):/")
+_LOCAL_HEAD = re.compile(r"^file:/+")
+
+
+def _scheme(uri: str) -> str:
+    found = _SCHEME.match(uri)
+    return found[1] if found else ""
+
+
 def is_hidden(name: str) -> bool:
     """Whether Spark's readers leave out files and folders of this name."""
     if name.startswith(("_common_metadata", "_metadata")):
@@ -61,9 +71,10 @@ def _remote(uri: str, scheme: str) -> Iterator[tuple]:
 
 def list_folder(uri: str) -> Iterator[tuple]:
     """What lies in one folder, as rows of ``LISTED``; a folder that is gone is empty, another error is a row."""
-    parts = urlsplit(uri)
+    scheme = _scheme(uri)
     try:
-        yield from _local(parts.path) if parts.scheme in ("", "file") else _remote(uri, parts.scheme)
+        # the path as it is: signs that mean something in addresses may be part of names
+        yield from _local(_LOCAL_HEAD.sub("/", uri)) if scheme in ("", "file") else _remote(uri, scheme)
     except FileNotFoundError:
         return
     except OSError as exc:
@@ -72,7 +83,7 @@ def list_folder(uri: str) -> Iterator[tuple]:
 
 def can_list(uri: str) -> bool:
     """Whether tasks can list this place; else only Hadoop's file systems on the driver can."""
-    return urlsplit(uri).scheme in ("", "file", *SCHEMES)
+    return _scheme(uri) in ("", "file", *SCHEMES)
 
 
 def list_tree(spark: SparkSession, roots: Sequence[str]) -> DataFrame:

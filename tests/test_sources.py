@@ -261,7 +261,7 @@ def test_listing_equals_a_walk(spark, tmp_path):
     """Hidden files and folders, links, unreadable folders and odd names, at several depths."""
     from maskwright.sources.listing import list_tree
 
-    names = ["a.md", ".env", "_x.md", "_tmp/c.md", "d/e/f/g.txt", "d/.h/i", "d/part=1/j.md", "d/e/k é.md", "d/e/l%20.md", "m._COPYING_"]
+    names = ["a.md", ".env", "_x.md", "_tmp/c.md", "d/e/f/g.txt", "d/.h/i", "d/part=1/j.md", "d/e/k é.md", "d/e/l%20.md", "m._COPYING_", "d#1/n?.md"]
     for name in names:
         at = tmp_path / "tree" / name
         at.parent.mkdir(parents=True, exist_ok=True)
