@@ -12,10 +12,10 @@ sets whose non-empty ones could all differ emit the empty ones too. So no pair i
 Sets that share a signature are one cell, named by its least set. A signature that a share
 ``HEAVY`` or more of a sample of sets hold gets its least set by sums before the shuffle and a
 table of bounded size, all others by sorting; the sample decides only on the way. The members of a cell are first compared with
-its least set, many tasks sharing a large cell. Those linked with it need not be compared with each
-other. The rest are compared, in blocks of bounded size, with each other and with the linked
-ones, so a family of near copies costs time in proportion to its size if most are linked with
-one set. Before sets are shuffled, sketches rule out pairs that differ too much. Of the
+its least set, many tasks sharing a large cell. Sets that these links connect, also through other
+cells, need not be compared with each other. The rest of a cell are compared, in blocks of bounded size, with
+each other and with those connected with the least set, so a family of near copies costs time in
+proportion to its size if these links connect most of it. Before sets are shuffled, sketches rule out pairs that differ too much. Of the
 links found in a block, only a spanning star per component leaves the task. Equal sets are
 merged before all this. Components are then found over these edges. Sets are
 compared as sets of 64-bit hashes of n-grams, words of any length being hashed character by character.
@@ -376,9 +376,15 @@ def links(docs: DataFrame, facts: DataFrame, gram: int = GRAM, limit: int = BROA
     linked = linked_with_center(docs, found, facts, gram, limit)
     stars = linked.select(F.col("doc_id").alias("src"), F.col("center").alias("dst"))
 
-    # the rest of a cell, against each other and those linked with the center; nobody else needs the center
-    rest = found.join(linked, ["center", "doc_id"], "left_anti").withColumn("side", F.lit(0))
-    both = staged(rest.unionByName(linked.withColumn("side", F.lit(1))), "sides")
+    # those that these links connect with the center, be it through other cells, need not be compared with
+    # each other; the rest of a cell, against each other and them
+    known = staged(components(stars), "known").withColumnRenamed("node", "doc_id")
+    own = found.join(known, "doc_id", "left").select("center", "doc_id", F.coalesce("component", "doc_id").alias("_own"))
+    groups = found.groupBy("center").agg(F.count("*").alias("_size"), F.min("doc_id").alias("_one"))
+    groups = groups.join(known.withColumnRenamed("doc_id", "center"), "center", "left")
+    groups = groups.select("center", "_size", "_one", F.coalesce("component", "center").alias("_theirs"))
+    both = attach_groups(own, groups, ["center"], "doc_id", "_one", "_size")
+    both = staged(both.select("center", "doc_id", (F.col("_own") == F.col("_theirs")).cast("int").alias("side")), "sides")
     sized = both.join(facts.groupBy("doc_id").agg(F.max("n_shingles").alias("_n")), "doc_id")
     half = lambda side: F.greatest(
         F.ceil(2 * F.count(F.when(F.col("side") == side, 1)) / BLOCK_ROWS), F.ceil(2 * F.sum(F.when(F.col("side") == side, F.col("_n")).otherwise(0)) / BLOCK_MEMBERS)
@@ -387,9 +393,9 @@ def links(docs: DataFrame, facts: DataFrame, gram: int = GRAM, limit: int = BROA
     counts = counts.where("_rest > 0 AND _size > 1")
     # blocks of the rest are numbered from 0, those of the linked ones after them
     mixed = F.xxhash64("doc_id")
-    own = F.when(F.col("side") == 0, F.pmod(mixed, F.col("_rest"))).otherwise(F.col("_rest") + F.pmod(mixed, F.greatest("_kin", F.lit(1)))).cast("int")
+    block = F.when(F.col("side") == 0, F.pmod(mixed, F.col("_rest"))).otherwise(F.col("_rest") + F.pmod(mixed, F.greatest("_kin", F.lit(1)))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("_rest") + F.col("_kin") - 1).otherwise(F.col("_rest") - 1))
-    dealt = attach_groups(both, counts, ["center"], "doc_id", "_one", "_size").select("center", "doc_id", own.alias("_own"), F.explode(others).alias("_other"))
+    dealt = attach_groups(both, counts, ["center"], "doc_id", "_one", "_size").select("center", "doc_id", block.alias("_own"), F.explode(others).alias("_other"))
     dealt = staged(dealt.select("center", "doc_id", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi")), "blocks")
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
