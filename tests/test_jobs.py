@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from checks.queries import queries
 from maskwright.functions.fernet import key_ring
 from maskwright.functions.text import normalize_text
 from maskwright.operators import audit, audit_log, retention
@@ -230,3 +231,16 @@ def test_normalized_before_detection(spark):
     assert row["masked"] == "<EMAIL_ADDRESS>\n\nx\n"
     assert row["entity_counts"] == {"EMAIL_ADDRESS": 1}
     assert docs.select(normalize_text(F.col("text")).alias("t")).first()["t"] == row["text"]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_of_tables_in_folders(spark, tmp_path, files):
+    rows = [(k, None if k == 4 else f"mail a{k}@b.com" if k % 2 else "none") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    masked = queries()["stream_mask"](spark, str(tmp_path))
+    assert masked.count() == 9 and masked.where("masked like 'mail [EMAIL_ADDRESS_%'").count() == 4
+    events = spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int)) AS ts, id AS user_id FROM range(60)")
+    events.repartition(files).write.parquet(str(tmp_path / "events.parquet"))
+    counts = queries()["stream_windows"](spark, str(tmp_path))
+    assert counts.agg(F.sum("documents")).first()[0] > 0
