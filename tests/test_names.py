@@ -9,12 +9,13 @@ import regex
 from pyspark.sql import functions as F
 
 from checks import queries as own
-from maskwright.functions.automaton import RUN, Automaton
+from maskwright.functions.automaton import RUN, Automaton, TermFilter, Words
 from maskwright.functions.tagging import FORBIDDEN, Model, Sentences, allowed, labels_of, spans_of, viterbi
 from maskwright.operators.detect import detect
 from maskwright.operators.dictionary import with_dictionary
 from maskwright.operators.mask import mask
 from maskwright.operators.tagger import tag, train_tagger
+from maskwright.session import lookup_join
 
 WORD = regex.compile(r"[\p{L}\p{N}_#&.'-]+")
 
@@ -117,3 +118,57 @@ def test_tagger_of_little(spark):
     odd = spark.createDataFrame([(1, None, None), (2, "", []), (3, "..", []), (4, "one " * 500, [])], schema)
     model = train_tagger(odd, passes=1)
     assert [r["tagged_spans"] for r in tag(odd, model).orderBy("doc_id").collect()] == [[]] * 4
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_filter_lets_all_terms_pass_and_little_else(seed):
+    rng = random.Random(seed)
+    parts = ["a", "b", "c", "é", "d.", "x'", "--", "A&B", "日本"]
+    grams = sorted({" ".join(w for _, _, w in words_of(" ".join(rng.choice(parts) for _ in range(rng.choice([1, 2, 5]))))) for _ in range(30)} - {""})
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "  ", "\n"]) for _ in range(rng.choice([0, 3, 50]))) for _ in range(6)]
+    places = TermFilter.places_for(len(grams))
+    held = np.zeros(places >> 6, np.uint64)
+    for spot in TermFilter.spots(Words(grams).whole_hashes(), places).ravel().tolist():
+        held[spot >> 6] |= np.uint64(1 << (spot & 63))
+    words = Words(texts)
+    first, last = TermFilter(held, tuple({g.count(" ") + 1 for g in grams})).passed(words)
+    passed = [(int(words.owner[a]), words.text(a, b)) for a, b in zip(first, last, strict=True)]
+    want = [(i, g) for i, _, _, g, _ in brute_terms(texts, [(g, "P") for g in grams])]
+    assert sorted(p for p in passed if p[1] in grams) == sorted(want)
+    assert len(passed) - len(want) <= 0.05 * 4 * len(words.owner) + 3
+
+
+def test_large_dictionary_with_repeated_and_missing_ids(spark):
+    rows = [(1, "Ann Lee"), (1, "of Rome and Ann Lee"), (None, "Rome"), (None, "by Ann Lee"), (2, "Ann Lee"), (2, "Ann Lee"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = spark.createDataFrame([("Ann Lee", "PERSON"), ("Rome", "LOCATION")], "term string, entity_type string")
+    told = [sorted(map(str, with_dictionary(docs, terms, broadcast_rows=n).collect())) for n in (100, 1)]
+    assert told[0] == told[1]
+
+
+def test_large_lookups_are_not_repeated(spark):
+    left = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("k", F.col("doc_id") % 7)
+    right = spark.range(5000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("v"))
+    joined = lookup_join(left, right, "k", small=False)
+    assert "Generate" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        salted = lookup_join(left, right, "k", small=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+    assert "Generate" in salted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(joined.collect()) == sorted(salted.select(joined.columns).collect())
+
+
+def test_only_documents_that_train_are_labelled(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Signed by Ann Lee, no. "), F.col("id").cast("string")).alias("text"))
+    terms = spark.createDataFrame([("Ann Lee", "PERSON")], "term string, entity_type string")
+    seen = []
+
+    def label(picked):
+        seen.append(picked.count())
+        return with_dictionary(picked, terms, into="spans", broadcast_rows=0)
+
+    late = train_tagger(docs, passes=1, sample=300, label=label)
+    early = train_tagger(with_dictionary(docs, terms, into="spans"), passes=1, sample=300)
+    assert 150 < seen[0] < 450 and np.array_equal(late.emit, early.emit) and np.array_equal(late.move, early.move)
