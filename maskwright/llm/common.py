@@ -15,16 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from maskwright.session import scratch_path
+from maskwright.session import lean_workers, scratch_path
 
 SALTS = 16
 BROADCAST_IDS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 CHUNK_CHARS = 200_000
 ROW_BYTES = 400
-ARROW_ROWS, ARROW_BYTES = "2000", "4m"
-#: large blocks go back to the system when they are freed, and Arrow takes its own from the same place
-WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4000000", "MALLOC_TRIM_THRESHOLD_": "32000000", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -79,14 +76,6 @@ def in_chunks(sizes: Sequence[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield begin, len(sizes)
 
 
-def lean_workers(spark: SparkSession) -> None:
-    """Small Arrow batches, and Python workers that give memory back; before the first Python function of a session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    for name, value in WORKER_MEMORY.items():
-        spark.sparkContext.environment.setdefault(name, value)
-
-
 def map_texts(
     rows: DataFrame,
     run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],

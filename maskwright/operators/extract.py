@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import first_nonempty, normalize_text
+from maskwright.operators.dictionary import _parts
+from maskwright.session import lean_workers
 
 PAGES_PER_CHUNK = 256
 
@@ -44,32 +48,36 @@ def extract_text(
     None. The result has ``text`` (normalised), ``extractor``, ``error`` and, where no text was found,
     ``reasons``, what the extractors raised. Parsers are
     imported inside the extractors, on the workers. A later extractor runs only on the
-    documents which the earlier ones could not read.
+    documents which the earlier ones could not read. A worker holds the bytes of one document at a time
+    and the texts of a few beside Spark's batch.
     """
     named = list(extractors)
+    lean_workers(files.sparkSession)
 
-    def run(batches):
+    def read(data: bytes | None) -> tuple[str | None, str | None, str | None]:
+        raised = []
+        for label, extractor in named:
+            try:
+                text = extractor(data) if data is not None else None
+            except Exception as exc:
+                text = None
+                raised.append(f"{label}: {exc}")
+            if text:
+                return text, label, "; ".join(raised) or None
+        return None, None, "; ".join(raised) or None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, winners, reasons = [], [], []
-            for data in batch[content]:
-                text, winner, raised = None, None, []
-                for label, extractor in named:
-                    try:
-                        text = extractor(bytes(data)) if data is not None else None
-                    except Exception as exc:
-                        text = None
-                        raised.append(f"{label}: {exc}")
-                    if text:
-                        winner = label
-                        break
-                texts.append(text or None)
-                winners.append(winner)
-                reasons.append("; ".join(raised) or None)
-            yield batch[list(keep)].assign(_text=texts, extractor=winners, reasons=reasons)
+            sizes = pc.fill_null(pc.binary_length(batch.column(content)), 0).to_numpy()
+            for a, b in _parts(sizes):
+                part = batch.slice(a, b - a)
+                told = [read(data.as_py()) for data in part.column(content)]
+                texts = [pa.array(column, pa.string()) for column in zip(*told, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.select(list(keep)).columns, *texts], [*keep, "_text", "extractor", "reasons"])
 
     kept = files.select(*keep, content)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema)
-    found = kept.mapInPandas(run, f"{schema}, _text string, extractor string, reasons string")
+    found = kept.mapInArrow(run, f"{schema}, _text string, extractor string, reasons string")
     text = first_nonempty(F.col("_text"))
     return found.select(
         *keep,

@@ -299,3 +299,27 @@ def test_glob_patterns(glob, yes, no):
     from maskwright.sources.listing import glob_pattern
 
     assert re.match(glob_pattern(glob), yes) and not re.match(glob_pattern(glob), no)
+
+
+def test_extractors_get_one_document_at_a_time(spark):
+    """A large Arrow batch is not turned into Python objects as a whole: what is read goes on in parts."""
+    class Said(str):
+        live = 0
+
+        def __init__(self, _):
+            Said.live += 1
+
+        def __del__(self):
+            Said.live -= 1
+
+    files = spark.range(400, numPartitions=1).select(F.col("id").cast("string").alias("path"), F.when(F.col("id") % 9 != 4, F.expr("cast(concat(id, repeat('x', 20000)) as binary)")).alias("content"))
+
+    def held(data):
+        return Said(f"{data[:3].decode()} {Said.live}")
+
+    got = extract_text(files, [("held", held)]).collect()
+    said = {r["path"]: r for r in got}
+    assert len(said) == 400 and all((r["text"] is None) == (int(p) % 9 == 4) and (r["error"] is None) == (int(p) % 9 != 4) for p, r in said.items())
+    assert all(r["text"].startswith(f"{p}xxx"[:3]) for p, r in said.items() if r["text"])
+    assert max(int(r["text"].split()[1]) for r in got if r["text"]) <= 50  # two parts of 400 kB
+    assert not extract_text(files.limit(0), [("held", held)]).collect()
