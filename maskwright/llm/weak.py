@@ -181,15 +181,26 @@ def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
 
 
-def fit(rows: np.ndarray, low: np.ndarray, steps: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
-    """Weights (bias last) of a logistic scorer of P(low), by full gradient steps with momentum."""
-    x = np.ones((len(rows), rows.shape[1] + 1), np.float32)
-    x[:, :-1] = rows
+def fit(rows: np.ndarray | list[np.ndarray], low: np.ndarray, steps: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
+    """Weights (bias last) of a logistic scorer of P(low), by full gradient steps with momentum.
+
+    Rows that come in a list of parts are taken out of it as they are copied.
+    """
+    parts = rows if isinstance(rows, list) else [rows]
+    x = np.empty((len(low), parts[0].shape[1] + 1), np.float32)
+    x[:, -1] = 1
+    end = len(x)
+    while parts:
+        part = parts.pop()
+        x[end - len(part) : end, :-1] = part
+        end -= len(part)
+    del part
     mean, square = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for a in range(0, len(x), 1000):  # x.std() would copy all
         part = x[a : a + 1000].astype(float)
         mean += part.sum(axis=0) / len(x)
-        square += (part * part).sum(axis=0) / len(x)
+        square += np.multiply(part, part, out=part).sum(axis=0) / len(x)
+        del part
     scale = np.maximum(np.sqrt(np.maximum(square - mean * mean, 0)), 1e-3).astype(np.float32)
     scale[-1] = 1
     x /= scale
@@ -234,10 +245,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str
         for batch in batches:
             low.append(batch["low"].to_numpy(np.float32))
             rows.append(np.frombuffer(b"".join(batch["row"]), np.float16).reshape(len(batch), -1))
+            del batch
         if rows:
-            whole = np.concatenate(rows)
-            rows.clear()
-            yield pd.DataFrame({"weights": [fit(whole, np.concatenate(low)).tobytes()]})
+            yield pd.DataFrame({"weights": [fit(rows, np.concatenate(low)).tobytes()]})
 
     picked = _texts(docs, text, doc_id)
     if share < 1:

@@ -245,3 +245,19 @@ def test_operators_on_empty_tables(spark):
     nodes, steps, intervals = chattree.build_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert nodes.count() == chattree.read_back(nodes, steps).count() == intervals.count() == 0
     assert common.map_texts(docs, lambda frames: frames, "doc_id long, text string").count() == 0
+
+
+def test_quality_scorer_holds_its_rows_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows = rng.random((4000, 600)).astype(np.float16)
+    low = (rows[:, 0] > 0.5).astype(np.float32)
+    want = weak.fit(rows, low, steps=20)
+    tracemalloc.start()
+    parts = [rows[a : a + 500].copy() for a in range(0, 4000, 500)]
+    got = weak.fit(parts, low, steps=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not parts and np.array_equal(want, got)
+    assert peak < 4000 * 600 * 4 + 2 * 1000 * 600 * 8  # the matrix and little else
