@@ -15,7 +15,10 @@ table of bounded size, all others by sorting; the sample decides only on the way
 its least set, many tasks sharing a large cell. Sets that these links connect, also through other
 cells, need not be compared with each other. The rest of a cell are compared, in blocks of bounded size, with
 each other and with those connected with the least set, so a family of near copies costs time in
-proportion to its size if these links connect most of it. Before sets are shuffled, sketches rule out pairs that differ too much. Of the
+proportion to its size if these links connect most of it. Before sets are shuffled, sketches rule out pairs that differ too much.
+Sketches are small, so a set goes into one block of them for each ``SIFT_ROWS`` / 2 others of its cell; what they leave is cut
+into smaller blocks of whole sets, each with those that have a partner in it. Sets that share signatures without being
+linked through centers remain pairs to be ruled out, in time that grows with the square of their number. Of the
 links found in a block, only a spanning star per component leaves the task. Equal sets are
 merged before all this. Components are then found over these edges. Sets are
 compared as sets of 64-bit hashes of n-grams, words of any length being hashed character by character.
@@ -44,10 +47,12 @@ BAND = 1.4
 SPARE = 1.15
 SMALL = 300
 BLOCK_ROWS, BLOCK_MEMBERS = 800, 400_000
+SIFT_ROWS, SIFT_MEMBERS = 6000, 16_000_000  # of sketches, which have a few bytes for many members
 TILE_CELLS = 1_000_000
 HEAVY, SAMPLED = 0.001, 64
 
 KEY = ["center", "lo", "hi"]
+PART = [*KEY, "part"]
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -164,26 +169,58 @@ def _close(apart: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (apart * (OF + NUMBER) <= (a + b) * (OF - NUMBER)) & (np.minimum(a, b) * OF >= np.maximum(a, b) * NUMBER)
 
 
-def may_link(size: np.ndarray, held: list[bytes]) -> np.ndarray:
-    """Which of some sets have a partner that, by sizes and sketches, may be similar enough."""
+def near_pairs(size: np.ndarray, held: list[bytes], other: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """A set and those that, by sizes and sketches, may be similar enough; each pair once.
+
+    With ``other`` (whether a set is of the second of two blocks), only pairs of sets of different blocks.
+    """
     words = np.fromiter((len(b) // 8 for b in held), np.int64, len(held))
-    found = np.zeros(len(held), bool)
     for n in np.unique(words).tolist():
         small, large = np.flatnonzero(words == n), np.flatnonzero(words == 2 * n)
         rows = np.frombuffer(b"".join(held[i] for i in small), np.uint64).reshape(len(small), n)
         folded = np.frombuffer(b"".join(held[i] for i in large), np.uint64).reshape(len(large), 2, n)
         every = np.concatenate([rows, folded[:, 0] ^ folded[:, 1]])
         who = np.concatenate([small, large])
+        if other is None:
+            partners = lambda k, i: (every[k + 1 :], who[k + 1 :])
+        else:  # sets of one sketch size meet once, those of the first block being first
+            second, longer = other[who], np.arange(len(who)) >= len(small)
+            of_side = [(every[there], who[there]) for there in (second, ~second & longer)]
+            partners = lambda k, i: of_side[int(other[i])]
         for k, i in enumerate(small.tolist()):
-            rest = who[k + 1 :]
-            apart = np.bitwise_count(every[k + 1 :] ^ every[k]).sum(axis=1, dtype=np.int64)
-            close = _close(apart, size[i], size[rest])
-            if close.any():
-                found[i] = True
-                found[rest[close]] = True
+            sketch, rest = partners(k, i)
+            apart = np.bitwise_count(sketch ^ every[k]).sum(axis=1, dtype=np.int64)
+            close = rest[_close(apart, size[i], size[rest])]
+            if len(close):
+                yield i, close
+
+
+def may_link(size: np.ndarray, held: list[bytes]) -> np.ndarray:
+    """Which of some sets have a partner that, by sizes and sketches, may be similar enough."""
+    found = np.zeros(len(held), bool)
+    for i, close in near_pairs(size, held):
+        found[i] = True
+        found[close] = True
     return found
 
 
+def narrow(size: np.ndarray, held: list[bytes], other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of bounded size in which all pairs of ``near_pairs`` meet: a row and its block, for each row that a block needs."""
+    rows, before = np.arange(len(held)), np.cumsum(size) - size
+    _, chunk = np.unique(np.stack([rows // max(1, BLOCK_ROWS // 2), before // max(1, BLOCK_MEMBERS // 2)]), axis=1, return_inverse=True)
+    chunk = chunk.reshape(-1)
+    chunks = int(chunk.max(initial=0)) + 1
+    needs = np.zeros((len(held), chunks), bool)
+    for i, close in near_pairs(size, held, other):
+        needs[i, chunk[close]] = True
+        needs[close, chunk[i]] = True
+    found = needs.any(axis=1)
+    if found.sum() <= BLOCK_ROWS and size[found].sum() <= BLOCK_MEMBERS:
+        return np.flatnonzero(found), np.zeros(int(found.sum()), np.int64)
+    row, with_ = np.nonzero(needs)
+    return row, np.minimum(chunk[row], with_) * chunks + np.maximum(chunk[row], with_)
+
+
 def pairs_may_link(size: np.ndarray, held: list[bytes], other_size: np.ndarray, other: list[bytes]) -> np.ndarray:
     """Whether the two sets of each pair may be similar enough, by sizes and sketches."""
     lens = np.array([(len(a) // 8, len(b) // 8) for a, b in zip(held, other, strict=True)], np.int64).reshape(-1, 2)
@@ -314,11 +351,11 @@ def _tasks(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+def _blocks(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """The rows of one block after the other, from rows sorted by block."""
     now, held = None, []
     for batch in batches:
-        for key, part in batch.groupby(KEY, sort=False):
+        for key, part in batch.groupby(by, sort=False):
             if key != now and held:
                 yield now, pd.concat(held)
                 held = []
@@ -387,7 +424,7 @@ def links(docs: DataFrame, facts: DataFrame, gram: int = GRAM, limit: int = BROA
     both = staged(both.select("center", "doc_id", (F.col("_own") == F.col("_theirs")).cast("int").alias("side")), "sides")
     sized = both.join(facts.groupBy("doc_id").agg(F.max("n_shingles").alias("_n")), "doc_id")
     half = lambda side: F.greatest(
-        F.ceil(2 * F.count(F.when(F.col("side") == side, 1)) / BLOCK_ROWS), F.ceil(2 * F.sum(F.when(F.col("side") == side, F.col("_n")).otherwise(0)) / BLOCK_MEMBERS)
+        F.ceil(2 * F.count(F.when(F.col("side") == side, 1)) / SIFT_ROWS), F.ceil(2 * F.sum(F.when(F.col("side") == side, F.col("_n")).otherwise(0)) / SIFT_MEMBERS)
     )
     counts = sized.groupBy("center").agg(half(0).cast("int").alias("_rest"), half(1).cast("int").alias("_kin"), F.count("*").alias("_size"), F.min("doc_id").alias("_one"))
     counts = counts.where("_rest > 0 AND _size > 1")
@@ -396,25 +433,27 @@ def links(docs: DataFrame, facts: DataFrame, gram: int = GRAM, limit: int = BROA
     block = F.when(F.col("side") == 0, F.pmod(mixed, F.col("_rest"))).otherwise(F.col("_rest") + F.pmod(mixed, F.greatest("_kin", F.lit(1)))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("_rest") + F.col("_kin") - 1).otherwise(F.col("_rest") - 1))
     dealt = attach_groups(both, counts, ["center"], "doc_id", "_one", "_size").select("center", "doc_id", block.alias("_own"), F.explode(others).alias("_other"))
-    dealt = staged(dealt.select("center", "doc_id", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi")), "blocks")
+    lo, hi = F.least("_own", "_other"), F.greatest("_own", "_other")
+    dealt = staged(dealt.select("center", "doc_id", lo.alias("lo"), hi.alias("hi"), (F.col("_own") > lo).alias("other")), "blocks")
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, block in _blocks(batches):
-            ok = may_link(block["n_shingles"].to_numpy(), block["sketch"].tolist())
-            yield block.loc[ok, ["doc_id", *KEY]]
+        for (_, lo, hi), block in _blocks(batches, KEY):
+            # two blocks are compared with each other here, and each with itself elsewhere
+            row, part = narrow(block["n_shingles"].to_numpy(), block["sketch"].tolist(), block["other"].to_numpy(bool) if lo < hi else None)
+            yield block[["doc_id", *KEY]].iloc[row].assign(part=part)
 
     tasks = _tasks(docs.sparkSession)
     rows = _only(facts.select("doc_id", "n_shingles", "sketch"), dealt, limit)
     ordered = rows.join(dealt, "doc_id").repartition(tasks, *KEY).sortWithinPartitions(*KEY, "doc_id")
-    close = staged(ordered.mapInPandas(sift, "doc_id long, center long, lo int, hi int").distinct(), "close")
+    close = staged(ordered.mapInPandas(sift, "doc_id long, center long, lo int, hi int, part long").distinct(), "close")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, block in _blocks(batches):
+        for _, block in _blocks(batches, PART):
             edges = block_links(block["doc_id"].to_numpy(), [np.frombuffer(m, np.uint64) for m in block["members"]])
             yield pd.DataFrame(edges, columns=["src", "dst"]).astype("int64")
 
     sets = member_sets(_only(docs.select("doc_id", "text"), close, limit), gram).join(close, "doc_id")
-    ordered = sets.repartition(tasks, *KEY).sortWithinPartitions(*KEY, "doc_id").select(*KEY, "doc_id", "members")
+    ordered = sets.repartition(tasks, *PART).sortWithinPartitions(*PART, "doc_id").select(*PART, "doc_id", "members")
     return stars.unionByName(ordered.mapInPandas(compare, "src long, dst long")).distinct()
 
 

@@ -36,6 +36,61 @@ def test_a_large_family_of_near_copies(spark, monkeypatch):
     assert 5 < len({c for _, _, c in found}) < 300
 
 
+def test_rows_dealt_to_blocks_follow_the_size_of_a_family(spark, monkeypatch):
+    """Most members share signatures but are linked with nothing; a block of whole sets holds few of them."""
+    monkeypatch.setattr(partenum, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(partenum, "BLOCK_MEMBERS", 3000)
+    rows, staged = {}, common.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(partenum, "staged", counted)
+    texts = family(random.Random(4), 160, 60, 16)
+    assert groups(spark, texts) == brute_components(texts)
+    assert 0 < rows["blocks"] <= 2 * rows["sides"]  # with the rest, and with those linked with the center
+
+
+@pytest.mark.parametrize("sift", [(30, 10**6), (10**6, 1500), (10**6, 10**6)])
+def test_blocks_of_sketches_and_of_sets(spark, monkeypatch, sift):
+    """Links within and between blocks are found, whichever bound cuts them."""
+    for name, value in zip(["SIFT_ROWS", "SIFT_MEMBERS", "BLOCK_ROWS", "BLOCK_MEMBERS"], [*sift, 16, 1200], strict=True):
+        monkeypatch.setattr(partenum, name, value)
+    rng = random.Random(5)
+    texts = family(rng, 120, 60, 9) | {500 + i: t for i, t in family(rng, 60, 70, 9).items()} | {900: "a b c d e"}
+    found = groups(spark, texts)
+    assert found == brute_components(texts)
+    assert 5 < len({c for _, _, c in found}) < len(texts)
+
+
+def test_near_pairs_are_all_pairs_that_may_link():
+    rng = random.Random(6)
+    hashes = [np.array([rng.getrandbits(63) % 400 for _ in range(n)], np.uint64) for n in [60] * 30 + [70] * 30 + [9] * 10 + [130] * 5]
+    hashes += [np.concatenate([h[: len(h) - 4], np.arange(5, dtype=np.uint64) + np.uint64(1000 * k)]) for k, h in enumerate(hashes)]
+    sets = [np.unique(h) for h in hashes]
+    rng.shuffle(sets)
+    size = np.array([len(s) for s in sets])
+    held = partenum.sketches(common.mix(np.concatenate(sets)), np.repeat(np.arange(len(sets)), size), size)
+    second = np.array([rng.random() < 0.4 for _ in sets])
+    pick = lambda at: (size[at], [held[i] for i in at])
+    want = set()
+    for i in range(len(sets)):
+        later = np.arange(i + 1, len(sets))
+        ok = partenum.pairs_may_link(*pick(np.full(len(later), i)), *pick(later))
+        want |= {(i, int(j)) for j in later[ok]}
+    assert len(want) > 40
+    for other, pairs in ((None, want), (second, {p for p in want if second[p[0]] != second[p[1]]})):
+        met = [tuple(sorted((i, int(j)))) for i, close in partenum.near_pairs(size, held, other) for j in close]
+        assert len(met) == len(set(met)) and set(met) == pairs
+        row, part = partenum.narrow(size, held, other)
+        blocks = {}
+        for r, b in zip(row.tolist(), part.tolist(), strict=True):
+            blocks.setdefault(b, set()).add(r)
+        assert all(any({i, j} <= b for b in blocks.values()) for i, j in pairs)
+
+
 def test_heavy_signatures_give_the_same_cells(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame(list((family(rng, 80, 60, 2) | {500 + i: f"lone {i} " * 9 for i in range(20)}).items()), "doc_id long, text string")
