@@ -3,8 +3,8 @@
 Texts of a batch are one flat array of code points. Class changes (letter, number, white
 space, other) cut it into words; words are told apart by a 64-bit rolling hash, and only
 words not met before are encoded: their symbols lie in one flat array, and in each round the
-pair of lowest rank of every word is found by binary search over the sorted pair keys and
-merged in all words at once. Texts that a plain cut can't decide (those with
+pair of lowest rank of every word is merged in all words at once; ranks are looked up in hash
+tables, and again only for the pairs that a merge has changed. The words met are kept sorted by hash. Texts that a plain cut can't decide (those with
 apostrophes) are cut by the tokenizer's own pattern.
 
 ``encode_table`` and ``decode_table`` apply this to tables; ids are binary, as little-endian
@@ -17,7 +17,7 @@ in one piece, with some 100 bytes of memory a character.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,10 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from maskwright.llm.common import map_texts, plain_rows, word_hashes
+from maskwright.llm.common import BASE, map_texts, plain_rows, word_hashes
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 CACHE_WORDS = 500_000
+TABLE_BITS = 20
 ENDS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -62,8 +63,8 @@ class Encoder:
         pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
         keys = np.array([vocab[a] * width + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.width, self.keys, self.rank, self.made = width, keys[order], order.astype(np.int64), made
+        self.width, self.keys, self.made = width, keys, made
+        self.tables = self._pair_tables()
         # where a merge makes a symbol that also takes part in an earlier merge, occurrences go one by one
         earliest = np.full(width, len(pairs), np.int64)
         for side in (0, 1):
@@ -82,8 +83,24 @@ class Encoder:
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
         self.forget()
 
+    def _pair_tables(self) -> list[tuple[int, np.ndarray]]:
+        """Tables of ranks by some bits of a hash of the pair; where several pairs meet, all but one are in a later table."""
+        left, out, bits = np.arange(len(self.keys)), [], TABLE_BITS
+        while len(left):
+            multiplier = pow(BASE, len(out) + 1, 1 << 64)
+            spot = self._spot(self.keys[left], multiplier, bits)
+            ranks = np.zeros(1 << bits, np.int32)
+            ranks[spot] = left
+            out.append((multiplier, ranks))
+            left, bits = left[ranks[spot] != left], max(bits - 4, 12)
+        return out
+
+    @staticmethod
+    def _spot(keys: np.ndarray, multiplier: int, bits: int) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(multiplier)) >> np.uint64(64 - bits)
+
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}  # word hash -> place in starts
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # word hashes, sorted, and their places in starts
         self.starts, self.pool, self.size = [np.zeros(1, np.int64)], [], 0
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
 
@@ -145,6 +162,21 @@ class Encoder:
 
     # -- merges --------------------------------------------------------------------------
 
+    def _ranks(self, sym: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that begin at ``at`` (ascending); as many as there are merges where there is none."""
+        out = np.full(len(at), len(self.keys))
+        if len(at) and at[-1] == len(sym) - 1:
+            at = at[:-1]
+        inner = np.flatnonzero(owner[at] == owner[at + 1])
+        at = at[inner]
+        key = sym[at] * self.width + sym[at + 1]
+        for multiplier, ranks in self.tables:
+            rank = ranks[self._spot(key, multiplier, len(ranks).bit_length() - 1)]
+            found = self.keys[rank] == key
+            out[inner[found]] = rank[found]
+            inner, key = inner[~found], key[~found]
+        return out
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in a row, and how many each word has."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
@@ -154,12 +186,8 @@ class Encoder:
         sym[ends - 1] = self.last[flat[ends - 1]]
         owner = np.repeat(np.arange(len(words)), lens)
         out_sym, out_owner = [], []
+        rank = self._ranks(sym, owner, np.arange(len(sym)))
         while len(sym):
-            key = sym[:-1] * self.width + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = (self.keys[at] == key) & (owner[:-1] == owner[1:])
-            rank = np.full(len(sym), len(self.keys), np.int64)
-            rank[:-1][found] = self.rank[at[found]]
             begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             low = np.minimum.reduceat(rank, begin)
             count = np.diff(np.append(begin, len(sym)))
@@ -182,19 +210,22 @@ class Encoder:
                 _, leftmost = np.unique(owner[seen], return_index=True)
                 hit &= ~alone
                 hit[seen[leftmost]] = True
-            sym = sym.copy()
             sym[hit] = self.made[best[hit]]
             keep = ~np.concatenate([[False], hit[:-1]])
-            sym, owner = sym[keep], owner[keep]
+            sym, owner, rank, changed = sym[keep], owner[keep], rank[keep], hit[keep]
+            changed[:-1] |= changed[1:]  # the pairs of a new symbol with the next and with the one before
+            at = np.flatnonzero(changed)
+            rank[at] = self._ranks(sym, owner, at)
         sym, owner = np.concatenate(out_sym or [sym]), np.concatenate(out_owner or [owner])
         order = np.argsort(owner, kind="stable")
         return sym[order], np.bincount(owner, minlength=len(words))
 
-    def _learn(self, hashes: Iterable[int], words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         ids, counts = self.merge(words)
         first = sum(map(len, self.starts)) - 1
-        for k, h in enumerate(hashes):
-            self.slot[h] = first + k
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.slots = np.insert(self.known, at, hashes[order]), np.insert(self.slots, at, first + order)
         self.starts.append(self.size + np.cumsum(counts))
         self.pool.append(ids)
         self.size += len(ids)
@@ -210,7 +241,7 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens, in a row, and how many each text has."""
-        if len(self.slot) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.forget()
         texts = [self._normal(t) for t in texts]
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -227,13 +258,15 @@ class Encoder:
         code, distinct = pd.factorize(hashes)
         first = np.empty(len(distinct), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.slot]
-        if new:
-            at = first[new]
-            self._learn([keys[i] for i in new], [whole[a:b].encode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        at = np.searchsorted(self.known, distinct)
+        new = np.append(self.known, np.uint64(0))[at] != distinct
+        new |= at == len(self.known)
+        if new.any():
+            place = first[new]
+            self._learn(distinct[new], [whole[a:b].encode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)])
+            at = np.searchsorted(self.known, distinct)
         begin, pool = self._tables()
-        slot = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))[code]
+        slot = self.slots[at][code]
         from_, count = begin[slot], begin[slot + 1] - begin[slot]
         done = np.concatenate([[0], np.cumsum(count)])
         ids = pool[np.repeat(from_ - done[:-1], count) + np.arange(done[-1])]

@@ -45,6 +45,39 @@ def test_sql(spark, sf, name):
     assert rows(found.select(*columns)) == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql()[name]})").fetchall(), key=str)
 
 
+def words_of(rng, n):
+    return ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_ranks_are_looked_up_for_new_pairs_only(monkeypatch):
+    """Words are merged without a search over all pairs in each round, and no word is encoded twice."""
+    enc = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    searched, learned, search, merge = [], [], np.searchsorted, enc.merge
+    monkeypatch.setattr(bpe.np, "searchsorted", lambda a, v, *rest, **how: searched.append(np.size(v) if len(a) > 10_000 else 0) or search(a, v, *rest, **how))
+    monkeypatch.setattr(enc, "merge", lambda words: learned.extend(words) or merge(words))
+    words = sorted(set(words_of(random.Random(7), 3000)))
+    for _ in range(2):
+        enc.encode([" ".join(words[a : a + 500]) for a in range(0, len(words), 500)])
+    assert sorted(learned) == [w.encode() for w in words]
+    assert sum(searched) <= 2 * len(words)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("bits", [13, 20])
+def test_words_of_many_chunks(monkeypatch, name, bits):
+    """Where many pairs meet in a table, and words met before are forgotten on the way."""
+    monkeypatch.setattr(bpe, "TABLE_BITS", bits)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 700)
+    path = public_tokenizers.path(name)
+    library, mine, rng = Tokenizer.from_file(path), bpe.Encoder(path), random.Random(8)
+    for _ in range(6):
+        texts = ["", *(" ".join(words_of(rng, rng.randint(1, 80))) for _ in range(8)), "a" * 41 + " " + "na" * 30]
+        ids, counts = mine.encode(texts)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     path = public_tokenizers.path(name)
